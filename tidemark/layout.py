@@ -50,6 +50,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """New column identities, so that two tables of one origin can be grouped together."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def has_chunks(df: DataFrame) -> bool:
     return CHUNK in df.columns
 

@@ -80,7 +80,7 @@ def fit_orders(df: DataFrame, orders, by=BY, min_obs=GROUP_MIN, bounded: bool =
     specs = specs.select(*by, *[F.col(c).cast("long").alias(c) for c in "pdq"])
 
     def grouped(rows, wanted):
-        return (rows.select(*by, IDX, VALUE).groupBy(*by).cogroup(wanted.groupBy(*by))
+        return (rows.select(*by, IDX, VALUE).groupBy(*by).cogroup(layout.fresh(wanted).groupBy(*by))
                 .applyInPandas(_fit_group(by, min_obs), fit_schema(s, by)))
 
     if not layout.has_chunks(s):

@@ -92,7 +92,7 @@ def start_states(rows: DataFrame, params: DataFrame, lags: int, by) -> DataFrame
     """Filter state each chunk has to start from: ``params`` per chunk plus ``start``."""
     keys = [*by, CHUNK]
     fields = [rows.schema[k] for k in keys]
-    ends = (rows.groupBy(*keys).cogroup(params.groupBy(*keys)).applyInPandas(
+    ends = (rows.groupBy(*keys).cogroup(layout.fresh(params).groupBy(*keys)).applyInPandas(
         _end_state(keys, lags), T.StructType([*fields, T.StructField("state", T.ArrayType(T.DoubleType()))])))
     chained = ends.join(params.select(*keys, "theta"), keys).groupBy(*by).applyInPandas(
         _chain(by, layout.chunk_rows(rows)),
@@ -121,7 +121,7 @@ def arma_residuals(df: DataFrame, fits: DataFrame, max_p: int = 5, by=BY, bounde
     if layout.has_chunks(s):
         params = start_states(rows, params, max_p, by)
     schema = T.StructType([rows.schema[c] for c in (*keys, IDX, VALUE)] + [T.StructField("residual", T.DoubleType())])
-    out = rows.groupBy(*keys).cogroup(params.groupBy(*keys)).applyInPandas(_filtered(keys, max_p), schema)
+    out = rows.groupBy(*keys).cogroup(layout.fresh(params).groupBy(*keys)).applyInPandas(_filtered(keys, max_p), schema)
     return out.withColumn("fitted", F.col(VALUE) - F.col("residual"))
 
 
