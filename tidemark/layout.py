@@ -16,8 +16,9 @@ The helpers below hide the difference, so operators are written once.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,18 +37,25 @@ def whole_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(WHOLE_ROWS_CONF, "1000000"))
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under the cluster's shared folder (a temporary one in local mode only)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        shared = tempfile.mkdtemp(prefix="tidemark-")
+    return f"{shared.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="tidemark-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and continue from the written table.
+
+    Unlike a checkpointed plan the table starts without inherited constraints and with its real size,
+    so repeated rounds plan in constant time and small tables are broadcast.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fresh(df: DataFrame) -> DataFrame:

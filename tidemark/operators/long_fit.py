@@ -22,7 +22,7 @@ from tidemark.operators import estimation, kernels, recursion, shaping
 from tidemark.operators.regression import product_sums, solve, square
 
 _ARR = T.ArrayType(T.DoubleType())
-ROUNDS = 40
+ROUNDS = kernels.MAX_STEPS
 
 
 def fit_long(s: DataFrame, specs: DataFrame, by, min_obs) -> DataFrame:
@@ -45,8 +45,9 @@ def _fit_at(s, specs, d, by, min_obs, schema):
     rows = layout.durable(layout.with_lags(z, "_w", lags, by))
     facts = _facts(rows, mine, d, lags, by)
     state = layout.durable(_starts(rows, specs, int(top_p), int(top_q), by))
+    chunks = layout.durable(rows.groupBy(*by, CHUNK).agg(F.count("*").alias("_k")).drop("_k"))
     for _ in range(ROUNDS):
-        state = layout.durable(_advance(state, _evaluate(rows, state.filter("not done"), lags, by), by))
+        state = layout.durable(_advance(state, _evaluate(rows, chunks, state.filter("not done"), lags, by), by))
         if state.filter("not done").isEmpty():
             break
     return _finish(state, facts, d, by, min_obs, schema)
@@ -91,7 +92,7 @@ def _starts(rows, specs, p, q, by):
     return specs.join(sums, [*by]).select(
         *by, "p", "q", beta.alias("trial"), none.cast(_ARR).alias("best"), F.lit(float("inf")).alias("rss"),
         none.cast(_ARR).alias("gram"), none.cast(_ARR).alias("tail"), F.lit(1e-6).alias("damp"),
-        F.lit(False).alias("done"))
+        F.lit(False).alias("done"), F.element_at("g", -1).alias("base"))
 
 
 # ------------------------------------------------------------------ one evaluation of all trials
@@ -184,12 +185,11 @@ def _sums(by, lags):
     return run
 
 
-def _evaluate(rows, state, lags, by):
+def _evaluate(rows, chunks, state, lags, by):
     """Product sums of derivatives and residuals per order, summed over the chunks."""
     keys = [*by, CHUNK]
     fields = [rows.schema[k] for k in keys] + [T.StructField("p", T.LongType()), T.StructField("q", T.LongType())]
     schema = lambda *more: T.StructType([*fields, *[T.StructField(n, _ARR) for n in more]])
-    chunks = rows.groupBy(*keys).agg(F.count("*").alias("_k")).drop("_k")
     trials = chunks.join(state.select(*by, "p", "q", "trial"), [*by])
     ends = rows.groupBy(*keys).cogroup(layout.fresh(trials).groupBy(*keys)).applyInPandas(
         _end_states(by, lags), schema("state"))
@@ -214,6 +214,8 @@ def _step(t):
     damp, rss, done = float(t.damp), float(t.rss), False
     best = None if t.best is None else np.asarray(t.best, dtype=float)
     gram, tail = t.gram, t.tail
+    if best is None and r > t.base and any(t.trial):  # no better than the mean alone: start from zero
+        return [0.0] * k, None, rss, None, None, damp, False, t.base
     if best is None or r < rss:
         gain = (rss - r) / max(rss, 1e-300) if math.isfinite(rss) else math.inf
         done = gain < kernels.TOLERANCE
@@ -230,22 +232,27 @@ def _step(t):
     else:
         system = normal + damp * np.diag(np.maximum(np.diag(normal), 1e-12))
         trial = np.clip(best + np.linalg.lstsq(system, -slope, rcond=None)[0], -kernels.LIMIT, kernels.LIMIT)
-    return trial.tolist(), best.tolist(), rss, gram, tail, damp, bool(done)
+        move = trial - best
+        promised = -(2.0 * slope @ move + move @ normal @ move)
+        done = done or promised < kernels.TOLERANCE * rss
+    return trial.tolist(), best.tolist(), rss, gram, tail, damp, bool(done), t.base
 
 
 _STEP = T.StructType([T.StructField("trial", _ARR), T.StructField("best", _ARR), T.StructField("rss", T.DoubleType()),
                       T.StructField("gram", _ARR), T.StructField("tail", _ARR), T.StructField("damp", T.DoubleType()),
-                      T.StructField("done", T.BooleanType())])
+                      T.StructField("done", T.BooleanType()), T.StructField("base", T.DoubleType())])
 
 
 def _advance(state, seen, by):
     def steps(table: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([_step(t) for t in table.itertuples(index=False)], columns=_STEP.names)
 
-    names = ["p", "q", "trial", "best", "rss", "gram", "tail", "damp", "new_gram", "new_tail"]
+    names = ["p", "q", "trial", "best", "rss", "gram", "tail", "damp", "base", "new_gram", "new_tail"]
     moved = state.filter("not done").join(seen, [*by, "p", "q"])
     moved = moved.withColumn("s", F.pandas_udf(steps, _STEP)(F.struct(*names)))
-    return moved.select(*by, "p", "q", "s.*").unionByName(state.filter("done").select(*by, "p", "q", *_STEP.names))
+    rest = state.filter("done").select(*by, "p", "q", *_STEP.names)
+    # the shuffle merges the union's partitions, which would otherwise double every round
+    return moved.select(*by, "p", "q", "s.*").unionByName(rest).repartition(*by)
 
 
 def _finish(state, facts, d, by, min_obs, schema):

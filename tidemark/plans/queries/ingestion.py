@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark import layout
 from tidemark.layout import IDX, SERIES, TIME, VALUE
 from tidemark.plans.queries.common import query, r
 from tidemark.plans.series import COO, EMBEDDING_SIZE, HOURLY, USER
@@ -14,7 +15,7 @@ ORDERS_SQL = f"SELECT o_orderkey, {r('o_totalprice')} AS o_totalprice, o_orderda
 
 
 def _orders_csv(t):
-    path = files.scratch_path(t.spark, "orders")
+    path = layout.scratch_path(t.spark, "orders")
     return files.write_csv(t("orders").select(*ORDER_COLUMNS), path)
 
 
@@ -34,7 +35,7 @@ def write_csv(t):
 
 @query("write_parquet", ORDERS_SQL.replace("FROM", ", o_orderpriority FROM"))
 def write_parquet(t):
-    path = files.scratch_path(t.spark, "orders")
+    path = layout.scratch_path(t.spark, "orders")
     files.write_parquet(t("orders").select(*ORDER_COLUMNS, "o_orderpriority"), path, ["o_orderpriority"])
     return t.spark.read.parquet(path)
 

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,13 +42,3 @@ def write_parquet(df: DataFrame, path: str, partition_by=()) -> str:
     writer = df.write.mode("error")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return path
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under the cluster's shared folder (a temporary one in local mode only)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="tidemark-")
-    return os.path.join(shared, f"{name}-{uuid.uuid4().hex}")
