@@ -18,6 +18,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +65,71 @@ def fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
+def for_tasks(df: DataFrame, by) -> DataFrame:
+    """Hash the groups over a fixed number of tasks before heavy per-group work.
+
+    Adaptive execution sizes partitions by bytes; a few megabytes of series can be minutes of fitting.
+    Hashing a hash keeps this from being dropped as a repeat of an earlier, since coalesced, exchange.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, F.xxhash64(*by))
+
+
+HEADER = -1  # position of the row that carries a group's parameters
+
+
+def map_groups(rows: DataFrame, headers: DataFrame, by, each, schema: T.StructType) -> DataFrame:
+    """``each(key, header, frame)`` -> frame or list of rows, for every group, ordered by position.
+
+    ``headers`` has one row of parameters per group; it travels as a row before the first position.
+    Partitions are sorted by group and read as a stream, so there is no per-group call between the JVM
+    and Python and no more than one group in memory.  ``header`` or ``frame`` is None where a side lacks
+    the group.
+    """
+    extra = [f for f in headers.schema.fields if f.name not in by]
+    own = [f for f in rows.schema.fields if f.name not in by and f.name != IDX]
+    head = headers.select(*by, F.lit(HEADER).cast("long").alias(IDX), *[F.lit(None).cast(f.dataType).alias(f.name) for f in own],
+                          *[F.col(f.name).alias(f"_h_{f.name}") for f in extra])
+    data = rows.select(*by, IDX, *[f.name for f in own], *[F.lit(None).cast(f.dataType).alias(f"_h_{f.name}") for f in extra])
+    together = for_tasks(data.unionByName(head), by).sortWithinPartitions(*by, IDX)
+    by, names, params = list(by), schema.names, [f.name for f in extra]
+
+    def finish(key, parts):
+        frame = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        header = None
+        if frame[IDX].iat[0] == HEADER:
+            header = {n: frame[f"_h_{n}"].iat[0] for n in params}
+            frame = frame.iloc[1:]
+        out = each(key, header, frame if len(frame) else None)
+        return out if isinstance(out, pd.DataFrame) else pd.DataFrame(out, columns=names)
+
+    def run(batches):
+        key, parts = None, []
+        for batch in batches:
+            n = len(batch)
+            if n == 0:
+                continue
+            new = np.zeros(n, dtype=bool)
+            for k in by:
+                column = batch[k].to_numpy()
+                new[1:] |= column[1:] != column[:-1]
+            edges = [0, *np.flatnonzero(new).tolist(), n]
+            done = []
+            for a, b in zip(edges[:-1], edges[1:]):
+                here = tuple(batch[k].iat[a] for k in by)
+                if parts and here != key:
+                    done.append(finish(key, parts))
+                    parts = []
+                key = here
+                parts.append(batch.iloc[a:b])
+            if done:
+                yield pd.concat(done, ignore_index=True)[names]
+        if parts:
+            yield finish(key, parts)[names]
+
+    return together.mapInPandas(run, schema)
+
+
 def has_chunks(df: DataFrame) -> bool:
     return CHUNK in df.columns
 

@@ -47,18 +47,16 @@ def minimum(p: int, d: int, q: int, min_obs) -> int:
 
 
 def _fit_group(by, min_obs):
-    names = [*by, *FIT_NAMES]
-
-    def fit(data: pd.DataFrame, orders: pd.DataFrame) -> pd.DataFrame:
-        if orders.empty:
-            return pd.DataFrame(columns=names)
-        y = data.sort_values(IDX)[VALUE].to_numpy(dtype=float)
+    def fit(key, header, frame):
         rows = []
-        for o in orders.itertuples(index=False):
-            p, d, q = int(o.p), int(o.d), int(o.q)
+        if header is None:
+            return rows
+        y = np.zeros(0) if frame is None else frame[VALUE].to_numpy(dtype=float)
+        flat = [int(v) for v in header["orders"]]
+        for p, d, q in zip(flat[::3], flat[1::3], flat[2::3]):
             row = kernels.fit_order(y, p, d, q, minimum(p, d, q, min_obs))
-            rows.append([getattr(o, k) for k in by] + [row[c] for c in FIT_NAMES])
-        return pd.DataFrame(rows, columns=names)
+            rows.append([*key, *[row[c] for c in FIT_NAMES]])
+        return rows
 
     return fit
 
@@ -80,8 +78,8 @@ def fit_orders(df: DataFrame, orders, by=BY, min_obs=GROUP_MIN, bounded: bool =
     specs = specs.select(*by, *[F.col(c).cast("long").alias(c) for c in "pdq"])
 
     def grouped(rows, wanted):
-        return (rows.select(*by, IDX, VALUE).groupBy(*by).cogroup(layout.fresh(wanted).groupBy(*by))
-                .applyInPandas(_fit_group(by, min_obs), fit_schema(s, by)))
+        listed = wanted.groupBy(*by).agg(F.flatten(F.array_sort(F.collect_list(F.array("p", "d", "q")))).alias("orders"))
+        return layout.map_groups(rows.select(*by, IDX, VALUE), listed, by, _fit_group(by, min_obs), fit_schema(s, by))
 
     if not layout.has_chunks(s):
         return grouped(s, specs)

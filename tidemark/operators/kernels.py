@@ -6,6 +6,7 @@ Everything here sees one bounded piece of one series; Spark does the splitting (
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -17,6 +18,23 @@ MAX_STEPS = 50
 TOLERANCE = 1e-8
 
 
+@lru_cache(maxsize=None)
+def _lag_index(size: int) -> np.ndarray:
+    """Index of the impulse response in each cell of its lower-triangular Toeplitz matrix."""
+    lag = np.subtract.outer(np.arange(size), np.arange(size))
+    return np.where(lag >= 0, lag, size)
+
+
+def _impulse(theta, size: int) -> list:
+    h = [1.0]
+    for t in range(1, size):
+        total = 0.0
+        for j, v in enumerate(theta[:t], 1):
+            total -= v * h[t - j]
+        h.append(total)
+    return h
+
+
 def ma_filter(u: np.ndarray, theta: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
     """x_t = u_t - sum_j theta_j x_{t-j} for every column of ``u``; ``state[k]`` is x_{-1-k}.
 
@@ -31,13 +49,8 @@ def ma_filter(u: np.ndarray, theta: np.ndarray, state: np.ndarray | None = None)
     if q == 0 or n == 0:
         return u[:, 0].copy() if flat else u.copy()
     size = max(q, min(BLOCK, n))
-    h = [1.0]
     th = [float(v) for v in theta]
-    for t in range(1, size):
-        h.append(-sum(th[j] * h[t - 1 - j] for j in range(min(q, t))))
-    h = np.array(h)
-    lag = np.subtract.outer(np.arange(size), np.arange(size))
-    toeplitz = np.where(lag >= 0, h[np.abs(lag)], 0.0)
+    toeplitz = np.array(_impulse(th, size) + [0.0])[_lag_index(size)]
     inflow = np.zeros((q, q))
     for i in range(q):
         inflow[i, :q - i] = [-v for v in th[i:]]
@@ -123,8 +136,8 @@ def css_fit(w: np.ndarray, p: int, q: int):
             break
         improved = False
         for _ in range(12):
-            system = normal + damp * np.diag(np.maximum(np.diag(normal), 1e-12))
-            step = np.linalg.lstsq(system, -slope, rcond=None)[0]
+            system = normal + np.diag(damp * np.maximum(np.diag(normal), 1e-12) + 1e-12)
+            step = np.linalg.solve(system, -slope)
             trial = np.clip(best + step, -LIMIT, LIMIT)
             r, g = _rss(w, trial, p)
             if r < rss:

@@ -76,15 +76,13 @@ def _chain(by, size):
 def _filtered(keys, lags):
     names = [*keys, IDX, VALUE, "residual"]
 
-    def piece(pdf: pd.DataFrame, prm: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty or prm.empty:
-            return pd.DataFrame(columns=names)
-        pdf = pdf.sort_values(IDX)
-        phi, theta = _params(prm)
-        start = prm.iloc[0]["start"]
-        state = np.asarray(start, dtype=float) if start is not None and len(start) else None
-        e = kernels.ma_filter(_inputs(pdf, phi, theta, lags), theta, state)
-        return pdf[[*keys, IDX, VALUE]].assign(residual=e)
+    def piece(key, header, frame):
+        if header is None or frame is None:
+            return []
+        phi, theta, start = [np.asarray(header[n], dtype=float) for n in ("phi", "theta", "start")]
+        e = kernels.ma_filter(_inputs(frame, phi, theta, lags), theta, start if len(start) else None)
+        return frame[names[:-1]].assign(residual=e)
+
     return piece
 
 
@@ -121,7 +119,7 @@ def arma_residuals(df: DataFrame, fits: DataFrame, max_p: int = 5, by=BY, bounde
     if layout.has_chunks(s):
         params = start_states(rows, params, max_p, by)
     schema = T.StructType([rows.schema[c] for c in (*keys, IDX, VALUE)] + [T.StructField("residual", T.DoubleType())])
-    out = rows.groupBy(*keys).cogroup(layout.fresh(params).groupBy(*keys)).applyInPandas(_filtered(keys, max_p), schema)
+    out = layout.map_groups(rows, params.select(*keys, "phi", "theta", "start"), keys, _filtered(keys, max_p), schema)
     return out.withColumn("fitted", F.col(VALUE) - F.col("residual"))
 
 

@@ -97,7 +97,7 @@ def adf_test(df: DataFrame, regression: str = "c", max_lags: int | None = None,
         F.max("n").alias("n"), product_sums([F.col(x) for x in names]).alias("g"),
         F.array_sort(F.collect_list(F.when(F.col(IDX) <= limit + 1, F.struct(F.col(IDX).alias("i"), F.col("_c").alias("v")))))
         .alias("h"))
-    r = g.withColumn("r", _adf_solver(regression, limit, max_lags is None)("g", F.col("h.v"), "n"))
+    r = layout.for_tasks(g, by).withColumn("r", _adf_solver(regression, limit, max_lags is None)("g", F.col("h.v"), "n"))
     one, five, ten = ADF_CRITICAL[regression]
     stat = F.col("r.stat")
     return r.select(*by, stat.alias("adf_stat"), F.col("r.lags").alias("adf_lags"),

@@ -167,7 +167,7 @@ def wf_backtest(rows: DataFrame, orders: DataFrame, num_windows: int | None = No
     """Steps 7-8: fit 70 % of each fixed window, forecast the rest, score it."""
     keys = (*by, WINDOW)
     windowed = _train_windows(rows, orders, num_windows, by)
-    fits = _window_fits(windowed, by)
+    fits = layout.durable(_window_fits(windowed, by))
     ahead = forecasting.forecast_long(fits, "test_size", keys)
     truth = windowed.filter("role = 'test'").select(
         *keys, (F.col(IDX) - F.col("train_size") + 1).alias("step"), F.col(VALUE).alias("actual"))
@@ -190,12 +190,12 @@ def wf_diagnose(rows: DataFrame, orders: DataFrame, num_windows: int | None = No
     """Step 9: residual tests of the training part of each fixed window."""
     keys = (*by, WINDOW)
     windowed = _train_windows(rows, orders, num_windows, by)
-    fits = _window_fits(windowed, by)
+    fits = layout.durable(_window_fits(windowed, by))  # read four times below
     train = windowed.filter("role = 'train'").select(*layout.keys(windowed, keys), IDX, VALUE)
     steady = at_d(train, fits.select(*keys, "d"), d_max, keys)
     res = recursion.arma_residuals(steady, fits.filter("success"), 5, keys)
     skip = fits.select(*keys, F.greatest("p", "q").alias("_skip"))
-    res = res.join(skip, [*keys]).filter(F.col(IDX) >= F.col("_skip")).drop("_skip")
+    res = layout.durable(res.join(skip, [*keys]).filter(F.col(IDX) >= F.col("_skip")).drop("_skip"))
     c = diagnostics.lag_correlations(res, by=keys)
     stats = diagnostics.residual_stats(res, keys).select(*keys, F.col("mean").alias("residuals_mean"),
                                                          F.col("std").alias("residuals_std"))
