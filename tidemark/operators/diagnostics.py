@@ -87,7 +87,7 @@ def _shapiro(x: np.ndarray, quantile):
         return w, max(0.0, p)
     y = math.log(max(1.0 - w, 1e-300))
     if n <= 11:
-        g = np.polyval(ROYSTON_SMALL_G[::-1], n)
+        g = np.polyval(ROYSTON_SMALL_G, n)
         if y >= g:
             return w, 1e-99
         z = (-math.log(g - y) - np.polyval(ROYSTON_SMALL_MU, n)) / math.exp(np.polyval(ROYSTON_SMALL_SD, n))

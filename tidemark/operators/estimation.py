@@ -151,7 +151,7 @@ def ar_fit(df: DataFrame, orders=(1,), d: int = 0, by=BY, min_obs=GROUP_MIN, bou
     at = F.struct(F.col(IDX).alias("i"), F.col("_c").alias("v"))
     gather = lambda inside: F.array_sort(F.collect_list(F.when(inside, at)))
     g = rows.withColumns(used).groupBy(*by).agg(
-        F.max("_n").alias("n"), F.max("_m").alias("m"), product_sums([F.col(c) for c in used]).alias("g"),
+        F.max("_n").alias("n"), F.max("_m").alias("m"), product_sums(list(used)).alias("g"),
         gather(F.col(IDX) < top).alias("h"), gather(F.col(IDX) >= F.col("_n") - top).alias("t"))
     if d:
         g = g.join(shaping.last_levels(whole, d, by), [*by])

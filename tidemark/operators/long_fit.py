@@ -74,7 +74,7 @@ def _starts(rows, specs, p, q, by):
     both = layout.with_lags(both, "residual", max(q, 1), by, "e_")
     cols = [f"y_{k}" for k in range(1, p + 1)] + [f"e_{k}" for k in range(1, q + 1)] + [VALUE]
     used = both.filter(F.col(IDX) >= long + q)
-    sums = used.groupBy(*by).agg(F.count("*").alias("k"), product_sums([F.col(c) for c in cols]).alias("g"))
+    sums = used.groupBy(*by).agg(F.count("*").alias("k"), product_sums(cols).alias("g"))
     result = T.StructType([T.StructField("beta", _ARR)])
 
     def start(g: pd.Series, k: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:

@@ -15,10 +15,13 @@ SOLUTION = T.StructType([T.StructField("beta", T.ArrayType(T.DoubleType())),
                          T.StructField("rss", T.DoubleType())])
 
 
-def product_sums(columns) -> Column:
-    """Upper triangle of X'X, row by row, as one array."""
-    return F.array(*[F.coalesce(F.sum(a * b), F.lit(0.0))
-                     for i, a in enumerate(columns) for b in columns[i:]])
+def product_sums(names) -> Column:
+    """Upper triangle of X'X of the named columns, row by row, as one array.
+
+    Written as text: one expression to hand over instead of several calls for each of the many cells.
+    """
+    cells = [f"coalesce(sum(`{a}` * `{b}`), 0D)" for i, a in enumerate(names) for b in names[i:]]
+    return F.expr(f"array({', '.join(cells)})")
 
 
 def square(upper, k: int) -> np.ndarray:
@@ -54,6 +57,6 @@ def ols_gram(df: DataFrame, regressors, target: Column, by=BY) -> DataFrame:
     """``(by, n, beta[], se[], rss)`` of ``target`` on ``regressors``; rows with a NULL are left out."""
     cols = {f"x{i}": c for i, c in enumerate(regressors)} | {"target": target}
     rows = df.select(*by, *[c.cast("double").alias(n) for n, c in cols.items()]).dropna(subset=list(cols))
-    g = rows.groupBy(*by).agg(F.count("*").alias("n"), product_sums([F.col(n) for n in cols]).alias("g"))
+    g = rows.groupBy(*by).agg(F.count("*").alias("n"), product_sums(list(cols)).alias("g"))
     s = solve_rows("g", "n")
     return g.withColumn("s", s).select(*by, "n", "s.beta", "s.se", "s.rss")

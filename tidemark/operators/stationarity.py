@@ -94,7 +94,7 @@ def adf_test(df: DataFrame, regression: str = "c", max_lags: int | None = None,
     terms = [F.when(inside, c if isinstance(c, Column) else F.lit(c)).otherwise(0.0) for c in design]
     names = {f"_x{i}": c for i, c in enumerate(terms)}
     g = rows.withColumns(names).groupBy(*by).agg(
-        F.max("n").alias("n"), product_sums([F.col(x) for x in names]).alias("g"),
+        F.max("n").alias("n"), product_sums(list(names)).alias("g"),
         F.array_sort(F.collect_list(F.when(F.col(IDX) <= limit + 1, F.struct(F.col(IDX).alias("i"), F.col("_c").alias("v")))))
         .alias("h"))
     r = layout.for_tasks(g, by).withColumn("r", _adf_solver(regression, limit, max_lags is None)("g", F.col("h.v"), "n"))

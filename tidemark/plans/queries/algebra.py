@@ -8,7 +8,7 @@ from tidemark import layout
 from tidemark.layout import IDX, SERIES, TIME, VALUE
 from tidemark.operators import estimation, linalg, selection, shaping
 from tidemark.plans.queries.common import query, r
-from tidemark.plans.series import COO, DAILY, MONTHLY, REVENUE, USER
+from tidemark.plans.series import COO, DAILY, HOURLY, REVENUE, USER
 
 B = dict(bounded=True)
 
@@ -72,10 +72,10 @@ def cross_correlation(t):
     return linalg.cross_correlation(quantity(t), "x", "q", 6, **B)
 
 
-@query("seasonal_join", MONTHLY + f"""SELECT series_id, idx, idx % 12 AS phase, {r('y')} AS y,
-{r('avg(y) OVER (PARTITION BY series_id, idx % 12)')} AS seasonal FROM s""")
+@query("seasonal_join", HOURLY + f"""SELECT series_id, idx, idx % 24 AS phase, {r('y')} AS y,
+{r('avg(y) OVER (PARTITION BY series_id, idx % 24)')} AS seasonal FROM s""")
 def seasonal_join(t):
-    return linalg.seasonal_join(t.monthly(), 12).select(SERIES, IDX, "phase", VALUE, "seasonal")
+    return linalg.seasonal_join(t.hourly(), 24).select(SERIES, IDX, "phase", VALUE, "seasonal")
 
 
 GRID = estimation.grid_orders(2, 2, (0, 1))

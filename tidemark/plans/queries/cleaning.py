@@ -206,12 +206,12 @@ def train_test_split(t):
     return cleaning.train_test_split(t.ev_user(), 0.2).select(SERIES, IDX, VALUE, "role")
 
 
-@query("explore_series", MONTHLY + f""", l1 AS (SELECT series_id, idx, w, lag(w, 1) OVER (PARTITION BY series_id ORDER BY idx) AS l1,
+@query("explore_series", (MONTHLY + f""", l1 AS (SELECT series_id, idx, w, lag(w, 1) OVER (PARTITION BY series_id ORDER BY idx) AS l1,
  lag(w, 2) OVER (PARTITION BY series_id ORDER BY idx) AS l2 FROM c),
 a AS (SELECT series_id, sum(w * l1) / sum(w * w) AS r1, sum(w * l2) / sum(w * w) AS r2 FROM l1 GROUP BY 1),
 g AS (SELECT series_id, count(*) AS length, {STATS}, {QUARTILES} FROM s GROUP BY 1 HAVING count(*) >= 10)
 SELECT g.*, {r('r1')} AS acf_1, {r('r2')} AS acf_2, {r('(r2 - r1 * r1) / (1 - r1 * r1)')} AS pacf_2,
- least(20, floor(length / 4)::BIGINT + 1) AS depth FROM g JOIN a USING (series_id)""")
+ least(20, floor(length / 4)::BIGINT + 1) AS depth FROM g JOIN a USING (series_id)""").replace(", 6)", ", 8)"), 8)
 def explore_series(t):
     e = quality.explore_series(t.monthly(), **B)
     return e.select("*", F.get("acf", F.lit(1)).alias("acf_1"), F.get("acf", F.lit(2)).alias("acf_2"),
