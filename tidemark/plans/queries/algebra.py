@@ -188,7 +188,7 @@ z AS (SELECT series_id, window_id, any_value(m) AS m, sum(c * c) / any_value(m)
 z2 AS (SELECT *, (yy - (b1 * (b1 * a22 - b2 * a12) + b2 * (a11 * b2 - a12 * b1)) / (a11 * a22 - a12 * a12)) / m AS s2 FROM z),
 u AS (SELECT series_id, window_id, m, 0 AS p, s0 AS v FROM z2 UNION ALL SELECT series_id, window_id, m, 1, s1 FROM z2
   UNION ALL SELECT series_id, window_id, m, 2, s2 FROM z2),
-fits AS (SELECT series_id, window_id, p::BIGINT AS p, 0::BIGINT AS d, 0::BIGINT AS q, m >= 10 AS success,
+fits AS (SELECT series_id, window_id, m, p::BIGINT AS p, 0::BIGINT AS d, 0::BIGINT AS q, m >= 10 AS success,
   2 * (p + 1) + m * (ln(2 * pi() * v) + 1) AS aic,
   2 * (p + 1) + m * (ln(2 * pi() * v) + 1) + 2.0 * (p + 1) * (p + 2) / (m - p - 2) AS aicc FROM u),
 ranks AS (SELECT *, rank() OVER (PARTITION BY series_id, window_id ORDER BY aicc) AS rank FROM fits WHERE success),

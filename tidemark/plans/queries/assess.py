@@ -195,11 +195,19 @@ def _manual(t, top):
     return s, grid
 
 
-SLIDING = FITS.replace(USER, HOURLY).replace("n / (3 * 0.7 + 0.3)", "n / (5 * 0.8::DOUBLE + 0.2::DOUBLE)").replace("floor(n / 8)", "floor(n / 10)") \
-    .replace("floor(size * 0.7)", "floor(size * 0.8::DOUBLE)").replace("least(3, floor", "least(5, floor")
-
-
-@query("wf_sliding_fit", SLIDING + f"""SELECT series_id, window_id, p, d, q, success, {r('aic')} AS aic, {r('aicc')} AS aicc FROM fits WHERE p >= 1""")
+PLAN_COUNT = ("(CASE WHEN n < 500 THEN greatest(3, least(5, n // 100)) WHEN n < 2000 THEN greatest(5, least(10, n // 150)) "
+              "ELSE greatest(10, least(20, n // 150)) END)")
+PLAN_OVERLAP = "(CASE WHEN n < 500 THEN 0.3 WHEN n < 2000 THEN 0.2 ELSE 0.15 END)::DOUBLE"
+PLAN_FIXED = ("(CASE WHEN n < 500 THEN greatest(3, n // 150) WHEN n < 2000 THEN greatest(4, n // 200) "
+              "ELSE greatest(5, n // 250) END)")
+SLIDING = (FITS.replace(USER, HOURLY)
+           .replace("n / (3 * 0.7 + 0.3)", f"n / ({PLAN_COUNT} * (1 - {PLAN_OVERLAP}) + {PLAN_OVERLAP})")
+           .replace("floor(n / 8)", f"floor(n / ({PLAN_COUNT} + 5))")
+           .replace("floor(size * 0.7)", f"floor(size * (1 - {PLAN_OVERLAP}))")
+           .replace("least(3, floor", f"least({PLAN_COUNT}, floor"))
+
+
+@query("wf_sliding_fit", SLIDING + f"""SELECT series_id, window_id, p, d, q, m >= 30 AS success, {r('CASE WHEN m >= 30 THEN aic END')} AS aic, {r("CASE WHEN m >= 30 THEN aicc ELSE 'inf'::DOUBLE END")} AS aicc FROM fits WHERE p >= 1""")
 def wf_sliding_fit(t):
     """The AR family up to order 2 on the planned windows of the hourly series."""
     s, grid = _manual(t, 2)
@@ -229,10 +237,10 @@ def wf_reconcile(t):
     return workflow.wf_reconcile(s, selection.score_orders(fits))
 
 
-FIXED_AR1 = HOURLY + f""", z AS (SELECT *, greatest(n // 4, floor(11 / 0.7)::BIGINT + 10) AS size FROM s),
+FIXED_AR1 = HOURLY + f""", z AS (SELECT *, greatest(n // {PLAN_FIXED}, floor(11 / 0.7)::BIGINT + 10) AS size FROM s),
 fw AS (SELECT *, idx // size AS window_id, least(size, n - (idx // size) * size) AS len FROM z),
 kw AS (SELECT series_id, window_id, idx - window_id * size AS idx, y, floor(len * 0.7::DOUBLE)::BIGINT AS train_size, len FROM fw
-  WHERE window_id < 4 AND len >= floor(11 / 0.7)::BIGINT + 10),
+  WHERE window_id < {PLAN_FIXED} AND len >= floor(11 / 0.7)::BIGINT + 10),
 tr AS (SELECT *, y - avg(y) OVER k AS w, avg(y) OVER k AS mean, count(*) OVER k AS m FROM kw WHERE idx < train_size WINDOW k AS (PARTITION BY series_id, window_id)),
 lt AS (SELECT *, lag(w) OVER (PARTITION BY series_id, window_id ORDER BY idx) AS l1 FROM tr),
 fa AS (SELECT series_id, window_id, any_value(mean) AS mean, any_value(m) AS m, sum(w * l1) / sum(l1 * l1) AS phi, arg_max(w, idx) AS last_w,
