@@ -208,3 +208,10 @@ def test_workflow_modes(spark):
     out = workflow.wf_forecast(res, 5).collect()
     assert len(out) == 5 and all(r.lower <= r.forecast <= r.upper for r in out)
     assert "AR workflow" in workflow.wf_results(res).first().summary
+
+
+def test_equal_times_are_not_sorted_by_value(spark):
+    s = spark.createDataFrame([("a", 0, float(v)) for v in range(200)], f"{SERIES} string, {TIME} long, {VALUE} double")
+    values = [r[VALUE] for r in layout.with_index(s).orderBy(IDX).collect()]
+    assert sorted(values) == [float(v) for v in range(200)]
+    assert abs(np.corrcoef(values[1:], values[:-1])[0, 1]) < 0.3

@@ -153,9 +153,14 @@ def needs_chunks(df: DataFrame, by=BY, bounded: bool = False) -> bool:
     return longest(df, by) > whole_rows(df)
 
 
-def _tie_breakers(df: DataFrame, used) -> list[str]:
-    return [f.name for f in df.schema.fields
+def _tie_breakers(df: DataFrame, used) -> list:
+    """Rows of equal time are ordered by a hash of what is left of them, then by the columns themselves.
+
+    Sorting ties by value would put a pattern into the series that is not in the data.
+    """
+    rest = [f.name for f in df.schema.fields
             if f.name not in used and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return [F.xxhash64(*rest), *rest] if rest else []
 
 
 def with_index(df: DataFrame, by=BY, order=(TIME,), bounded: bool = False) -> DataFrame:
@@ -179,7 +184,7 @@ def _index_by_range(df: DataFrame, by, ordering) -> DataFrame:
     The sorted table is written out first: its range bounds come from a sample, so both readers of
     it (the run table and the rows) have to see the same bytes, also after an executor is lost.
     """
-    cols = [F.col(c) for c in (*by, *ordering)]
+    cols = [c if isinstance(c, Column) else F.col(c) for c in (*by, *ordering)]
     placed = durable(
         df.repartitionByRange(*cols).sortWithinPartitions(*cols)
         .withColumn("_place", F.monotonically_increasing_id())
