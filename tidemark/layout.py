@@ -15,7 +15,6 @@ The helpers below hide the difference, so operators are written once.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -40,12 +39,11 @@ def whole_rows(df: DataFrame) -> int:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under the cluster's shared folder (a temporary one in local mode only)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="tidemark-")
+    """A fresh folder name under the folder that driver and executors share.
+
+    That is ``spark.checkpoint.dir`` or, where it is unset, Spark's own ``spark.sql.warehouse.dir``.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
