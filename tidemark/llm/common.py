@@ -107,5 +107,21 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+_BYTES = Rolling(0xC2B2AE3D27D4EB4F)
+_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def hash_words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (runs without ASCII white space) of some texts, and the number in each text."""
+    data = np.frombuffer(b"\n".join(raws), dtype=np.uint8)
+    edge = np.diff(np.concatenate([[True], _IS_SPACE[data], [True]]).astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    sums = _BYTES.sums(_BYTE_VALUES[data])
+    hashes = mix(_BYTES.digest(sums, start, end) + (end - start).astype(np.uint64))
+    edges = np.cumsum([0, *(len(r) + 1 for r in raws)])
+    return hashes, np.diff(np.searchsorted(start, edges))
+
+
 def hex_sha256(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
