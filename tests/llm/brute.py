@@ -72,3 +72,13 @@ def components(prints, most=3):
         if (new == label).all():
             return {i: ids[k] for i, k in zip(ids, label)}
         label = new
+
+
+def secrets(text):
+    """(n_assign, n_access, n_hex, base_sha256) of one text."""
+    kinds = (("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace(
+        "(password|passwd|secret|token|api_?key)", "((?i:password|passwd|secret|token|api_?key))")), lambda m: len(m[2]) >= 8),
+             ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32))
+    found = [(m.start(), k, m.end(), kind) for k, (kind, pattern, good) in enumerate(kinds) for m in pattern.finditer(text or "") if good(m)]
+    joined = ",".join(f"{kind}:{start}:{end}" for start, _, end, kind in sorted(found))
+    return (*(sum(f[3] == kind for f in found) for kind in ("assign", "access", "hex")), hashlib.sha256(joined.encode()).hexdigest())
