@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, exact_dedup, near_dedup, packing, secret_scan, substring_dedup, token_counts, toxicity
+from tidemark.llm import chat, decontaminate, exact_dedup, near_dedup, packing, page_text, secret_scan, substring_dedup, token_counts, toxicity
 from tidemark.llm.common import load
 
 
+def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_texts(load(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(load(spark, sf_dir, "documents"))
 
