@@ -2,9 +2,10 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from tidemark import layout
-from tidemark.operators import estimation
+from tidemark.operators import estimation, kernels
 
 ORDERS = [(1, 0, 1), (0, 1, 1), (1, 0, 0)]
 
@@ -42,3 +43,54 @@ def test_chunked_fit_matches_kernel(spark):
         np.testing.assert_allclose(a.y_tail, b.y_tail, atol=1e-9)
         np.testing.assert_allclose(a.se, b.se, rtol=0.05)
         assert a.levels == b.levels and abs(a.mean - b.mean) < 1e-9
+
+
+def recovered(spark, phi, theta, n=3000):
+    """A series of one ARMA model fitted in both layouts: (whole, chunked)."""
+    rng = np.random.default_rng(11)
+    e = rng.normal(size=n + 200)
+    y = np.zeros(n + 200)
+    for t in range(3, n + 200):
+        y[t] = sum(a * y[t - k] for k, a in enumerate(phi, 1)) + e[t] + sum(b * e[t - k] for k, b in enumerate(theta, 1))
+    df = spark.createDataFrame(pd.DataFrame({"series_id": "x", "t": range(n), "y": y[200:] + 5}))
+    order = [(len(phi), 0, len(theta))]
+    whole = estimation.fit_orders(df, order).first()
+    spark.conf.set(layout.CHUNK_ROWS_CONF, "500")
+    spark.conf.set(layout.WHOLE_ROWS_CONF, "100")
+    try:
+        s = layout.with_index(df)
+        assert layout.has_chunks(s)
+        return whole, estimation.fit_orders(s, order).first()
+    finally:
+        spark.conf.unset(layout.CHUNK_ROWS_CONF)
+        spark.conf.unset(layout.WHOLE_ROWS_CONF)
+
+
+@pytest.mark.parametrize("phi, theta", [((1.5, -0.7), ()), ((1.5, -0.7), (0.4,)), ((), (0.6, 0.2))])
+def test_one_answer_in_both_layouts(spark, phi, theta):
+    whole, parts = recovered(spark, phi, theta)
+    assert whole.success and parts.success, (whole.error, parts.error)
+    np.testing.assert_allclose(whole.phi + whole.theta, parts.phi + parts.theta, atol=1e-6)
+    np.testing.assert_allclose(whole.log_likelihood, parts.log_likelihood, rtol=1e-9)
+    np.testing.assert_allclose(whole.phi + whole.theta, [*phi, *theta], atol=0.07)
+
+
+def test_no_success_without_convergence(monkeypatch):
+    rng = np.random.default_rng(1)
+    y = np.cumsum(rng.normal(size=200))
+    monkeypatch.setattr(kernels, "MAX_STEPS", 1)
+    row = kernels.fit_order(y, 2, 0, 2, 10)
+    assert not row["success"] and "convergence" in row["error"]
+
+
+def test_fits_stay_stationary_and_invertible():
+    rng = np.random.default_rng(2)
+    e = rng.normal(size=400)
+    for y in (np.cumsum(e), np.diff(e), np.cumsum(np.cumsum(e))):
+        for p, q in ((1, 1), (2, 1), (0, 2), (2, 2)):
+            row = kernels.fit_order(y, p, 0, q, 10)
+            if row["success"]:  # a moving average of a doubly summed series may not settle, and then says so
+                beta = np.array(row["phi"] + row["theta"])
+                np.testing.assert_allclose(kernels.inside(beta, p), beta, atol=1e-9)
+            else:
+                assert p == 0 and row["error"] == kernels.NO_CONVERGENCE

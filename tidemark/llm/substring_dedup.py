@@ -199,15 +199,17 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc, first, count``: runs of windows that also start in a document with a smaller doc_id."""
     docs = common.slim(docs)
     found = anchors(docs, window)
-    shared = (found.groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-              .where("least < most").select("name"))
+    # aggregates are written before they are joined: joins between plain shuffles can be split where a name is hot
+    shared = common.durable(found.groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+                            .where("least < most").select("name"))
     held = common.durable(found.join(shared, "name"))
-    spans = held.groupBy("name", "digest").agg(F.min("doc").alias("least"))
-    several = spans.groupBy("name").agg(F.count("*").alias("spans"))
-    judged = common.durable(held.join(spans, ["name", "digest"]).join(several, "name"))
+    spans = common.durable(held.groupBy("name", "digest").agg(F.min("doc").alias("least")))
+    several = common.durable(spans.groupBy("name").agg(F.count("*").alias("spans")))
+    marked = common.durable(spans.join(several, "name"))
+    judged = common.durable(held.join(marked, ["name", "digest"]).select("doc", "first", "count", "least", "spans"))
     whole = judged.where("doc > least").select("doc", "first", "count")
     single = common.durable(_windows(docs, judged.where("doc = least AND spans > 1"), window))
-    least = single.groupBy("one", "two").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+    least = common.durable(single.groupBy("one", "two").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most"))
     edges = single.join(least, ["one", "two"]).where("doc > least").select("doc", "first", F.lit(1).alias("count"))
     return whole.unionByName(edges)
 

@@ -88,9 +88,19 @@ def fit_orders(df: DataFrame, orders, by=BY, min_obs=GROUP_MIN, bounded: bool =
     sized = layout.with_totals(s, by, _n=F.count("*"))
     long_groups = s.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*by)
     short = grouped(sized.filter(F.col("_n") <= limit), specs.join(long_groups, [*by], "left_anti"))
-    long = fit_long(sized.filter(F.col("_n") > limit).drop("_n"), specs.join(long_groups, [*by], "left_semi"),
-                    by, min_obs)
-    return short.unionByName(long)
+    rows, asked = sized.filter(F.col("_n") > limit).drop("_n"), specs.join(long_groups, [*by], "left_semi")
+    moving = fit_long(rows, asked.filter("q > 0"), by, min_obs)
+    return short.unionByName(_closed_form(rows, asked.filter("q = 0"), by, min_obs)).unionByName(moving)
+
+
+def _closed_form(rows: DataFrame, specs: DataFrame, by, min_obs) -> DataFrame:
+    """Pure autoregressions of long series: the same least squares as in one task, from sums of products."""
+    out = rows.sparkSession.createDataFrame([], fit_schema(rows, by))
+    for d, ps in sorted((r["d"], r["ps"]) for r in specs.groupBy("d").agg(F.collect_set("p").alias("ps")).collect()):
+        wanted = specs.filter(F.col("d") == d).select(*by, "p")
+        mine = layout.join_series(rows, wanted.select(*by).distinct(), by)
+        out = out.unionByName(ar_fit(mine, sorted(ps), d, by, min_obs).join(wanted, [*by, "p"], "left_semi"))
+    return out
 
 
 # ---------------------------------------------------------------- autoregressions from product sums

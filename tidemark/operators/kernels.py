@@ -12,10 +12,12 @@ import numpy as np
 
 from tidemark.functions.criteria import LOG_2PI
 
-LIMIT = 0.99
+#: Largest root, in modulus, of the autoregressive and of the moving-average polynomial of a fit.
+LIMIT = 0.9999
 BLOCK = 64
-MAX_STEPS = 50
+MAX_STEPS = 200
 TOLERANCE = 1e-8
+MOST_DAMPING = 1e6
 
 
 @lru_cache(maxsize=None)
@@ -90,6 +92,25 @@ def _jacobian(w, e, phi, theta):
     return ma_filter(u, theta)
 
 
+def _shrunk(coef: np.ndarray) -> np.ndarray:
+    """Coefficients of 1 - c_1 z - ... - c_k z^k with all roots pulled to at most ``LIMIT``."""
+    if len(coef) == 0:
+        return coef
+    if len(coef) == 1:
+        radius = abs(float(coef[0]))
+    else:
+        companion = np.eye(len(coef), k=-1)
+        companion[0] = coef
+        radius = float(np.abs(np.linalg.eigvals(companion)).max())
+    return coef if radius <= LIMIT else coef * (LIMIT / radius) ** np.arange(1, len(coef) + 1)
+
+
+def inside(beta: np.ndarray, p: int) -> np.ndarray:
+    """The nearest stationary and invertible parameters along the common shrinking of all roots."""
+    beta = np.where(np.isfinite(beta), beta, 0.0)
+    return np.concatenate([_shrunk(beta[:p]), -_shrunk(-beta[p:])])
+
+
 def _start(w: np.ndarray, p: int, q: int) -> np.ndarray:
     """Hannan-Rissanen: residuals of a long autoregression stand in for the shocks."""
     n = len(w)
@@ -102,7 +123,41 @@ def _start(w: np.ndarray, p: int, q: int) -> np.ndarray:
     skip = long + q
     if n - skip <= p + q:
         return np.zeros(p + q)
-    return np.clip(np.linalg.lstsq(x[skip:], w[skip:], rcond=None)[0], -0.95, 0.95)
+    return np.linalg.lstsq(x[skip:], w[skip:], rcond=None)[0]
+
+
+def advance(trial, best, rss, gram, damp, base, new, p):
+    """Judge one trial and propose the next: damped Gauss-Newton, the same for every layout.
+
+    ``new``: sums of products of (derivatives, residuals) at ``trial``; ``base``: sum of squares with no parameters.
+    Returns ``(trial, best, rss, gram, damp, done, taken)``; ``done`` means converged.
+    """
+    k = len(trial)
+    r = float(new[k, k])
+    r = r if math.isfinite(r) else math.inf
+    if best is None and r > base and np.any(trial):  # no better than the mean alone: start from zero
+        return np.zeros(k), None, rss, None, damp, False, False
+    done, taken = False, best is None or r < rss
+    if taken:
+        if best is not None:
+            done = (rss - r) / max(rss, 1e-300) < TOLERANCE
+            damp = max(damp / 16.0, 1e-10)
+        best, rss, gram = trial, r, new
+    else:
+        damp = max(damp * 8.0, 1e-6)
+    normal, slope = gram[:k, :k], gram[:k, k]
+    if not np.isfinite(normal).all():
+        return best * 0.5, best, rss, gram, damp, done or damp > MOST_DAMPING, taken
+    while True:
+        system = normal + damp * np.diag(np.maximum(np.diag(normal), 1e-12))
+        wished = best + np.linalg.lstsq(system, -slope, rcond=None)[0]
+        trial = inside(wished, p)
+        move = trial - best
+        promised = -(2.0 * slope @ move + move @ normal @ move)
+        if promised >= TOLERANCE * rss or damp > MOST_DAMPING or np.array_equal(trial, wished):
+            break
+        damp = max(damp * 8.0, 1e-6)  # the region cuts this step short; a smaller one may still gain
+    return trial, best, rss, gram, damp, done or damp > MOST_DAMPING or promised < TOLERANCE * rss, taken
 
 
 def _rss(w, beta, p):
@@ -113,7 +168,7 @@ def _rss(w, beta, p):
 
 
 def css_fit(w: np.ndarray, p: int, q: int):
-    """``(phi, theta, rss, residuals, standard errors)`` of a centred series, variance concentrated out."""
+    """``(phi, theta, rss, residuals, standard errors, converged)`` of a centred series, variance concentrated out."""
     n, k = len(w), p + q
     start = max(p, q)
     if q == 0:
@@ -121,37 +176,21 @@ def css_fit(w: np.ndarray, p: int, q: int):
         beta = np.linalg.lstsq(x, target, rcond=None)[0]
         rss, e = _rss(w, beta, p)
         inverse = np.linalg.pinv(x.T @ x, hermitian=True)
-        return beta, beta[:0], rss, e, np.sqrt(np.maximum(np.diag(inverse), 0) * rss / n)
-    best = np.zeros(k)
-    rss, e = _rss(w, best, p)
-    guess = _start(w, p, q)
-    r, g = _rss(w, guess, p)
-    if r < rss:
-        best, rss, e = guess, r, g
-    damp, normal = 1e-6, np.eye(k)
+        return beta, beta[:0], rss, e, np.sqrt(np.maximum(np.diag(inverse), 0) * rss / n), True
+    trial, best, rss, gram, damp, base, kept = inside(_start(w, p, q), p), None, math.inf, None, 1e-6, float(w @ w), w
     for _ in range(MAX_STEPS):
-        jac = _jacobian(w, e, best[:p], best[p:])
-        normal, slope = jac.T @ jac, jac.T @ e
-        if not np.isfinite(normal).all():
-            break
-        improved = False
-        for _ in range(12):
-            system = normal + np.diag(damp * np.maximum(np.diag(normal), 1e-12) + 1e-12)
-            step = np.linalg.solve(system, -slope)
-            trial = np.clip(best + step, -LIMIT, LIMIT)
-            r, g = _rss(w, trial, p)
-            if r < rss:
-                improved = True
-                break
-            damp = max(damp * 8.0, 1e-6)
-        if not improved:
-            break
-        gain = (rss - r) / max(rss, 1e-300)
-        best, rss, e, damp = trial, r, g, max(damp / 16.0, 1e-10)
-        if gain < TOLERANCE:
+        with np.errstate(all="ignore"):
+            e = residuals(w, trial[:p], trial[p:])
+            x = np.column_stack([_jacobian(w, e, trial[:p], trial[p:]), e])
+            trial, best, rss, gram, damp, done, taken = advance(trial, best, rss, gram, damp, base, x.T @ x, p)
+        kept = e if taken else kept
+        if done:
             break
-    inverse = np.linalg.pinv(normal, hermitian=True)
-    return best[:p], best[p:], rss, e, np.sqrt(np.maximum(np.diag(inverse), 0) * rss / n)
+    inverse = np.linalg.pinv(gram[:k, :k], hermitian=True)
+    return best[:p], best[p:], rss, kept, np.sqrt(np.maximum(np.diag(inverse), 0) * rss / n), done
+
+
+NO_CONVERGENCE = f"no convergence in {MAX_STEPS} steps"
 
 
 def criteria(n: int, rss: float, k: int, n_aicc: int) -> dict:
@@ -184,15 +223,18 @@ def fit_order(y: np.ndarray, p: int, d: int, q: int, min_obs: int) -> dict:
         w = z - mean
         if p + q == 0:
             phi = theta = se = np.zeros(0)
-            e, rss = w, float(w @ w)
+            e, rss, converged = w, float(w @ w), True
         else:
-            phi, theta, rss, e, se = css_fit(w, p, q)
+            phi, theta, rss, e, se, converged = css_fit(w, p, q)
         if not math.isfinite(rss) or rss <= 1e-24 * max(1.0, float(z @ z)):
             row["error"] = "no variation left to fit"
             return row
+        if not converged:
+            row["error"] = NO_CONVERGENCE
+            return row
         row.update(criteria(n, rss, p + q + 1, n), success=True, phi=phi.tolist(), theta=theta.tolist(),
                    mean=mean, c=mean * (1.0 - float(phi.sum())), se=se.tolist(), n_obs=n, levels=levels,
                    y_tail=w[::-1][:max(p, 1)].tolist(), e_tail=e[::-1][:max(q, 1)].tolist())
     except Exception as problem:  # a failing series must not fail the job
-        row["error"] = f"{type(problem).__name__}: {problem}"[:500]
+        row["error"] = f"{type(problem).__name__}: {problem}"
     return row

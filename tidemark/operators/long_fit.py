@@ -84,7 +84,7 @@ def _starts(rows, specs, p, q, by):
             full = square(upper, p + q + 1)
             keep = [*range(i), *range(p, p + j), p + q]
             beta = solve(full[np.ix_(keep, keep)], float(n))[0]
-            out.append((np.clip(beta, -0.95, 0.95).tolist(),))
+            out.append((kernels.inside(beta, i).tolist(),))
         return pd.DataFrame(out, columns=["beta"])
 
     beta = F.pandas_udf(start, result)("g", "k", "p", "q")["beta"]
@@ -205,37 +205,15 @@ def _evaluate(rows, chunks, state, lags, by):
 
 
 def _step(t):
-    """Accept or reject one trial and propose the next (damped Gauss-Newton with halving by damping)."""
+    """``kernels.advance`` on one row of the state table."""
     p, q = int(t.p), int(t.q)
     k = p + q
-    new = square(t.new_gram, k + 1)
-    r = float(new[k, k])
-    r = r if math.isfinite(r) else math.inf
-    damp, rss, done = float(t.damp), float(t.rss), False
     best = None if t.best is None else np.asarray(t.best, dtype=float)
-    gram, tail = t.gram, t.tail
-    if best is None and r > t.base and any(t.trial):  # no better than the mean alone: start from zero
-        return [0.0] * k, None, rss, None, None, damp, False, t.base
-    if best is None or r < rss:
-        gain = (rss - r) / max(rss, 1e-300) if math.isfinite(rss) else math.inf
-        done = gain < kernels.TOLERANCE
-        if best is not None:
-            damp = max(damp / 16.0, 1e-10)
-        best, rss, gram, tail = np.asarray(t.trial, dtype=float), r, list(t.new_gram), list(t.new_tail)
-    else:
-        damp = max(damp * 8.0, 1e-6)
-        done = damp > 1e6
-    g = square(gram, k + 1)
-    normal, slope = g[:k, :k], g[:k, k]
-    if not np.isfinite(normal).all():
-        trial = best * 0.5
-    else:
-        system = normal + damp * np.diag(np.maximum(np.diag(normal), 1e-12))
-        trial = np.clip(best + np.linalg.lstsq(system, -slope, rcond=None)[0], -kernels.LIMIT, kernels.LIMIT)
-        move = trial - best
-        promised = -(2.0 * slope @ move + move @ normal @ move)
-        done = done or promised < kernels.TOLERANCE * rss
-    return trial.tolist(), best.tolist(), rss, gram, tail, damp, bool(done), t.base
+    gram = None if t.gram is None else square(t.gram, k + 1)
+    trial, best, rss, gram, damp, done, taken = kernels.advance(
+        np.asarray(t.trial, dtype=float), best, float(t.rss), gram, float(t.damp), float(t.base), square(t.new_gram, k + 1), p)
+    return (trial.tolist(), None if best is None else best.tolist(), rss, None if gram is None else gram[np.triu_indices(k + 1)].tolist(),
+            list(t.new_tail) if taken else t.tail, damp, bool(done), t.base)
 
 
 _STEP = T.StructType([T.StructField("trial", _ARR), T.StructField("best", _ARR), T.StructField("rss", T.DoubleType()),
@@ -266,7 +244,9 @@ def _finish(state, facts, d, by, min_obs, schema):
                 row = dict.fromkeys(estimation.FIT_NAMES)
                 row.update(p=p, d=d, q=q, success=False, aicc=math.inf, n_obs=n, error="no variation left to fit")
                 if n + d < estimation.minimum(p, d, q, min_obs):
-                    row["error"] = "series too short"
+                    row["error"] = f"series too short: {n + d} < {estimation.minimum(p, d, q, min_obs)}"
+                elif not t.done:
+                    row["error"] = kernels.NO_CONVERGENCE
                 elif t.rss > 0 and math.isfinite(t.rss):
                     best = np.asarray(t.best, dtype=float)
                     g = square(t.gram, p + q + 1)
@@ -278,5 +258,5 @@ def _finish(state, facts, d, by, min_obs, schema):
                 out.append([getattr(t, k) for k in by] + [row[c] for c in estimation.FIT_NAMES])
             yield pd.DataFrame(out, columns=names)
 
-    return state.join(facts, [*by]).select(*by, "p", "q", "best", "rss", "gram", "tail", "n", "m", "t", "levels") \
+    return state.join(facts, [*by]).select(*by, "p", "q", "best", "rss", "gram", "tail", "done", "n", "m", "t", "levels") \
         .mapInPandas(rows, schema)
