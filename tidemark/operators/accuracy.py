@@ -35,7 +35,7 @@ def _mape() -> Column:
 
 
 def _smape() -> Column:
-    return F.coalesce(F.avg(div(2.0 * F.abs(_error()), F.abs(A) + F.abs(P))) * 100, F.lit(0.0))
+    return F.coalesce(F.avg(div(2.0 * F.abs(_error()), F.abs(A) + F.abs(P))) * 100, F.lit(INFINITY))
 
 
 def _theil() -> Column:

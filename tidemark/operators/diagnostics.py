@@ -3,23 +3,19 @@
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import layout
 from tidemark.functions.guards import div
-from tidemark.functions.probability import chi2_tail, chi2_tail_even, kolmogorov_tail, normal_cdf
+from tidemark.functions.probability import chi2_tail, chi2_tail_even, kolmogorov_tail, normal_cdf, normal_quantile
 from tidemark.layout import BY, IDX
 
 R = "residual"
 TINY = 1e-15
 LJUNG_LAGS = 10
-SHAPIRO_MAX = 5000
 
 # Royston's polynomial coefficients for the Shapiro-Wilk weights and p-value.
 ROYSTON_LAST = (-2.706056, 4.434685, -2.071190, -0.147981, 0.221157)
@@ -60,57 +56,53 @@ def ks_normal(df: DataFrame, by=BY, bounded: bool = False) -> DataFrame:
     return g.select(*by, "ks_stat", kolmogorov_tail("ks_stat", "n").alias("ks_p"))
 
 
-def _shapiro(x: np.ndarray, quantile):
-    n = len(x)
-    x = np.sort(x)
-    if n < 3 or np.std(x) < TINY or x[-1] - x[0] < TINY:
-        return None, None
-    m = np.array([quantile((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    size = float(m @ m)
-    a = m / math.sqrt(size)
-    if n == 3:
-        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
-    else:
-        u = 1.0 / math.sqrt(n)
-        last = np.polyval((*ROYSTON_LAST, a[-1]), u)
-        if n > 5:
-            second = np.polyval((*ROYSTON_NEXT, a[-2]), u)
-            left = (size - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last ** 2 - 2 * second ** 2)
-            a = m / math.sqrt(left)
-            a[-2], a[1] = second, -second
-        else:
-            a = m / math.sqrt((size - 2 * m[-1] ** 2) / (1 - 2 * last ** 2))
-        a[-1], a[0] = last, -last
-    w = min(1.0, float((a @ x) ** 2 / np.sum((x - x.mean()) ** 2)))
-    if n == 3:
-        p = 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))
-        return w, max(0.0, p)
-    y = math.log(max(1.0 - w, 1e-300))
-    if n <= 11:
-        g = np.polyval(ROYSTON_SMALL_G, n)
-        if y >= g:
-            return w, 1e-99
-        z = (-math.log(g - y) - np.polyval(ROYSTON_SMALL_MU, n)) / math.exp(np.polyval(ROYSTON_SMALL_SD, n))
-    else:
-        ln = math.log(n)
-        z = (y - np.polyval(ROYSTON_LARGE_MU, ln)) / math.exp(np.polyval(ROYSTON_LARGE_SD, ln))
-    return w, 0.5 * math.erfc(z / math.sqrt(2.0))
-
-
-def shapiro_wilk(df: DataFrame, by=BY) -> DataFrame:
-    """W and p for 3 to 5000 residuals; other series give NULL and never reach a task as one group."""
-    quantile = NormalDist().inv_cdf
-    sizes = df.groupBy(*by).agg(F.count(R).alias("n"))
-    small = sizes.filter((F.col("n") >= 3) & (F.col("n") <= SHAPIRO_MAX))
-    names = [*by, "shapiro_stat", "shapiro_p"]
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, p = _shapiro(pdf[R].to_numpy(dtype=float), quantile)
-        return pd.DataFrame([[pdf.iloc[0][k] for k in by] + [w, p]], columns=names)
-
-    schema = T.StructType([df.schema[k] for k in by] + [T.StructField(n, T.DoubleType()) for n in names[len(by):]])
-    rows = df.filter(F.col(R).isNotNull()).select(*by, R).join(small.select(*by), [*by], "left_semi")
-    return sizes.select(*by).join(rows.groupBy(*by).applyInPandas(test, schema), [*by], "left")
+def _at(coefs, x) -> Column:
+    """A polynomial, highest power first; coefficients may be columns."""
+    acc = F.lit(coefs[0]) if isinstance(coefs[0], float) else coefs[0]
+    for c in coefs[1:]:
+        acc = acc * x + c
+    return acc
+
+
+def shapiro_wilk(df: DataFrame, by=BY, bounded: bool = False) -> DataFrame:
+    """W and p of any number of residuals from 3 up; fewer, or no variation, give NULL.
+
+    W needs the sorted positions, the normal quantile of each and a few sums: one sort and one aggregate, so
+    a series of any length is no single group.
+    """
+    r = df.select(*by, R).filter(F.col(R).isNotNull())
+    wide = layout.needs_chunks(df, by, bounded)
+    s = layout.with_index(r, by, (R,), bounded=not wide)
+    share = lambda i: (i - 0.375) / (F.col("n") + 0.25)
+    s = layout.with_totals(s, by, n=F.count("*")).filter("n >= 3").withColumn("_p", share(F.col(IDX) + 1))
+    s = s.withColumn("_q", normal_quantile(F.col("_p")))
+    m, x = F.col("_q"), F.col(R)
+    at = lambda i: F.max(F.when(F.col(IDX) == i - 1, x))
+    g = s.groupBy(*by).agg(
+        F.max("n").alias("n"), F.sum(m * m).alias("mm"), F.sum(m * x).alias("mx"), (F.var_pop(x) * F.count("*")).alias("ss"),
+        F.stddev_pop(x).alias("sd"), at(1).alias("x1"), at(2).alias("x2"), at(F.col("n") - 1).alias("y2"), at(F.col("n")).alias("y1"))
+    n, mm, top, second_top, last, second, w = (F.col(c) for c in ("n", "mm", "top", "second_top", "last", "second", "shapiro_stat"))
+    # one step per line of the published method; each is a projection of its own, so expressions stay small
+    g = g.withColumns({"_p1": share(n), "_p2": share(n - 1), "u": 1.0 / F.sqrt(n)})
+    g = g.withColumns({"top": normal_quantile(F.col("_p1")), "second_top": normal_quantile(F.col("_p2"))})
+    g = g.withColumns({"last": _at((*ROYSTON_LAST, top / F.sqrt(mm)), F.col("u")), "second": _at((*ROYSTON_NEXT, second_top / F.sqrt(mm)), F.col("u")),
+                       "ends": F.col("y1") - F.col("x1"), "inner": F.col("y2") - F.col("x2")})
+    g = g.withColumn("rest", F.col("mx") - top * F.col("ends"))
+    long = last * F.col("ends") + second * F.col("inner") + (F.col("rest") - second_top * F.col("inner")) / F.sqrt(
+        (mm - 2 * top * top - 2 * second_top * second_top) / (1 - 2 * last * last - 2 * second * second))
+    short = last * F.col("ends") + F.col("rest") / F.sqrt((mm - 2 * top * top) / (1 - 2 * last * last))
+    g = g.withColumn("weighted", F.when(n == 3, F.col("ends") * math.sqrt(0.5)).when(n > 5, long).otherwise(short))
+    usable = (n >= 3) & (F.col("sd") >= TINY) & (F.col("ends") >= TINY)
+    g = g.select(*by, "n", F.when(usable, F.least(F.lit(1.0), div(F.col("weighted") * F.col("weighted"), F.col("ss")))).alias("shapiro_stat"))
+    g = g.withColumns({"y": F.ln(F.greatest(1.0 - w, F.lit(1e-300))), "ln": F.ln(n.cast("double")), "edge": _at(ROYSTON_SMALL_G, n)})
+    few = (-F.ln(F.greatest(F.col("edge") - F.col("y"), F.lit(1e-300))) - _at(ROYSTON_SMALL_MU, n)) / F.exp(_at(ROYSTON_SMALL_SD, n))
+    many = (F.col("y") - _at(ROYSTON_LARGE_MU, F.col("ln"))) / F.exp(_at(ROYSTON_LARGE_SD, F.col("ln")))
+    g = g.withColumn("z", F.when(n <= 11, few).otherwise(many))
+    three = F.greatest(F.lit(0.0), 6 / math.pi * (F.asin(F.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    p = (F.when(w.isNull(), F.lit(None).cast("double")).when(n == 3, three)
+         .when((n <= 11) & (F.col("y") >= F.col("edge")), 1e-99).otherwise(normal_cdf(-F.col("z"))))
+    found = g.select(*by, "shapiro_stat", p.alias("shapiro_p"))
+    return df.select(*by).distinct().join(found, [*by], "left")
 
 
 def lag_correlations(df: DataFrame, lags: int = LJUNG_LAGS, by=BY, bounded: bool = False) -> DataFrame:

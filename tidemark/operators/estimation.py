@@ -173,14 +173,43 @@ def ar_fit(df: DataFrame, orders=(1,), d: int = 0, by=BY, min_obs=GROUP_MIN, bou
 
 
 def ar_order_aic(df: DataFrame, max_order: int = 5, by=BY, bounded: bool = False) -> DataFrame:
-    return best_fit(ar_fit(df, range(1, max_order + 1), by=by, bounded=bounded), "aic", by).select(*by, "p", "aic")
+    return best_fit(ar_fit(df, range(1, max_order + 1), by=by, bounded=bounded), "aic", by).select(*by, *if_success("p", "aic"))
 
 
 def best_fit(fits: DataFrame, criterion: str = "aic", by=BY) -> DataFrame:
-    """Lowest criterion among the successful fits of each group, ties to the smallest order."""
+    """Lowest criterion among the successful fits of each group, ties to the smallest order.
+
+    A group without any success keeps its first failed row, so that no group is lost.
+    """
     rest = [c for c in fits.columns if c not in by]
-    best = F.min_by(F.struct(*rest), F.struct(criterion, "p", "d", "q"))
-    return fits.filter("success").groupBy(*by).agg(best.alias("b")).select(*by, "b.*")
+    best = F.min_by(F.struct(*rest), F.struct(F.when(F.col("success"), 0).otherwise(1), criterion, "p", "d", "q"))
+    return fits.groupBy(*by).agg(best.alias("b")).select(*by, "b.*")
+
+
+def if_success(*columns: str) -> list:
+    return [F.when(F.col("success"), F.col(c)).alias(c) for c in columns]
+
+
+def failed(keys: DataFrame, error: str, by=BY, order=(None, None, None)) -> DataFrame:
+    """Fit rows of groups that could not be fitted at all."""
+    given = {**dict(zip("pdq", order)), "success": False, "aicc": math.inf, "error": error}
+    return keys.select(*by, *[F.lit(given.get(f.name)).cast(f.dataType).alias(f.name) for f in FIT_FIELDS])
+
+
+def without_values(df: DataFrame, least: int = 1, by=BY) -> DataFrame:
+    """Keys of the groups with fewer than ``least`` usable values."""
+    usable = F.count_if(F.col(VALUE).isNotNull() & ~F.isnan(VALUE))
+    return df.groupBy(*by).agg(usable.alias("_n")).filter(F.col("_n") < least).select(*by)
+
+
+def fit_one(df: DataFrame, order, by=BY, bounded: bool = False) -> DataFrame:
+    """One order for every group of ``df``, missing values left out; a group without values gets a failure row."""
+    s = layout.with_index(drop_missing(df), by, bounded=bounded)
+    p, d, q = order
+    fits = ar_fit(s, [p], d, by) if q == 0 else fit_orders(s, [order], by)
+    # groups that differencing leaves empty have no rows in the closed form
+    empty = without_values(df, d + 1 if q == 0 else 1, by)
+    return fits.unionByName(failed(empty, "no values to fit", by, order))
 
 
 # ---------------------------------------------------------------- named fits and order searches
@@ -203,7 +232,7 @@ def grid_orders(max_p: int, max_q: int, ds=(0,)) -> list[tuple[int, int, int]]:
 
 def ma_order_aic(df: DataFrame, max_order: int = 5, by=BY, bounded: bool = False) -> DataFrame:
     fits = fit_orders(df, [(0, 0, q) for q in range(1, max_order + 1)], by, bounded=bounded)
-    return best_fit(fits, "aic", by).select(*by, "q", "aic")
+    return best_fit(fits, "aic", by).select(*by, *if_success("q", "aic"))
 
 
 def arma_order_grid(df: DataFrame, max_ar: int = 3, max_ma: int = 3, criterion: str = "aic", by=BY,
@@ -216,7 +245,7 @@ def verify_d(df: DataFrame, chosen: DataFrame, max_d: int = 2, criterion: str =
     """ARIMA(1, d, 1) at d and its neighbours; the lowest criterion keeps its d."""
     near = F.filter(F.array(F.col("d") - 1, F.col("d"), F.col("d") + 1), lambda v: (v >= 0) & (v <= max_d))
     specs = chosen.select(*by, F.explode(near).alias("d"), F.lit(1).alias("p"), F.lit(1).alias("q"))
-    best = best_fit(fit_orders(df, specs, by, bounded=bounded), criterion, by).select(*by, F.col("d").alias("_d"))
+    best = best_fit(fit_orders(df, specs, by, bounded=bounded), criterion, by).select(*by, F.when(F.col("success"), F.col("d")).alias("_d"))
     return chosen.join(best, [*by], "left").select(*by, F.coalesce("_d", "d").cast("long").alias("d"))
 
 
@@ -241,10 +270,10 @@ def parallel_model_selection(df: DataFrame, max_p: int = 5, max_d: int = 2, max_
 
 def fit_groups(df: DataFrame, order=(1, 1, 1), auto: bool = False, by=BY, bounded: bool = False) -> DataFrame:
     """One fit row per group; missing values dropped, time-ordered; ``auto`` picks the order per group."""
-    s = layout.with_index(drop_missing(df), by, bounded=bounded)
-    if auto:
-        return arima_order_select(s, by=by)
-    return fit_orders(s, [order], by)
+    if not auto:
+        return fit_one(df, order, by, bounded)
+    chosen = arima_order_select(layout.with_index(drop_missing(df), by, bounded=bounded), by=by)
+    return chosen.unionByName(failed(without_values(df, by=by), "no values to fit", by))
 
 
 def model_explore(df: DataFrame, by=BY, bounded: bool = False) -> DataFrame:
@@ -261,8 +290,7 @@ def model_fit(df: DataFrame, family: str = "ARIMA", order=None, auto: bool = Fal
         raise ValueError("family is AR, MA, ARMA or ARIMA")
     s = layout.with_index(drop_missing(df), by, bounded=bounded)
     if not auto:
-        p, d, q = order or defaults[family]
-        fits = ar_fit(s, [p], d, by) if q == 0 else fit_orders(s, [(p, d, q)], by)
+        fits = fit_one(df, order or defaults[family], by, bounded)
     elif family == "AR":
         fits = best_fit(ar_fit(s, range(1, 6), by=by), "aic", by)
     elif family == "MA":

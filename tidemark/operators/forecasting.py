@@ -87,7 +87,7 @@ def forecast_rows(fits: DataFrame, steps: int, alpha: float = 0.05, by=BY) -> Da
     d = with_forecast(fits, steps, alpha)
     error = F.coalesce("error", F.lit("fit failed")) if "error" in fits.columns else F.lit("fit failed")
     status = F.when(F.col("predictions").isNotNull(), F.lit("ok")).otherwise(error)
-    notes = F.substring(F.coalesce("warnings", F.lit("")), 1, 2000) if "warnings" in fits.columns else F.lit("")
+    notes = F.coalesce("warnings", F.lit("")) if "warnings" in fits.columns else F.lit("")
     step = F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step")
     d = d.select(*by, step, "predictions", "lower_bound", "upper_bound", status.alias("status"),
                  notes.alias("engine_warnings"))
@@ -96,38 +96,32 @@ def forecast_rows(fits: DataFrame, steps: int, alpha: float = 0.05, by=BY) -> Da
                     at("lower_bound", "lower"), at("upper_bound", "upper"), "status", "engine_warnings")
 
 
-def _fit(df, order, by, bounded):
-    s = layout.with_index(drop_missing(df), by, bounded=bounded)
-    p, d, q = order
-    return estimation.ar_fit(s, [p], d, by) if q == 0 else estimation.fit_orders(s, [order], by)
-
-
 def ar_forecast(df: DataFrame, p: int = 1, steps: int = 12, alpha: float = 0.05, by=BY, bounded: bool = False):
-    return forecast_rows(_fit(df, (p, 0, 0), by, bounded), steps, alpha, by)
+    return forecast_rows(estimation.fit_one(df, (p, 0, 0), by, bounded), steps, alpha, by)
 
 
 def ma_forecast(df: DataFrame, q: int = 1, steps: int = 12, alpha: float = 0.05, by=BY, bounded: bool = False):
     """The last shocks carry q steps, then the mean."""
-    return forecast_rows(_fit(df, (0, 0, q), by, bounded), steps, alpha, by)
+    return forecast_rows(estimation.fit_one(df, (0, 0, q), by, bounded), steps, alpha, by)
 
 
 def arma_forecast(df: DataFrame, p=1, q=1, steps: int = 12, alpha: float = 0.05, by=BY, bounded: bool = False):
-    return forecast_rows(_fit(df, (p, 0, q), by, bounded), steps, alpha, by)
+    return forecast_rows(estimation.fit_one(df, (p, 0, q), by, bounded), steps, alpha, by)
 
 
 def arima_forecast(df: DataFrame, p=1, d=1, q=1, steps: int = 12, alpha: float = 0.05, by=BY, bounded: bool = False):
-    return forecast_rows(_fit(df, (p, d, q), by, bounded), steps, alpha, by)
+    return forecast_rows(estimation.fit_one(df, (p, d, q), by, bounded), steps, alpha, by)
 
 
 def forecast_groups(df: DataFrame, order=(1, 0, 0), steps: int = 12, by=BY, bounded: bool = False) -> DataFrame:
     """One model per group, long form, with a row per step also for groups that could not be fitted."""
-    return forecast_rows(_fit(df, order, by, bounded), steps, by=by)
+    return forecast_rows(estimation.fit_one(df, order, by, bounded), steps, by=by)
 
 
 def predict_groups(df: DataFrame, order=(1, 1, 1), steps: int = 12, alpha: float = 0.05, by=BY,
                    bounded: bool = False) -> DataFrame:
     """Array form of the forecasts with bounds."""
-    return with_forecast(_fit(df, order, by, bounded), steps, alpha).select(
+    return with_forecast(estimation.fit_one(df, order, by, bounded), steps, alpha).select(
         *by, "success", "predictions", "lower_bound", "upper_bound", "error")
 
 

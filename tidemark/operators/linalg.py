@@ -10,6 +10,9 @@ from tidemark.functions.guards import div
 from tidemark.layout import BY, IDX, SERIES, TIME, VALUE
 
 
+SALT = 32
+
+
 def dot_product(a: DataFrame, b: DataFrame, by=BY) -> DataFrame:
     """Sum of products of values at equal positions; the join key carries the position, so it spreads."""
     left = a.select(*by, IDX, F.col(VALUE).alias("_a"))
@@ -33,9 +36,13 @@ def vector_variance(df: DataFrame, mean: float | None = None, by=BY) -> DataFram
 
 
 def matvec(matrix: DataFrame, vector: DataFrame) -> DataFrame:
-    """Coordinate matrix times ``(idx, y)``; partial sums per row form before the shuffle."""
-    v = vector.select(F.col(IDX).alias("col"), F.col(VALUE).alias("_v"))
-    return (matrix.join(v, "col").groupBy("row")
+    """Coordinate matrix times ``(idx, y)``; a column's one vector value is copied for ``SALT`` groups of rows.
+
+    A matrix of few columns has few join keys; the row number spreads each of them.
+    """
+    v = vector.select(F.col(IDX).alias("col"), F.col(VALUE).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
+    m = matrix.withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int"))
+    return (m.join(v, ["col", "_salt"]).groupBy("row")
             .agg(F.sum(F.col("value") * F.col("_v")).alias("value")))
 
 
@@ -115,13 +122,23 @@ def correlation_matrix(df: DataFrame, columns, method: str = "pearson") -> DataF
         raise ValueError("method is pearson or spearman")
     data, names = df.select(*columns), list(columns)
     if method == "spearman":
+        # a frequent value is spread over salted copies of its one rank row
+        data = data.withColumn("_salt", F.expr(f"CAST(rand(7) * {SALT} AS INT)"))
+        copies = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt")
         for c in columns:
-            data = data.join(average_ranks(df, c), c)
+            data = data.join(average_ranks(df, c).select(c, f"rank_{c}", copies), [c, "_salt"], "left")
         names = [f"rank_{c}" for c in columns]
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    g = data.agg(*[F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs])
-    scale = lambda i: F.sqrt(F.greatest(F.col(f"c{i}_{i}"), F.lit(0.0)))
-    cells = [F.struct(F.lit(columns[i]).alias("var_a"), F.lit(columns[j]).alias("var_b"),
-                      div(F.col(f"c{min(i, j)}_{max(i, j)}"), scale(i) * scale(j)).alias("corr"))
-             for i in range(len(names)) for j in range(len(names))]
+    aggs = []
+    for i, j in pairs:  # moments over the rows that have both values
+        x, y = F.col(names[i]).cast("double"), F.col(names[j]).cast("double")
+        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        aggs += [F.covar_pop(x, y).alias(f"c{i}_{j}"), F.var_pop(x).alias(f"a{i}_{j}"), F.var_pop(y).alias(f"b{i}_{j}")]
+    g = data.agg(*aggs)
+
+    def cell(i, j):
+        at = f"{min(i, j)}_{max(i, j)}"
+        spread = F.sqrt(F.greatest(F.col(f"a{at}"), F.lit(0.0))) * F.sqrt(F.greatest(F.col(f"b{at}"), F.lit(0.0)))
+        return F.struct(F.lit(columns[i]).alias("var_a"), F.lit(columns[j]).alias("var_b"), div(F.col(f"c{at}"), spread).alias("corr"))
+    cells = [cell(i, j) for i in range(len(names)) for j in range(len(names))]
     return g.select(F.explode(F.array(*cells)).alias("s")).select("s.*")

@@ -172,7 +172,7 @@ def validate_series(df: DataFrame, method: str = "iqr", by=BY, bounded: bool = F
 
 def quality_report(validation: DataFrame, by=BY) -> DataFrame:
     """The validation rows as text."""
-    number = lambda label, c: F.format_string(f"  {label}: %.4f", F.col(c))
+    number = lambda label, c: F.format_string(f"  {label}: %.6f", F.col(c))
     bullets = lambda c: F.transform(c, lambda m: F.concat(F.lit("  - "), m))
     block = lambda title, c: F.when(F.size(c) > 0, F.concat_ws("\n", F.lit(title), bullets(F.col(c))))
     return validation.select(*by, F.concat_ws(

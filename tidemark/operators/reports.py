@@ -72,8 +72,10 @@ def fan_bands(fits: DataFrame, steps: int = 12, by=BY) -> DataFrame:
 
 
 def aicc_heatmap(fits: DataFrame, max_q: int, by=BY) -> DataFrame:
-    """Lowest AICc per (p, q): one row per p, one column per q."""
-    return (fits.filter("success").groupBy(*by, "p")
+    """Lowest AICc per (p, q): one row per p, one column per q; a fit with a larger q is an error."""
+    beyond = F.raise_error(F.concat(F.lit(f"order q beyond {max_q}: "), F.col("q").cast("string")))
+    checked = fits.filter("success").withColumn("q", F.when(F.col("q") <= max_q, F.col("q")).otherwise(beyond))
+    return (checked.groupBy(*by, "p")
             .agg(*[F.min(F.when(F.col("q") == q, F.col("aicc"))).alias(f"q{q}") for q in range(max_q + 1)]))
 
 

@@ -10,7 +10,6 @@ from tidemark.layout import BY, TIME
 
 ORDER = ("p", "d", "q")
 TOP_K = 15
-MESSAGE_CHARS = 2000
 
 
 def rank_in_window(fits: DataFrame, by=BY) -> DataFrame:
@@ -52,16 +51,10 @@ def top_k_orders(scores: DataFrame, k: int = TOP_K, by=BY) -> DataFrame:
 
 
 def distinct_messages(df: DataFrame, message: str, order: str, by=BY) -> DataFrame:
-    """Messages without repeats in order of first appearance, joined by a bar, cut to 2000 characters.
-
-    Repeats collapse before the shuffle, and no more messages are gathered than can show up in the text.
-    """
+    """One row per message of a series, without repeats, numbered from 1 by first appearance."""
     first = df.filter(F.length(message) > 0).groupBy(*by, message).agg(F.min(order).alias("_o"))
     w = Window.partitionBy(*by).orderBy("_o", message)
-    kept = first.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= MESSAGE_CHARS)
-    listed = F.array_sort(F.collect_list(F.struct("_n", F.col(message).alias("m"))))
-    return kept.groupBy(*by).agg(F.substring(F.array_join(F.transform(listed, lambda s: s["m"]), " | "),
-                                             1, MESSAGE_CHARS).alias("messages"))
+    return first.select(*by, F.row_number().over(w).cast("long").alias("position"), F.col(message).alias("message"))
 
 
 def order_groups(df: DataFrame, by=BY) -> DataFrame:

@@ -131,12 +131,12 @@ def _geometry(s: DataFrame, by, num_windows, overlap) -> DataFrame:
 
 
 def sliding_windows(df: DataFrame, num_windows: int | None = None, overlap: float | None = None, by=BY) -> DataFrame:
-    """The window table: ``window_id, start_idx, end_idx`` (end excluded)."""
+    """The window table: ``window_id, start_idx, end_idx`` (end excluded); the last window reaches to the newest row."""
     n = df.groupBy(*by).agg(F.count("*").alias("n"))
     w = _geometry(n, by, num_windows, overlap).withColumn(
         "window_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w_count") - 1)))
     start = F.col("window_id") * F.col("w_step")
-    return w.select(*by, "window_id", start.alias("start_idx"), (start + F.col("w_size")).alias("end_idx"))
+    return w.select(*by, "window_id", start.alias("start_idx"), F.when(F.col("window_id") == F.col("w_count") - 1, F.col("n")).otherwise(start + F.col("w_size")).alias("end_idx"))
 
 
 def assign_sliding(df: DataFrame, num_windows: int | None = None, overlap: float | None = None, by=BY,
@@ -149,6 +149,7 @@ def assign_sliding(df: DataFrame, num_windows: int | None = None, overlap: float
     g = _geometry(s, by, num_windows, overlap)
     first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col(IDX) - F.col("w_size") + 1) / F.col("w_step")))
     last = F.least(F.floor(F.col(IDX) / F.col("w_step")), F.col("w_count") - 1)
+    first = F.least(first, F.col("w_count") - 1)  # the last window reaches to the newest row
     g = (g.filter(first <= last)
          .withColumn("window_id", F.explode(F.sequence(first, last)))
          .withColumn("_start", F.col("window_id") * F.col("w_step")))
@@ -159,7 +160,10 @@ def assign_sliding(df: DataFrame, num_windows: int | None = None, overlap: float
 
 def fixed_windows(df: DataFrame, p=1, q=1, num_windows: int | None = None, train_share: float = 0.7, by=BY,
                   bounded: bool = False) -> DataFrame:
-    """Non-overlapping windows with a chronological train / test role; ``p`` and ``q`` may be columns."""
+    """Non-overlapping windows with a chronological train / test role; ``p`` and ``q`` may be columns.
+
+    Rows after the last window that is long enough belong to it, so every series of usable length is covered to its end.
+    """
     s = layout.with_index(df, by, bounded=bounded)
     extra = [c for c in s.columns if c not in (CHUNK,)]
     s = layout.with_totals(s, by, _n=F.count("*"))
@@ -169,11 +173,13 @@ def fixed_windows(df: DataFrame, p=1, q=1, num_windows: int | None = None, train
     count = F.lit(num_windows) if num_windows is not None else window_plan(F.col("_n"))["num_fixed"]
     g = s.withColumns({"_need": need, "_least": least, "_count": count})
     g = g.withColumn("_size", F.greatest(F.floor(F.col("_n") / F.col("_count")), F.col("_least")))
-    g = g.withColumn("window_id", F.floor(F.col(IDX) / F.col("_size")))
-    g = g.withColumn("_len", F.least(F.col("_size"), F.col("_n") - F.col("window_id") * F.col("_size")))
-    g = g.withColumn("train_size", F.floor(F.col("_len") * train_share))
-    g = g.filter((F.col("window_id") < F.col("_count")) & (F.col("_len") >= F.col("_least"))
-                 & (F.col("train_size") >= F.col("_need")))
+    full = F.floor(F.col("_n") / F.col("_size"))
+    rest = F.when(F.col("_n") - full * F.col("_size") >= F.col("_least"), 1).otherwise(0)
+    g = g.withColumn("_windows", F.least(F.col("_count"), full + rest)).filter("_windows > 0")
+    final = F.col("_windows") - 1
+    g = g.withColumn("window_id", F.least(F.floor(F.col(IDX) / F.col("_size")), final))
+    g = g.withColumn("_len", F.when(F.col("window_id") == final, F.col("_n") - final * F.col("_size")).otherwise(F.col("_size")))
+    g = g.withColumn("train_size", F.floor(F.col("_len") * train_share)).filter(F.col("train_size") >= F.col("_need"))
     g = g.withColumn(IDX, F.col(IDX) - F.col("window_id") * F.col("_size"))
     g = g.withColumn("role", F.when(F.col(IDX) < F.col("train_size"), "train").otherwise("test"))
     cols = [*extra, "window_id", "train_size", "role"]

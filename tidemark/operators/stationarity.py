@@ -116,8 +116,7 @@ def _newey_west_lags(n: float) -> int:
 
 def long_run_variance(e: DataFrame, value: str, by=BY) -> DataFrame:
     """Bartlett-weighted sum of autocovariances of an indexed residual column, floor 1e-10."""
-    most = layout.longest(e, by) if layout.has_chunks(e) else layout.whole_rows(e)
-    limit = max(1, _newey_west_lags(max(most, 1)))
+    limit = max(1, _newey_west_lags(max(layout.longest(e, by), 1)))
     rows = layout.with_lags(e.select(*layout.keys(e, by), IDX, F.col(value).alias("_e")), "_e", limit, by)
     sums = [F.coalesce(F.sum(F.col("_e") * F.col(f"lag_{k}")), F.lit(0.0)).alias(f"s{k}") for k in range(1, limit + 1)]
     g = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("_e") * F.col("_e")).alias("s0"), *sums)

@@ -148,6 +148,29 @@ def correlation_matrix(t):
     return linalg.correlation_matrix(t("lineitem"), NUMBERS)
 
 
+GAPPY = ("(SELECT l_quantity, CASE WHEN l_linenumber % 3 <> 0 THEN l_extendedprice END AS l_extendedprice, "
+         "CASE WHEN l_linenumber % 2 = 0 THEN l_discount END AS l_discount, l_tax FROM lineitem)")
+
+
+def gappy(t):
+    number = F.col("l_linenumber")
+    return t("lineitem").withColumns({"l_extendedprice": F.when(number % 3 != 0, F.col("l_extendedprice")),
+                                      "l_discount": F.when(number % 2 == 0, F.col("l_discount"))})
+
+
+@query("correlation_matrix_missing", _corr_sql(GAPPY, {c: c for c in NUMBERS}))
+def correlation_matrix_missing(t):
+    """Each pair over the rows that have both values."""
+    return linalg.correlation_matrix(gappy(t), NUMBERS)
+
+
+@query("correlation_matrix_spearman_missing", "WITH k AS (SELECT " + ", ".join(
+    f"CASE WHEN {c} IS NOT NULL THEN rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 END AS {c}" for c in NUMBERS)
+       + f" FROM {GAPPY}) " + _corr_sql("k", {c: c for c in NUMBERS}))
+def correlation_matrix_spearman_missing(t):
+    return linalg.correlation_matrix(gappy(t), NUMBERS, "spearman")
+
+
 @query("correlation_matrix_spearman", "WITH k AS (SELECT " + ", ".join(
     f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in NUMBERS)
        + " FROM lineitem) " + _corr_sql("k", {c: c for c in NUMBERS}))
@@ -174,9 +197,11 @@ def window_fits(t):
 GEOMETRY = USER + """, g AS (SELECT DISTINCT series_id, n, least(n, greatest(greatest(1, least(floor(n / (3 * 0.7 + 0.3)), n)),
   least(n, greatest(10, floor(n / 8)))))::BIGINT AS size FROM s),
 gg AS (SELECT *, greatest(1, floor(size * 0.7))::BIGINT AS step FROM g),
-w AS (SELECT series_id, size, step, unnest(range(0, least(3, floor((n - size) / step)::BIGINT + 1))) AS window_id FROM gg),
+gc AS (SELECT *, least(3, floor((n - size) / step)::BIGINT + 1) AS windows FROM gg),
+gw AS (SELECT series_id, n, size, step, windows, unnest(range(0, windows)) AS window_id FROM gc),
+w AS (SELECT *, CASE WHEN window_id = windows - 1 THEN n ELSE window_id * step + size END AS stop FROM gw),
 x AS (SELECT s.series_id, window_id, idx - window_id * step AS i, y FROM s JOIN w ON s.series_id = w.series_id
-  AND idx >= window_id * step AND idx < window_id * step + size)
+  AND idx >= window_id * step AND idx < stop)
 """
 
 FITS = GEOMETRY + """, cx AS (SELECT *, y - avg(y) OVER k AS c, count(*) OVER k AS m FROM x WINDOW k AS (PARTITION BY series_id, window_id)),
@@ -236,7 +261,7 @@ def distinct_windows(t):
 
 
 @query("distinct_messages", """WITH f AS (SELECT event_type AS series_id, user_id::VARCHAR AS m, min(event_id) AS o FROM events GROUP BY 1, 2)
-SELECT series_id, substr(string_agg(m, ' | ' ORDER BY o, m), 1, 2000) AS messages FROM f GROUP BY 1""")
+SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY o, m) AS position, m AS message FROM f""")
 def distinct_messages(t):
     e = t("events").select(F.col("event_type").alias(SERIES), F.col("user_id").cast("string").alias("message"), "event_id")
     return selection.distinct_messages(e, "message", "event_id")

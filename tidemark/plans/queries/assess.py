@@ -238,9 +238,10 @@ def wf_reconcile(t):
 
 
 FIXED_AR1 = HOURLY + f""", z AS (SELECT *, greatest(n // {PLAN_FIXED}, floor(11 / 0.7)::BIGINT + 10) AS size FROM s),
-fw AS (SELECT *, idx // size AS window_id, least(size, n - (idx // size) * size) AS len FROM z),
-kw AS (SELECT series_id, window_id, idx - window_id * size AS idx, y, floor(len * 0.7::DOUBLE)::BIGINT AS train_size, len FROM fw
-  WHERE window_id < {PLAN_FIXED} AND len >= floor(11 / 0.7)::BIGINT + 10),
+zw AS (SELECT *, least({PLAN_FIXED}, n // size + CASE WHEN n % size >= floor(11 / 0.7)::BIGINT + 10 THEN 1 ELSE 0 END) AS windows FROM z),
+fi AS (SELECT *, least(idx // size, windows - 1) AS window_id FROM zw WHERE windows > 0),
+fw AS (SELECT *, CASE WHEN window_id = windows - 1 THEN n - window_id * size ELSE size END AS len FROM fi),
+kw AS (SELECT series_id, window_id, idx - window_id * size AS idx, y, floor(len * 0.7::DOUBLE)::BIGINT AS train_size, len FROM fw),
 tr AS (SELECT *, y - avg(y) OVER k AS w, avg(y) OVER k AS mean, count(*) OVER k AS m FROM kw WHERE idx < train_size WINDOW k AS (PARTITION BY series_id, window_id)),
 lt AS (SELECT *, lag(w) OVER (PARTITION BY series_id, window_id ORDER BY idx) AS l1 FROM tr),
 fa AS (SELECT series_id, window_id, any_value(mean) AS mean, any_value(m) AS m, sum(w * l1) / sum(l1 * l1) AS phi, arg_max(w, idx) AS last_w,

@@ -161,8 +161,8 @@ def validate_series(t):
 
 
 @query("quality_report", VALID + """SELECT series_id, concat_ws(chr(10), 'Data Quality Report', 'Data Information:',
-'  Length: ' || length, '  Mean: ' || format('{:.4f}', mean), '  Std: ' || format('{:.4f}', std),
-'  Min: ' || format('{:.4f}', min), '  Max: ' || format('{:.4f}', max), '  Median: ' || format('{:.4f}', median),
+'  Length: ' || length, '  Mean: ' || format('{:.6f}', mean), '  Std: ' || format('{:.6f}', std),
+'  Min: ' || format('{:.6f}', min), '  Max: ' || format('{:.6f}', max), '  Median: ' || format('{:.6f}', median),
 CASE WHEN issues <> '' THEN 'Issues Found:' || chr(10) || '  - ' || issues END,
 CASE WHEN warnings <> '' THEN 'Warnings:' || chr(10) || '  - ' || replace(warnings, '; ', chr(10) || '  - ') END,
 'Overall Status: ' || CASE WHEN issues = '' THEN 'VALID' ELSE 'INVALID' END) AS report FROM v""")

@@ -86,7 +86,7 @@ def window_plan(t):
     return shaping.plan_windows(both)
 
 
-@query("sliding_windows", GEOMETRY + "SELECT series_id, window_id, window_id * step AS start_idx, window_id * step + size AS end_idx FROM w")
+@query("sliding_windows", GEOMETRY + "SELECT series_id, window_id, window_id * step AS start_idx, stop AS end_idx FROM w")
 def sliding_windows(t):
     return shaping.sliding_windows(t.ev_user(), 3, 0.3)
 
@@ -97,8 +97,10 @@ def assign_sliding(t):
 
 
 @query("fixed_windows", DAILY + f""", z AS (SELECT *, greatest(n // 7, floor(12 / 0.7)::BIGINT + 10) AS size FROM s),
-f AS (SELECT *, idx // size AS window_id, least(size, n - (idx // size) * size) AS len FROM z),
-k AS (SELECT *, floor(len * 0.7::DOUBLE)::BIGINT AS train_size FROM f WHERE window_id < 7 AND len >= floor(12 / 0.7)::BIGINT + 10)
+zw AS (SELECT *, least(7, n // size + CASE WHEN n % size >= floor(12 / 0.7)::BIGINT + 10 THEN 1 ELSE 0 END) AS windows FROM z),
+f AS (SELECT *, least(idx // size, windows - 1) AS window_id FROM zw WHERE windows > 0),
+fl AS (SELECT *, CASE WHEN window_id = windows - 1 THEN n - window_id * size ELSE size END AS len FROM f),
+k AS (SELECT *, floor(len * 0.7::DOUBLE)::BIGINT AS train_size FROM fl)
 SELECT series_id, window_id, idx - window_id * size AS idx, {r('y')} AS y, train_size,
 CASE WHEN idx - window_id * size < train_size THEN 'train' ELSE 'test' END AS role FROM k WHERE train_size >= 12""")
 def fixed_windows(t):

@@ -22,6 +22,7 @@ from tidemark.operators.cleaning import drop_missing, train_test_split
 FAMILIES = ("AR", "MA", "ARMA", "ARIMA")
 MODES = ("auto_n", "acf_pacf", "manual")
 SIGNIFICANCE, IMPROVEMENT_PCT = 0.05, 10.0
+NO_ORDER = "no order could be fitted on any window"
 WINDOW = "window_id"
 
 
@@ -143,7 +144,7 @@ def wf_select(fits: DataFrame, by=BY):
 def wf_reconcile(rows: DataFrame, scores: DataFrame, k: int = selection.TOP_K, by=BY) -> DataFrame:
     """Step 6b: refit the best orders on the whole series, lowest AIC; all failed keeps the winner."""
     top = selection.top_k_orders(scores, k, by)
-    best = estimation.best_fit(estimation.fit_orders(rows, top.select(*by, "p", "d", "q"), by), "aic", by)
+    best = estimation.best_fit(estimation.fit_orders(rows, top.select(*by, "p", "d", "q"), by), "aic", by).filter("success")
     first = top.filter("position = 1").select(*by, *[F.col(c).alias(f"_{c}") for c in "pdq"])
     return first.join(best.select(*by, "p", "d", "q", "aic"), [*by], "left").select(
         *by, *[F.coalesce(c, f"_{c}").alias(c) for c in "pdq"], "aic", F.col("aic").isNotNull().alias("refitted"))
@@ -225,6 +226,8 @@ def wf_adjust(rows: DataFrame, orders: DataFrame, diagnosis: DataFrame, family:
         near = near.filter("q = 0")
     elif family == "MA":
         near = near.filter("p = 0")
+    elif family == "ARMA":
+        near = near.filter("p > 0 and q > 0")
     fits = estimation.fit_orders(layout.fresh(rows), near, by).filter("success").select(*by, "p", "d", "q", "aicc")
     base = orders.select(*by, *[F.col(c).alias(f"_{c}") for c in "pdq"])
     both = fits.join(base, [*by]).withColumn("_here", (F.col("p") == F.col("_p")) & (F.col("q") == F.col("_q")))
@@ -251,7 +254,9 @@ def wf_fit(df: DataFrame, family: str = "ARIMA", mode: str = "auto_n", max_p: in
     backtest = wf_backtest(rows, reconciled, by=by)
     diagnosis = layout.durable(wf_diagnose(rows, reconciled, d_max=d_max, by=by))
     final = layout.durable(wf_adjust(rows, reconciled, diagnosis, family, by))
-    fits = layout.durable(estimation.fit_orders(layout.fresh(rows), final.select(*by, "p", "d", "q"), by))
+    done = layout.durable(estimation.fit_orders(layout.fresh(rows), final.select(*by, "p", "d", "q"), by))
+    lost = df.select(*by).distinct().join(done.select(*by), [*by], "left_anti")
+    fits = layout.durable(done.unionByName(estimation.failed(lost, NO_ORDER, by)))
     return Results(state, grid, sliding, scores, selected, reconciled, backtest, diagnosis, final, fits, family)
 
 
@@ -259,10 +264,10 @@ def wf_forecast(results: Results, steps: int = 12, alpha: float = 0.05, by=BY) -
     """Step 11: forecast, undo the differencing, then the log."""
     fits = results.fits
     extra = results.state.select(*by, "log_c", F.col("levels").alias("_levels"))
-    fits = fits.join(extra, [*by])
+    fits = fits.join(extra, [*by], "left")
     if results.family != "ARIMA":
         fits = fits.withColumn("levels", F.col("_levels"))
-    out = forecasting.forecast_rows(fits, steps, alpha, by).join(results.state.select(*by, "log_c"), [*by])
+    out = forecasting.forecast_rows(fits, steps, alpha, by).join(results.state.select(*by, "log_c"), [*by], "left")
     undo = lambda c: F.when(F.col("log_c").isNull(), F.col(c)).otherwise(F.exp(c) - F.col("log_c"))
     return out.withColumns({c: undo(c) for c in ("forecast", "lower", "upper")}).drop("log_c")
 
@@ -295,13 +300,15 @@ def method_accuracy(df: DataFrame, orders: dict, test_ratio: float = 0.2, by=BY,
     truth = layout.join_series(s.filter("role = 'test'"), n.select(*by, "_train"), by).select(
         *by, (F.col(IDX) - F.col("_train") + 1).alias("step"), F.col(VALUE).alias("actual"))
     e = F.col("actual") - F.col("forecast")
-    out = None
-    for name, order in orders.items():
-        fits = estimation.fit_orders(train, [order], by).join(n.select(*by, "horizon"), [*by])
-        scored = truth.join(forecasting.forecast_long(fits, "horizon", by), [*by, "step"]).groupBy(*by).agg(
-            F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
-            F.coalesce(F.avg(F.when(F.col("actual") != 0, F.abs(div(e, F.col("actual"))))) * 100,
-                       F.lit(float("inf"))).alias("mape"))
-        scored = scored.select(*by, F.lit(name).alias("method"), "rmse", "mae", "mape")
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    named = F.array(*[F.struct(F.lit(name).alias("method"), *[F.lit(int(v)).cast("long").alias(c) for c, v in zip("pdq", order)])
+                      for name, order in orders.items()])
+    asked = df.select(*by).distinct().withColumn("_o", F.explode(named)).select(*by, "_o.*")
+    # one job fits the orders of all methods; a method or series without a fit keeps a row without errors
+    fits = estimation.fit_orders(train, sorted(set(map(tuple, orders.values()))), by)
+    keys = (*by, "method")
+    fits = asked.join(fits, [*by, "p", "d", "q"]).join(n.select(*by, "horizon"), [*by])
+    scored = forecasting.forecast_long(fits, "horizon", keys).join(truth, [*by, "step"]).groupBy(*keys).agg(
+        F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
+        F.coalesce(F.avg(F.when(F.col("actual") != 0, F.abs(div(e, F.col("actual"))))) * 100,
+                   F.lit(float("inf"))).alias("mape"))
+    return asked.select(*keys).join(scored, [*keys], "left")

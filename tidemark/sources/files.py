@@ -19,7 +19,9 @@ def _usable(df: DataFrame, column: str, order, rows: int | None) -> DataFrame:
            .filter(F.col(column).isNotNull()))
     if rows is None:
         return out
-    return (out.orderBy(order, column) if order else out).limit(rows)
+    if order is None:
+        raise ValueError("a row limit needs an order, or the rows would be arbitrary")
+    return out.orderBy(order, column).limit(rows)
 
 
 def read_parquet_column(spark: SparkSession, path: str, column: str, order: str | None = None,

@@ -13,7 +13,6 @@ from tidemark.layout import BY, CHUNK, IDX, SERIES, TIME, VALUE
 # Words that mark a time column, and preferred value column names.
 TIME_WORDS = ("date", "time", "timestamp", "fecha", "tiempo", "datetime")
 VALUE_NAMES = ("value", "y", "passengers", "close", "temperature", "sunspots")
-PROBE_ROWS = 10
 
 
 def as_series(df: DataFrame, series, time, value) -> DataFrame:
@@ -48,9 +47,9 @@ def parse_timestamp(text: Column, fmt: str | None = None) -> Column:
 
 
 def to_ordered_vector(df: DataFrame, by=BY, bounded: bool = False) -> DataFrame:
-    """Values in time order as arrays: one array per series, or per chunk of a long series."""
+    """Values in time order as arrays of at most ``chunk_rows`` values: one row per series and chunk."""
     s = layout.with_index(df, by, bounded=bounded)
-    s = s if layout.has_chunks(s) else s.withColumn(CHUNK, F.lit(0).cast("long"))
+    s = s if layout.has_chunks(s) else layout.add_chunk(s)
     return (s.groupBy(*by, CHUNK)
             .agg(F.array_sort(F.collect_list(F.struct(IDX, VALUE))).alias("v"))
             .select(*by, CHUNK, F.col(f"v.{VALUE}").alias("values")))
@@ -62,22 +61,23 @@ def matrix_to_coo(df: DataFrame, row: str, vector: str) -> DataFrame:
 
 
 def coo_to_rows(coo: DataFrame, columns: int) -> DataFrame:
-    """Dense rows from coordinates; absent cells are 0, repeated cells add up."""
-    cells = coo.groupBy("row").agg(*[
+    """Dense rows from coordinates; absent cells are 0, repeated cells add up; a cell beyond ``columns`` is an error."""
+    beyond = F.raise_error(F.concat(F.lit(f"column beyond {columns}: "), F.col("col").cast("string")))
+    checked = coo.withColumn("col", F.when((F.col("col") >= 0) & (F.col("col") < columns), F.col("col")).otherwise(beyond))
+    cells = checked.groupBy("row").agg(*[
         F.coalesce(F.sum(F.when(F.col("col") == j, F.col("value"))), F.lit(0.0)).alias(f"c{j}")
         for j in range(columns)])
     return cells
 
 
 def _probe(df: DataFrame, columns, parse) -> dict[str, bool]:
-    """Do the first non-null values of each string column parse?  One small job for all columns."""
+    """Do all non-null values of each string column parse?  One aggregate over the table for all columns."""
     if not columns:
         return {}
     result = {}
     heads = [F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(columns)]
     good = [F.count(parse(F.col(f"`{c}`"))).alias(f"g{i}") for i, c in enumerate(columns)]
-    head = df.select(*[F.col(f"`{c}`") for c in columns]).limit(PROBE_ROWS)
-    row = head.agg(*heads, *good).first()
+    row = df.agg(*heads, *good).first()
     for i, c in enumerate(columns):
         result[c] = row[f"n{i}"] > 0 and row[f"n{i}"] == row[f"g{i}"]
     return result
@@ -141,11 +141,16 @@ def profile_frame(df: DataFrame) -> DataFrame:
             .select("row_count", F.lit(len(df.columns)).cast("long").alias("column_count"), "partitions"))
 
 
-def sample_rows(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    return df.sample(fraction=fraction, seed=seed)
+def _share(key: Column) -> Column:
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 6), 16, 10).cast("long")
+
+
+def sample_rows(df: DataFrame, fraction: float, key: str | None = None) -> DataFrame:
+    """Keep rows by a hash rule on ``key`` (or on the whole row): the same rows whatever the partitioning."""
+    whole = F.col(key) if key else F.to_json(F.struct(*df.columns))
+    return df.filter(_share(whole) < int(fraction * 0xFFFFFF))
 
 
 def sample_series(df: DataFrame, fraction: float, by: str = SERIES) -> DataFrame:
     """Keep whole series by a hash rule on their id: no shuffle, the same series on every run."""
-    share = F.conv(F.substring(F.md5(F.col(by).cast("string")), 1, 6), 16, 10).cast("long")
-    return df.filter(share < int(fraction * 0xFFFFFF))
+    return df.filter(_share(F.col(by)) < int(fraction * 0xFFFFFF))
