@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.plans.queries.common import REGISTRY
-from tidemark.plans.queries import ingestion, cleaning, algebra, shape, identify, models, assess  # noqa: F401
+from tidemark.plans.queries import ingestion, cleaning, algebra, shape, identify, models, assess, layouts  # noqa: F401
 
 
 def queries():

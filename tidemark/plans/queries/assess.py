@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.layout import IDX, SERIES, VALUE
 from tidemark.functions import probability as pr
+from tidemark.layout import IDX, SERIES, VALUE
 from tidemark.operators import (accuracy, correlation, diagnostics, estimation, forecasting, recursion, reports,
                                 selection)
 from tidemark.operators.cleaning import train_test_split
@@ -105,13 +105,53 @@ def jarque_bera(t):
     return diagnostics.jarque_bera(residuals(t))
 
 
-@query("ks_normal")
+def poly_sql(coefs, x: str) -> str:
+    text = f"({coefs[0]!r}::DOUBLE)"
+    for c in coefs[1:]:
+        text = f"({text} * {x} + {c})"
+    return text
+
+
+def cdf_sql(z: str) -> str:
+    far = f"(abs({z}) + 0.65)"
+    for k in (4, 3, 2, 1):
+        far = f"(abs({z}) + {k} / {far})"
+    bell = f"exp(-{z} * {z} / 2)"
+    tail = (f"(CASE WHEN abs({z}) > 37 THEN 0 WHEN abs({z}) < {pr.NORMAL_FAR} THEN {bell} * {poly_sql(pr.NORMAL_NUM, f'abs({z})')} / "
+            f"{poly_sql(pr.NORMAL_DEN, f'abs({z})')} ELSE {bell} / {far} / {pr.NORMAL_ROOT} END)")
+    return f"(CASE WHEN {z} > 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
+def quantile_sql(p: str) -> str:
+    c, low, high = f"({p} - 0.5)", f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))"
+    return (f"(CASE WHEN {p} < {pr.TAIL_FROM} THEN {poly_sql(pr.TAIL_NUM, low)} / {poly_sql(pr.TAIL_DEN, low)} "
+            f"WHEN {p} > {1 - pr.TAIL_FROM} THEN -{poly_sql(pr.TAIL_NUM, high)} / {poly_sql(pr.TAIL_DEN, high)} "
+            f"ELSE {c} * {poly_sql(pr.CENTRE_NUM, f'({c} * {c})')} / {poly_sql(pr.CENTRE_DEN, f'({c} * {c})')} END)")
+
+
+@query("ks_normal", RES + f""", o AS (SELECT series_id, e, row_number() OVER (PARTITION BY series_id ORDER BY e) AS i, count(*) OVER k AS m,
+ (e - avg(e) OVER k) / stddev_pop(e) OVER k AS z FROM res WINDOW k AS (PARTITION BY series_id)),
+g AS (SELECT series_id, any_value(m) AS m, max(greatest(i / m - {cdf_sql('z')}, {cdf_sql('z')} - (i - 1) / m)) AS d FROM o GROUP BY 1),
+h AS (SELECT series_id, d, d * (sqrt(m) + 0.12 + 0.11 / sqrt(m)) AS x FROM g)
+SELECT series_id, {r('d')} AS ks_stat, {r("CASE WHEN x < 0.2 THEN 1 ELSE least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * x * x))))) END")} AS ks_p FROM h""")
 def ks_normal(t):
     return diagnostics.ks_normal(residuals(t))
 
 
-@query("shapiro_wilk")
+SHAPIRO = RES + f""", o AS (SELECT series_id, e, row_number() OVER (PARTITION BY series_id ORDER BY e) AS i, count(*) OVER (PARTITION BY series_id) AS m FROM res),
+q AS (SELECT *, (i - 0.375) / (m + 0.25) AS pr FROM o), qq AS (SELECT *, {quantile_sql('pr')} AS v FROM q),
+b AS (SELECT series_id, any_value(m) AS m, sum(v * v) AS mm, sum(v * e) AS mx, var_pop(e) * count(*) AS ss, max(v) AS a1, max(v) FILTER (i = m - 1) AS a2,
+ max(e) - min(e) AS ends, max(e) FILTER (i = m - 1) - max(e) FILTER (i = 2) AS inn FROM qq GROUP BY 1),
+ls AS (SELECT *, {poly_sql((*diagnostics.ROYSTON_LAST, 'a1 / sqrt(mm)'), '(1 / sqrt(m))')} AS la, {poly_sql((*diagnostics.ROYSTON_NEXT, 'a2 / sqrt(mm)'), '(1 / sqrt(m))')} AS lb FROM b),
+wv AS (SELECT series_id, m, least(1, pow(la * ends + lb * inn + (mx - a1 * ends - a2 * inn) / sqrt((mm - 2 * a1 * a1 - 2 * a2 * a2) / (1 - 2 * la * la - 2 * lb * lb)), 2) / ss) AS w FROM ls),
+yv AS (SELECT *, ln(1 - w) AS y, ln(m) AS lm FROM wv),
+zv AS (SELECT *, -(y - {poly_sql(diagnostics.ROYSTON_LARGE_MU, 'lm')}) / exp({poly_sql(diagnostics.ROYSTON_LARGE_SD, 'lm')}) AS z FROM yv)
+"""
+
+
+@query("shapiro_wilk", SHAPIRO + f"SELECT series_id, {r('w')} AS shapiro_stat, {r(cdf_sql('z'))} AS shapiro_p FROM zv")
 def shapiro_wilk(t):
+    """Series of 12 rows and more, which all of these are."""
     return diagnostics.shapiro_wilk(residuals(t))
 
 
