@@ -103,6 +103,17 @@ class Rolling:
         return mix((sums[end] - sums[start]) * self.down[start])
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(key: str, make):
+    """What ``make`` returns, kept for the next task of this worker process; a worker keeps one such object at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 

@@ -41,7 +41,6 @@ STEPS_PER_WORD = 3
 #: ASCII upper case to lower case, ASCII characters other than letters and digits to a space.
 PLAIN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 _GRAMS = common.Rolling(0x8EBC6AF09C88C6E3)
-_LOADED: dict[str, Items] = {}
 
 
 def plain(text: str | None) -> bytes:
@@ -227,10 +226,7 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
 
 
 def _finder(sent, key: str) -> Finder:
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Finder(sent.value)
-    return _LOADED[key]
+    return common.held(f"items {key}", lambda: Finder(sent.value))
 
 
 def _sent(docs: DataFrame, rows):

@@ -32,7 +32,6 @@ LIMIT = 4096
 KEPT_SEGMENTS = 400_000
 BLOCK = "▁"
 _SEGMENTS = re.compile(r"\n| *[^ \n]+| +")
-_LOADED: dict[str, Counter] = {}
 
 
 def model_path(name: str = MODEL) -> str:
@@ -156,9 +155,7 @@ def tokens_of(counts: np.ndarray, k: int) -> int:
 
 def _counter(path: str) -> Counter:
     """One per worker process and model."""
-    if path not in _LOADED:
-        _LOADED[path] = Counter(path)
-    return _LOADED[path]
+    return common.held(f"counter {path}", lambda: Counter(path))
 
 
 def prefix_table(docs: DataFrame, path: str | None = None) -> DataFrame:

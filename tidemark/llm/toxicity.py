@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -45,10 +44,9 @@ LEAST_DOCS = 5
 LEAST_RATIO = 20.0
 LEVEL = 3
 THRESHOLD = 0.3
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 FRAME = b"." * 16
 _WORD = re.compile(r"[^\W\d_]+")
-_LOADED: dict[str, Scorer] = {}
 
 
 def words_of(text: str | None) -> list[str]:
@@ -72,6 +70,14 @@ class Model:
         return hashlib.sha256(repr((self.toxic, self.ordinary, self.middle, self.spread, self.weights)).encode()).hexdigest()
 
 
+def features(gains: np.ndarray) -> list[float]:
+    """What a document's windows show: counts and shares over thresholds, mean, most, how many."""
+    words = len(gains)
+    gains = gains if words else np.zeros(1)
+    over = [(gains >= t).sum() for t in (2, 3, 4)]
+    return [np.log1p(over[1]), np.log1p(over[0]), *(np.sqrt(n / len(gains)) for n in over), 100 * gains.mean(), gains.max(), np.log1p(words)]
+
+
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.gains = model, {}
@@ -82,28 +88,26 @@ class Scorer:
             self.sides.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False,
                                                        write_checksum=False, write_dict_id=False))
 
+    def measured(self, word: str) -> int:
+        window = FRAME + padded(word) + FRAME
+        toxic, ordinary = (len(side.compress(window)) for side in self.sides)
+        return ordinary - toxic
+
     def gain(self, word: str) -> int:
         known = self.gains.get(word)
         if known is None:
             if len(self.gains) > KEPT_WORDS:
                 self.gains = {}
-            window = FRAME + padded(word) + FRAME
-            toxic, ordinary = (len(side.compress(window)) for side in self.sides)
-            known = self.gains[word] = ordinary - toxic
+            known = self.gains[word] = self.measured(word)
         return known
 
-    def features(self, text: str | None) -> list[float]:
-        words = words_of(text)
-        gains = np.fromiter(map(self.gain, words), np.float64, len(words)) if words else np.zeros(1)
-        over = [(gains >= t).sum() for t in (2, 3, 4)]
-        return [np.log1p(over[1]), np.log1p(over[0]), *(np.sqrt(n / len(gains)) for n in over), 100 * gains.mean(),
-                gains.max(), np.log1p(len(words))]
-
     def score(self, text: str | None) -> float:
         m = self.model
         z = m.weights[-1]
         if m.middle:
-            z += float(np.dot((np.array(self.features(text)) - m.middle) / m.spread, m.weights[:-1]))
+            words = words_of(text)
+            gains = np.fromiter(map(self.gain, words), np.float64, len(words))
+            z += float(np.dot((np.array(features(gains)) - m.middle) / m.spread, m.weights[:-1]))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -119,17 +123,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return w
 
 
-def toxic_segments(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[bytes]:
-    """Word beginnings that set toxic documents apart, the most frequent last."""
-    inside, outside = Counter(), Counter()
-    for seen in toxic:
-        inside.update(seen)
-    for seen in ordinary:
-        outside.update(seen)
-    least = max(LEAST_DOCS, LEAST_SHARE * len(toxic))
-    chosen = [(n, s) for s, n in inside.items()
-              if n >= least and n / len(toxic) > LEAST_RATIO * (outside[s] + 0.5) / len(ordinary)]
-    return [s for _, s in sorted(chosen)]
+def toxic_segments(seen: np.ndarray, names: list[bytes], toxic: int, ordinary: int) -> list[bytes]:
+    """Word beginnings that set toxic documents apart, the most frequent last.
+
+    seen: documents that hold each of ``names``, in row 0 ordinary and in row 1 toxic ones, of so many each.
+    """
+    chosen = (seen[1] >= max(LEAST_DOCS, LEAST_SHARE * toxic)) & (seen[1] / toxic > LEAST_RATIO * (seen[0] + 0.5) / ordinary)
+    return [s for _, s in sorted((int(seen[1, i]), names[i]) for i in np.flatnonzero(chosen))]
+
+
+def _numbered(texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
+    """All different words, and each text as the numbers of its words."""
+    number: dict[str, int] = {}
+    coded = []
+    for text in texts:
+        words = words_of((text or "")[:MOST_CHARS])
+        coded.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+    return list(number), coded
 
 
 def fit(sample: list[tuple[str | None, int]], odds: float | None = None) -> Model:
@@ -137,26 +147,31 @@ def fit(sample: list[tuple[str | None, int]], odds: float | None = None) -> Mode
 
     odds: toxic to ordinary rows among all labelled rows, where the sample holds another mixture.
     """
-    texts = [words_of((t or "")[:MOST_CHARS]) for t, _ in sample]
-    y = np.array([float(label) for _, label in sample])
-    toxic, ordinary = ([w for w, v in zip(texts, y) if (v == 1) == side] for side in (True, False))
+    y = np.array([int(label) for _, label in sample], dtype=np.int64)
+    toxic, ordinary = int((y == 1).sum()), int((y == 0).sum())
     if not toxic or not ordinary:
-        share = (len(toxic) + 0.5) / (len(sample) + 1)
+        share = (toxic + 0.5) / (len(sample) + 1)
         return Model(b" ", b" ", weights=[float(np.log(share / (1 - share)))])
-    beginnings = [[{padded(w)[:BEGINNING] for w in set(words)} for words in side] for side in (toxic, ordinary)]
-    segments = b"".join(toxic_segments(*beginnings))
-    samples = [padded(w) for words in ordinary for w in words[:400]][:100_000]
+    words, coded = _numbered([t for t, _ in sample])
+    names: dict[bytes, int] = {}
+    beginning = np.array([names.setdefault(padded(w)[:BEGINNING], len(names)) for w in words], dtype=np.int64)
+    seen = np.zeros((2, len(names)), dtype=np.int64)
+    for text, label in zip(coded, y):
+        seen[label, np.unique(beginning[text])] += 1
+    segments = b"".join(toxic_segments(seen, list(names), toxic, ordinary))
+    samples = [padded(words[i]) for text, label in zip(coded, y) if label == 0 for i in text[:400]][:100_000]
     try:
         base = zstandard.train_dictionary(ORDINARY_BYTES, samples, k=32, d=6).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself
         base = b"".join(samples)[-ORDINARY_BYTES:] or b" "
     model = Model(base + segments, base + bytes(len(segments)))
     scorer = Scorer(model)
-    x = np.array([scorer.features(" ".join(words)) for words in texts])
+    gains = np.array([scorer.measured(w) for w in words], dtype=np.float64)
+    x = np.array([features(gains[text]) for text in coded])
     model.middle, model.spread = x.mean(axis=0).tolist(), (x.std(axis=0) + 1e-9).tolist()
     model.weights = _logistic(np.c_[(x - model.middle) / model.spread, np.ones(len(x))], y).tolist()
     if odds:
-        model.weights[-1] += float(np.log(odds * len(ordinary) / len(toxic)))
+        model.weights[-1] += float(np.log(odds * ordinary / toxic))
     return model
 
 
@@ -191,10 +206,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def _scorer(sent, key: str) -> Scorer:
     """One per worker process and model."""
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Scorer(sent.value)
-    return _LOADED[key]
+    return common.held(f"toxicity {key}", lambda: Scorer(sent.value))
 
 
 def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -223,6 +235,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     def run(batches):
         scorer = _scorer(sent, key)
         for batch in batches:
-            part = batch.column(at).to_pylist()
-            yield batch.filter(pa.array([scorer.score(t) < threshold for t in part], pa.bool_()))
+            for part in common.slices([batch], batch.schema.field(at).name):
+                yield part.filter(pa.array([scorer.score(t) < threshold for t in part.column(at).to_pylist()], pa.bool_()))
     return docs.mapInArrow(run, docs.schema)
