@@ -164,11 +164,16 @@ def _window_fits(windowed: DataFrame, by) -> DataFrame:
     return estimation.fit_orders(train.drop("p", "d", "q"), specs, keys).join(sizes, [*keys])
 
 
-def wf_backtest(rows: DataFrame, orders: DataFrame, num_windows: int | None = None, by=BY) -> DataFrame:
-    """Steps 7-8: fit 70 % of each fixed window, forecast the rest, score it."""
+def window_fits(rows: DataFrame, orders: DataFrame, num_windows: int | None = None, by=BY) -> DataFrame:
+    """The fit of the training part of each fixed window, written once for the steps that read it."""
+    return layout.durable(_window_fits(_train_windows(rows, orders, num_windows, by), by))
+
+
+def wf_backtest(rows: DataFrame, orders: DataFrame, num_windows: int | None = None, by=BY, fits: DataFrame | None = None) -> DataFrame:
+    """Steps 7-8: fit 70 % of each fixed window, forecast the rest, score it; ``fits``: of ``window_fits``, if at hand."""
     keys = (*by, WINDOW)
     windowed = _train_windows(rows, orders, num_windows, by)
-    fits = layout.durable(_window_fits(windowed, by))
+    fits = window_fits(rows, orders, num_windows, by) if fits is None else fits
     ahead = forecasting.forecast_long(fits, "test_size", keys)
     truth = windowed.filter("role = 'test'").select(
         *keys, (F.col(IDX) - F.col("train_size") + 1).alias("step"), F.col(VALUE).alias("actual"))
@@ -187,11 +192,12 @@ def backtest_averages(backtest: DataFrame, by=BY) -> DataFrame:
                                F.count("*").alias("num_success"))
 
 
-def wf_diagnose(rows: DataFrame, orders: DataFrame, num_windows: int | None = None, d_max: int = 2, by=BY) -> DataFrame:
-    """Step 9: residual tests of the training part of each fixed window."""
+def wf_diagnose(rows: DataFrame, orders: DataFrame, num_windows: int | None = None, d_max: int = 2, by=BY,
+                fits: DataFrame | None = None) -> DataFrame:
+    """Step 9: residual tests of the training part of each fixed window; ``fits`` as in ``wf_backtest``."""
     keys = (*by, WINDOW)
     windowed = _train_windows(rows, orders, num_windows, by)
-    fits = layout.durable(_window_fits(windowed, by))  # read four times below
+    fits = window_fits(rows, orders, num_windows, by) if fits is None else fits
     train = windowed.filter("role = 'train'").select(*layout.keys(windowed, keys), IDX, VALUE)
     steady = at_d(train, fits.select(*keys, "d"), d_max, keys)
     res = recursion.arma_residuals(steady, fits.filter("success"), 5, keys)
@@ -251,8 +257,9 @@ def wf_fit(df: DataFrame, family: str = "ARIMA", mode: str = "auto_n", max_p: in
     sliding = layout.durable(wf_sliding_fit(rows, orders, family, by=by))
     scores, selected = wf_select(sliding, by)
     reconciled = layout.durable(wf_reconcile(rows, scores, by=by))
-    backtest = wf_backtest(rows, reconciled, by=by)
-    diagnosis = layout.durable(wf_diagnose(rows, reconciled, d_max=d_max, by=by))
+    windows = window_fits(rows, reconciled, by=by)
+    backtest = wf_backtest(rows, reconciled, by=by, fits=windows)
+    diagnosis = layout.durable(wf_diagnose(rows, reconciled, d_max=d_max, by=by, fits=windows))
     final = layout.durable(wf_adjust(rows, reconciled, diagnosis, family, by))
     done = layout.durable(estimation.fit_orders(layout.fresh(rows), final.select(*by, "p", "d", "q"), by))
     lost = df.select(*by).distinct().join(done.select(*by), [*by], "left_anti")
