@@ -120,7 +120,10 @@ def test_exact_groups(docs):
         keep = min((x for x in group if x is not None), default=None)
         want.append((i, keep, len(group), i == keep, key[k]))
     assert sorted(map(repr, rows_of(exact_dedup.exact_groups(docs)))) == sorted(map(repr, want))
-    assert exact_dedup.drop_copies(docs).columns == docs.columns
+    left = exact_dedup.drop_copies(docs)
+    assert left.columns == docs.columns
+    ids = [r.doc_id for r in left.collect()]
+    assert ids.count(None) == 2 and {1, 3, 4, 5, 6, 9} <= set(ids) and not {2, 7, 8, 10} & set(ids)
 
 
 def test_cuckoo_index_inserts_deletes_and_grows():

@@ -32,9 +32,12 @@ def slim(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def keep_only(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose ``doc_id`` is in ``dropped(doc_id)``; every other column stays as it is."""
-    gone = dropped.select(F.col("doc_id").alias("gone_doc_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_doc_id"]), "left_anti")
+    """``docs`` without the rows whose ``doc_id`` is in ``dropped(doc_id)``; every other column stays as it is.
+
+    Rows without a doc_id cannot be told apart, so none of them is dropped.
+    """
+    gone = dropped.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("gone_doc_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_doc_id"], "left_anti")
 
 
 def spread_count(rows: int, per_task: int) -> int:

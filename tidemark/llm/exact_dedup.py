@@ -11,7 +11,7 @@ A digest that fills a third of the table is summed up inside each task before th
 receives it a bounded number of times per task.
 
 Defined cases: null text is empty; empty texts are one group; rows that repeat doc_id and text count
-towards ``group_size`` and are marked alike; a null doc_id keeps only if its whole group has none; an empty
+towards ``group_size`` and are marked alike; a null doc_id keeps only if its whole group has none, and the filter drops no row without one; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -134,8 +134,7 @@ def _summed(shards: int):
     def run(parts):
         held: dict[bytes, list[int]] = {}
         for part in parts:
-            ids = [NO_ID if x is None or x != x else int(x) for x in part["doc_id"].astype(object)]
-            for key, doc in zip(part["digest"], ids):
+            for key, doc in zip(part["digest"], part["doc_id"].tolist()):
                 old = held.get(key)
                 if old is None:
                     held[key] = [doc, 1]
@@ -150,7 +149,7 @@ def _summed(shards: int):
 
 
 def _to_shards(found: DataFrame, shards: int) -> DataFrame:
-    source = found.select("doc_id", F.unhex("text_sha256").alias("digest"))
+    source = found.select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), F.unhex("text_sha256").alias("digest"))
     return source.mapInPandas(_summed(shards), "shard int, digest binary, keep_id long, size long")
 
 
