@@ -316,6 +316,15 @@ def test_page_text(spark):
     assert page_text.host_of("http://u@B.example:80/") == "b.example:80"
 
 
+def test_wrapped_landmark_outlives_the_template(spark):
+    wrapped = "<body><div id=wrap><nav>Menu</nav>{}<footer>Foot</footer></div></body>"
+    rows = [(k, f"http://own.example/{k}", wrapped.format(f"<main><p>story {k}</p></main>")) for k in range(8)]
+    rows += [(20 + k, f"http://copies.example/{k}", wrapped.format("<div role=main><p>one story</p></div>")) for k in range(8)]
+    rows += [(40 + k, f"http://plain.example/{k}", f"<div>Menu</div><div>Top<main>story {k}</main></div>") for k in range(8)]
+    got = {r.page_id: r.text for r in page_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "one story" if 20 <= i < 40 else f"story {i % 20}" for i, _, _ in rows}
+
+
 def test_pages_of_the_tables(spark):
     import html
     import re

@@ -3,7 +3,7 @@
 Every element subtree (tag, text, child subtrees) has a hash.  Spark counts, per host, on how many pages each hash
 occurs; subtrees on many pages of a host are its template and are deleted.  Inside an explicit content landmark
 (``article``, ``main``, their roles) nothing is deleted for recurring, since articles share sentences and copies of whole
-articles are common; a page without a landmark has no such shelter.  What is left is read by the meaning of its
+articles are common, not even where an element around the landmark recurs; a page without a landmark has no such shelter.  What is left is read by the meaning of its
 elements: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go, the landmark's
 text stays, or all remaining text where there is no landmark.
 
@@ -125,8 +125,7 @@ class Page:
     def _text(self, raw: str) -> None:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
-            if not self._stack[-1].landmark:  # only what can be template needs a hash
-                self._stack[-1].parts.append(" ".join(text.split()))
+            self._stack[-1].parts.append(" ".join(text.split()))
             self.chunks.append(text)
             self.blocks.append(self._block)
 
@@ -187,14 +186,17 @@ class Page:
         return {e.digest for e in self.elements if e.digest and not e.landmark and e.tag not in ("html", "body")}
 
     def text(self, template: set[int]) -> str:
-        """The main text without the subtrees in ``template``."""
+        """The main text without the subtrees in ``template``; a landmark inside one of them stays."""
         n = len(self.chunks)
-        gone, inside = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+        gone, inside, recurs = (np.zeros(n, dtype=bool) for _ in range(3))
         for e in self.elements:
-            if e.dropped or (e.digest in template and not e.landmark):
+            if e.dropped:
                 gone[e.first:e.last] = True
             elif e.landmark:
                 inside[e.first:e.last] = True
+            elif e.digest in template:
+                recurs[e.first:e.last] = True
+        gone |= recurs & ~inside
         kept = np.flatnonzero(inside & ~gone)
         if not any(self.chunks[i].strip() for i in kept):
             kept = np.flatnonzero(~gone)
