@@ -325,6 +325,21 @@ def test_wrapped_landmark_outlives_the_template(spark):
     assert got == {i: "one story" if 20 <= i < 40 else f"story {i % 20}" for i, _, _ in rows}
 
 
+def test_templates_of_a_large_host_and_copies(spark):
+    story = "".join(f"<p>{passage(k, 12)}</p>" for k in range(6))
+    menu = "<div><a href=/a>Alpha</a> <a href=/b>Beta</a></div>"
+    rows = [(k, f"http://big.example/{k}", f"<div>{'A notice of the section' if k < 6 else f'head {k}'}</div><p>own <b>bold</b> text {k}</p>") for k in range(700)]
+    rows += [(1000 + k, f"http://copies.example/{k}", f"{menu}<div>{story}</div>") for k in range(6)]
+    rows += [(2000 + k, f"http://bare.example/{k}", menu + story) for k in range(6)]
+    rows += [(3000 + k, f"http://marked.example/{k}", f"<main><h1><a href=/>Same head</a></h1>{menu}<p>Same line, <a href=/c>see</a>.</p></main>") for k in range(6)]
+    rows += [(4000 + k, f"http://index.example/{k}", f"<p>Out</p><main>{menu}</main>") for k in range(6)]
+    got = {r.page_id: r.text for r in page_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[k] for k in range(6)} == {f"own bold text {k}" for k in range(6)} and got[9] == "head 9\nown bold text 9"
+    copied = "\n".join(passage(k, 12) for k in range(6))
+    assert {got[k] for k in (*range(1000, 1006), *range(2000, 2006))} == {copied}
+    assert {got[k] for k in range(3000, 3006)} == {"Same head\nSame line, see."} and got[4000] == "Alpha Beta"
+
+
 def test_pages_of_the_tables(spark):
     import html
     import re

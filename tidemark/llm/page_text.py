@@ -1,14 +1,16 @@
 """Main text of web pages after removal of site templates.
 
 Every element subtree (tag, text, child subtrees) has a hash.  Spark counts, per host, on how many pages each hash
-occurs; subtrees on many pages of a host are its template and are deleted.  Inside an explicit content landmark
-(``article``, ``main``, their roles) nothing is deleted for recurring, since articles share sentences and copies of whole
-articles are common, not even where an element around the landmark recurs; a page without a landmark has no such shelter.  What is left is read by the meaning of its
+occurs; subtrees on ``LEAST_PAGES`` pages of a host or more are its template, however large the host.  Template goes in two ways.
+Link lists (``LINK_SHARE`` of the text in links or more) go everywhere, inside a content landmark (``article``, ``main``,
+their roles) as whole blocks only.  Other template goes outside landmarks, and there only in runs shorter than ``PROSE``
+characters: copies of main text recur too, and longer runs count as such (so does a longer notice without links).  Shared sentences
+in a landmark stay, and a landmark never loses all its text for recurring.  What is left is read by the meaning of its
 elements: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go, the landmark's
 text stays, or all remaining text where there is no landmark.
 
-A hash counts as template on at least ``LEAST_PAGES`` pages and ``LEAST_SHARE`` of the host's pages, so a host keeps at most
-(elements a page) / ``LEAST_SHARE`` hashes, however many pages it has.  Counts are summed inside each task before the shuffle.
+Hosts have no list of their templates: the hashes of each page, one row a hash, are joined with the host's counts, and a page gets the
+templates that it contains.  Pages are named by a digest of host and html, since equal pages have equal templates.
 
 Defined cases: null html gives an empty text; a null url is a host of its own; broken markup is read as browsers do in the
 common cases (unclosed elements, stray end tags, unfinished tags at the end); repeated rows count as pages of their own;
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import common
 
 LEAST_PAGES = 5
-LEAST_SHARE = 0.01
+LINK_SHARE = 0.5
+PROSE = 400
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
@@ -53,6 +56,7 @@ DROPPED_WORDS = frozenset("""ad ads advert adverts advertisement advertising ads
 consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription paywall sidebar sidebars aside menu menus nav navbar
 navigation breadcrumb breadcrumbs footer masthead toolbar pagination pager share sharing social comment comments commentlist disqus
 replies respond related recommended widget widgets login signup search skip""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEADER_WORDS = frozenset({"header", "topbar"})
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
@@ -67,11 +71,12 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 class Element:
-    __slots__ = ("tag", "first", "last", "parts", "dropped", "landmark", "digest")
+    __slots__ = ("tag", "first", "last", "parts", "dropped", "landmark", "marked", "parent", "words", "link", "digest")
 
-    def __init__(self, tag: str, first: int, dropped: bool, landmark: bool):
+    def __init__(self, tag: str, first: int, dropped: bool, landmark: bool, marked: bool = False, parent: Element | None = None):
         self.tag, self.first, self.last, self.parts = tag, first, first, []
-        self.dropped, self.landmark, self.digest = dropped, landmark, 0
+        self.dropped, self.landmark, self.marked, self.parent, self.digest = dropped, landmark, marked, parent, 0
+        self.words, self.link = False, tag == "a" or (parent is not None and parent.link)
 
 
 def _is_dropped(tag: str, attributes: dict[str, str], landmark: bool) -> bool:
@@ -95,6 +100,7 @@ class Page:
     def __init__(self, source: str | None):
         self.chunks: list[str] = []
         self.blocks: list[int] = []
+        self.linked: list[bool] = []
         self.elements: list[Element] = []
         self._block = 0
         self._stack = [Element("", 0, False, False)]
@@ -125,7 +131,10 @@ class Page:
     def _text(self, raw: str) -> None:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
-            self._stack[-1].parts.append(" ".join(text.split()))
+            top = self._stack[-1]
+            top.parts.append(" ".join(text.split()))
+            top.words = top.words or any(map(str.isalnum, text))
+            self.linked.append(top.link)
             self.chunks.append(text)
             self.blocks.append(self._block)
 
@@ -145,8 +154,9 @@ class Page:
         if tag in VOID:
             return
         top, attributes = self._stack[-1], _attributes(raw)
-        landmark = top.landmark or tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article")
-        self._stack.append(Element(tag, len(self.chunks), top.dropped or _is_dropped(tag, attributes, landmark), landmark))
+        marked = tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article")
+        landmark = top.landmark or marked
+        self._stack.append(Element(tag, len(self.chunks), top.dropped or _is_dropped(tag, attributes, landmark), landmark, marked, top))
 
     def _pop_to(self, tags: set[str], barrier: set[str]) -> None:
         for depth in range(len(self._stack) - 1, 0, -1):
@@ -181,25 +191,58 @@ class Page:
                 self._stack[-1].parts.append(f"\x01{done.digest:x}")
             self.elements.append(done)
 
+    def _sizes(self) -> np.ndarray:
+        """Characters of all text and of link text before each chunk, white space apart."""
+        size = np.fromiter((len("".join(c.split())) for c in self.chunks), np.int64, len(self.chunks))
+        out = np.zeros((2, len(size) + 1), dtype=np.int64)
+        np.cumsum([size, size * np.array(self.linked, dtype=np.int64)], axis=1, out=out[:, 1:])
+        return out
+
+    def _candidates(self) -> list[tuple[Element, bool]]:
+        """Elements that go if they are template, and whether they are link lists."""
+        whole, links = self._sizes().tolist()
+        out = []
+        for e in self.elements:
+            if not e.digest or e.dropped or e.tag in ("html", "body"):
+                continue
+            block = e.tag in BLOCK or e.tag in ("td", "th")
+            if not block and e.parent.words:
+                continue  # part of a sentence
+            dense = links[e.last] - links[e.first] >= LINK_SHARE * (whole[e.last] - whole[e.first])
+            if not e.landmark or (dense and block and not e.marked and e.tag not in HEADINGS):
+                out.append((e, dense))
+        return out
+
     def countable(self) -> set[int]:
-        """Hashes of the subtrees with text outside content landmarks."""
-        return {e.digest for e in self.elements if e.digest and not e.landmark and e.tag not in ("html", "body")}
+        """Hashes of the subtrees that go if they recur."""
+        return {e.digest for e, _ in self._candidates()}
 
     def text(self, template: set[int]) -> str:
         """The main text without the subtrees in ``template``; a landmark inside one of them stays."""
         n = len(self.chunks)
-        gone, inside, recurs = (np.zeros(n, dtype=bool) for _ in range(3))
+        dropped, inside, lists, recurs = (np.zeros(n, dtype=bool) for _ in range(4))
         for e in self.elements:
             if e.dropped:
-                gone[e.first:e.last] = True
+                dropped[e.first:e.last] = True
             elif e.landmark:
                 inside[e.first:e.last] = True
-            elif e.digest in template:
-                recurs[e.first:e.last] = True
-        gone |= recurs & ~inside
-        kept = np.flatnonzero(inside & ~gone)
-        if not any(self.chunks[i].strip() for i in kept):
-            kept = np.flatnonzero(~gone)
+        for e, dense in self._candidates() if template else ():
+            if e.digest in template:
+                part = lists if dense else recurs
+                part[e.first:e.last] |= e.landmark | ~inside[e.first:e.last]
+        gone = dropped | lists
+        if recurs.any():
+            # chunks that show something, in runs of the same kind; a run shorter than PROSE goes
+            size = np.diff(self._sizes()[0])
+            shown = np.flatnonzero(~gone & (size > 0))
+            kind = recurs[shown] & ~inside[shown]
+            run = np.cumsum(np.diff(kind, prepend=False))
+            short = np.bincount(run, size[shown]) < PROSE if len(shown) else np.zeros(0, dtype=bool)
+            gone[shown[kind & short[run]]] = True
+        for left in (inside & ~gone, inside & ~dropped, ~gone):
+            kept = np.flatnonzero(left)
+            if any(self.chunks[i].strip() for i in kept):
+                break
         out, block, parts = [], None, []
         for i in [*kept.tolist(), None]:
             now = None if i is None else self.blocks[i]
@@ -218,38 +261,48 @@ def _rows(pages: DataFrame) -> DataFrame:
                         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
 
 
-def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """``host, template``: the hashes of the subtrees that recur on many pages of the host."""
-    def count(batches):
+def _key(host: str, source: str) -> bytes:
+    return xxhash.xxh3_128_digest(f"{host}\x00{source}".encode("utf-8", "surrogatepass"))
+
+
+def page_digests(pages: DataFrame) -> DataFrame:
+    """Per row of ``pages``: key, host, and the hashes of its subtrees that go if they recur."""
+    def run(batches):
         for part in common.slices(batches, "html"):
-            seen: Counter = Counter()
-            for url, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                host = host_of(url)
-                seen[host, None] += 1
-                for digest in Page(source).countable():
-                    seen[host, digest] += 1
-            rows = [(h, None if d is None else int(np.uint64(d).astype(np.int64)), n) for (h, d), n in seen.items()]
-            host, digest, n = zip(*rows)
-            yield pa.record_batch({"host": pa.array(host, pa.string()), "digest": pa.array(digest, pa.int64()), "n": pa.array(n, pa.int64())})
-    counts = _rows(pages).select("url", "html").mapInArrow(count, "host string, digest long, n long")
-    counts = common.durable(counts.groupBy("host", "digest").agg(F.sum("n").alias("n")))
-    whole = counts.where("digest IS NULL").select("host", F.col("n").alias("pages"))
-    often = counts.where("digest IS NOT NULL").where(F.col("n") >= least_pages).join(whole, "host").where(F.col("n") >= least_share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_set("digest").alias("template"))
+            sources, hosts = part.column(1).to_pylist(), [host_of(u) for u in part.column(0).to_pylist()]
+            found = [common.signed(np.array(sorted(Page(x).countable()), dtype=np.uint64)).tolist() for x in sources]
+            yield pa.record_batch({"key": pa.array(map(_key, hosts, sources), pa.binary()), "host": pa.array(hosts, pa.string()),
+                                   "digests": pa.array(found, pa.list_(pa.int64()))})
+    return _rows(pages).select("url", "html").mapInArrow(run, "key binary, host string, digests array<long>")
+
+
+def templates(found: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """``host, digest``: the hashes that are on many pages of the host, from ``page_digests``."""
+    return (found.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n"))
+            .where(F.col("n") >= least_pages).select("host", "digest"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
-    known = common.durable(templates(pages))
-    found = F.regexp_extract(F.coalesce("url", F.lit("")), "^" + _HOST.pattern, 1)  # host_of in SQL
-    rows = _rows(pages).withColumn("page_host", F.lower(F.regexp_replace(found, "^.*@", "")))
-    joined = rows.join(known, rows["page_host"] == known["host"], "left").select("page_id", "url", "html", "template")
+    found = common.durable(page_digests(pages))
+    known = common.durable(templates(found))
+    own = found.select("key", "host", F.explode("digests").alias("digest")).join(known, ["host", "digest"])
+    own = common.durable(own.groupBy("key").agg(F.collect_set("digest").alias("template")))
 
-    def run(batches):
+    def keyed(batches):
         for part in common.slices(batches, "html"):
-            found = []
-            for source, template in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                found.append(Page(source).text({d & common.MASK for d in template or ()}))
-            yield pa.record_batch({"page_id": part.column(0), "url": part.column(1), "text": pa.array(found, pa.string()),
-                                   "n_chars": pa.array([len(t) for t in found], pa.int64())})
+            urls, sources = part.column(1).to_pylist(), part.column(2).to_pylist()
+            yield pa.record_batch({"page_id": part.column(0), "url": part.column(1),
+                                   "page_key": pa.array([_key(host_of(u), x) for u, x in zip(urls, sources)], pa.binary()),
+                                   "body": pa.array([zlib.compress(x.encode("utf-8", "surrogatepass"), 1) for x in sources], pa.binary())})
+    rows = _rows(pages).mapInArrow(keyed, "page_id long, url string, page_key binary, body binary")
+    joined = rows.join(own, rows["page_key"] == own["key"], "left").select("page_id", "url", "body", "template")
+
+    def run(batches):
+        for part in common.slices(batches, "body", common.SLICE_BYTES // 4):
+            texts = []
+            for body, template in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                texts.append(Page(zlib.decompress(body).decode("utf-8", "surrogatepass")).text({d & common.MASK for d in template or ()}))
+            yield pa.record_batch({"page_id": part.column(0), "url": part.column(1), "text": pa.array(texts, pa.string()),
+                                   "n_chars": pa.array([len(t) for t in texts], pa.int64())})
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
