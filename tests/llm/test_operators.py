@@ -244,6 +244,18 @@ def test_layouts(spark, schema, row, want):
     assert [tuple(t) for t in made.select(chat.parse(F.col("formatted")).alias("t")).first()["t"]] == want
 
 
+def test_mixed_layouts(spark):
+    schema = "conv_id long, messages array<struct<role:string,content:string>>, prompt string, response string, instruction string, input string, output string"
+    rows = [(1, [("user", "u"), ("assistant", "a")], *[None] * 5), (2, None, "p", "r", *[None] * 3), (3, None, "p", *[None] * 4),
+            (4, None, None, None, "do", None, "ok"), (5, None, None, None, "do", "it", "ok"), (6, *[None] * 6), (7, [(None, None)], *[None] * 5)]
+    made = chat.format_chats(spark.createDataFrame(rows, schema))
+    got = {r.conv_id: [tuple(t) for t in r.t] for r in made.select("conv_id", chat.parse(F.col("formatted")).alias("t")).collect()}
+    assert got == {1: [("user", "u"), ("assistant", "a")], 2: [("user", "p"), ("assistant", "r")], 3: [("user", "p"), ("assistant", "")],
+                   4: [("user", "do"), ("assistant", "ok")], 5: [("user", "do\n\nit"), ("assistant", "ok")], 6: [], 7: [("", "")]}
+    with pytest.raises(Exception, match="no mapping for the layout messages"):
+        chat.format_chats(spark.createDataFrame([(8, [("user", "u")], "p", *[None] * 4)], schema)).collect()
+
+
 def test_unknown_layout(spark):
     with pytest.raises(ValueError, match="no mapping"):
         chat.canonical(spark.createDataFrame([(1, "x")], "conv_id long, other string"))

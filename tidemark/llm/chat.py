@@ -1,8 +1,10 @@
 """Chat formatting driven by schema fingerprints, in DataFrame functions only.
 
-The layout of a table is its set of nested field paths, ``messages[].role`` for example.  Its fingerprint, a hash of
-the sorted paths, selects a declarative mapping (SQL expressions) that turns a record into canonical turns, an
-array of ``{role, text}``.  Records are then written as
+The layout of a record is its set of nested field paths that are not null, ``messages[].role`` for example.  Its fingerprint,
+a hash of the sorted paths, selects a declarative mapping (SQL expressions) that turns a record into canonical turns, an
+array of ``{role, text}``.  A record with nulls inside its layout takes the smallest layout with all its paths; one that no layout
+holds whole fails the query.  Paths of no layout that fits the table are ignored; where one layout fits, it is that of every record.
+Records are then written as
 
     <|im_start|>role\\ntext<|im_end|>\\n
 
@@ -72,18 +74,44 @@ LAYOUTS: dict[tuple[str, ...], str] = {
 MAPPINGS = {fingerprint(list(paths)): sql for paths, sql in LAYOUTS.items()}
 
 
-def layout_of(records: DataFrame, keys: tuple[str, ...]) -> str:
-    """Fingerprint of the largest known layout inside the table's fields; extra fields do not hide it."""
+def layouts_of(records: DataFrame, keys: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """The known layouts inside the table's fields, smallest first; extra fields do not hide them."""
     paths = set(field_paths(T.StructType([f for f in records.schema.fields if f.name not in keys])))
     fitting = [p for p in LAYOUTS if set(p) <= paths]
     if not fitting:
         raise ValueError(f"no mapping for the layout {sorted(paths)}")
-    return fingerprint(list(max(fitting, key=lambda p: (len(p), p))))
+    return sorted(fitting, key=lambda p: (len(p), p))
+
+
+def _present(path: str) -> str:
+    root, _, leaf = path.partition("[].")
+    return f"exists(`{root}`, m -> m.`{leaf}` IS NOT NULL)" if leaf else f"`{root}` IS NOT NULL"
+
+
+def _choice(fitting: list[tuple[str, ...]]) -> str:
+    """SQL of the turns of a record by its ``present_paths``."""
+    def sql(paths):
+        return MAPPINGS[fingerprint(list(paths))]
+    none = "CAST(array() AS array<struct<role:string,text:string>>)"
+    cases = [f"WHEN substring(sha2(array_join(present_paths, '\\n'), 256), 1, 16) = '{fingerprint(list(p))}' THEN {sql(p)}" for p in fitting]
+    if not all(set(p) <= set(fitting[-1]) for p in fitting):  # several kinds: a record without any path has turns by its arrays alone
+        cases += [f"WHEN size(present_paths) = 0 AND size(`{p[0].partition('[]')[0]}`) > 0 THEN {sql(p)}" for p in fitting if "[]" in p[0]]
+        cases.append(f"WHEN size(present_paths) = 0 THEN {none}")
+    for p in fitting:
+        held = ", ".join(f"'{x}'" for x in p)
+        cases.append(f"WHEN size(array_except(present_paths, array({held}))) = 0 THEN {sql(p)}")
+    return f"CASE {' '.join(cases)} ELSE raise_error(concat('no mapping for the layout ', array_join(present_paths, ', '))) END"
 
 
 def canonical(records: DataFrame, keys: tuple[str, ...] = ("conv_id",)) -> DataFrame:
-    """``keys`` and ``turns``: array of {role, text}, whatever the layout of ``records``."""
-    return records.select(*keys, F.expr(MAPPINGS[layout_of(records, keys)]).alias("turns"))
+    """``keys`` and ``turns``: array of {role, text}, whatever the layouts of ``records``."""
+    fitting = layouts_of(records, keys)
+    if len(fitting) == 1:
+        return records.select(*keys, F.expr(MAPPINGS[fingerprint(list(fitting[0]))]).alias("turns"))
+    known = sorted({x for p in fitting for x in p})
+    present = "array_compact(array(" + ", ".join(f"CASE WHEN {_present(x)} THEN '{x}' END" for x in known) + "))"
+    fields = sorted({x.partition("[]")[0] for x in known} - set(keys))
+    return records.select(*keys, *fields, F.expr(present).alias("present_paths")).select(*keys, F.expr(_choice(fitting)).alias("turns"))
 
 
 def records_of(turns: DataFrame) -> DataFrame:
