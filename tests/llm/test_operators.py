@@ -304,6 +304,22 @@ def test_decontamination(spark, docs):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_long_items_reach_the_target_recall():
+    rng, item = random.Random(12), [f"w{k}" for k in range(1000)]
+    items = decontaminate.Items.of([(1, " ".join(item)), (2, " ".join(item[:30]))])
+    for words in items.words:
+        repeats, rate = items.repeats[len(words)], decontaminate.agreement(words, 200) ** decontaminate.SAMPLES
+        assert repeats == 0 or (1 - rate) ** repeats <= 2 * (1 - decontaminate.TARGET_RECALL)
+    copies = []
+    for k in range(12):
+        words = list(item)
+        for at in rng.sample(range(1000), 200):
+            words[at] = f"edited{k}x{at}"
+        copies.append(" ".join(["before"] * 40 + words + ["after"] * 40).encode())
+    found = decontaminate.Finder(items).matches(copies)
+    assert {(d, edits) for d, i, edits, _, _ in found if i == 1} == {(k, 200) for k in range(12)}
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 200)
     docs, bench = common.load(spark, FOLDER, "documents"), common.load(spark, FOLDER, "benchmark")

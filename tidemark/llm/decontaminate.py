@@ -9,7 +9,8 @@ words (similarity 0.8 or more), letters in either case and punctuation aside.
 2. The CGK random walk reads a word sequence with a pointer that a random bit of (step, word) moves on or not; it
    maps edit distance to Hamming distance.  Each repetition has a walk of its own and samples a few of its steps; a
    window that agrees with the item in all samples of one repetition is a candidate.  The number of repetitions is set
-   from the agreement measured on items edited as far as allowed, so that the target recall is reached.
+   from the agreement measured on items edited as far as allowed, so that the target recall is reached.  Where that takes
+   more than ``MOST_REPEATS`` (long items), every window of step 1 is a candidate.
 3. Candidates are verified by the exact edit distance of the item to the best run of words around the window.
 
 The benchmark is broadcast in blocks of at most ``BLOCK_CHARS`` characters (or one item); documents are passed over once
@@ -92,12 +93,19 @@ def agreement(words: np.ndarray, tries: int = 40) -> float:
     return float((walk(np.array(edited, dtype=np.uint64), STEPS_PER_WORD * n, 1, steps) == one).mean())
 
 
+def needed_repeats(rate: float) -> int:
+    """Repetitions that reach the target recall at this agreement; 0 where there would be too many and all windows are verified."""
+    missed = 1 - min(0.999, rate ** SAMPLES)
+    needed = max(4, math.ceil(math.log(1 - TARGET_RECALL) / math.log(missed))) if missed < 1 else math.inf
+    return needed if needed <= MOST_REPEATS else 0
+
+
 @dataclass
 class Items:
     """A block of the benchmark: words, seeds (part hash to item and offset) and embeddings per repetition."""
     ids: list[int]
     words: list[np.ndarray]
-    repeats: dict[int, int] = field(default_factory=dict)  # by item length
+    repeats: dict[int, int] = field(default_factory=dict)  # by item length; 0: no walk
     seeds: dict[int, dict[int, list[tuple[int, int]]]] = field(default_factory=dict)  # part length, hash
     embedded: dict[int, list[np.ndarray]] = field(default_factory=dict)
 
@@ -109,8 +117,7 @@ class Items:
         out = Items([i for i, _ in kept], [w for _, w in kept])
         for n in sorted({len(w) for w in out.words}):
             same = [w for w in out.words if len(w) == n]
-            rate = min(agreement(w) for w in same[:5]) ** SAMPLES
-            out.repeats[n] = min(MOST_REPEATS, max(4, math.ceil(math.log(1 - TARGET_RECALL) / math.log(1 - min(0.999, max(0.02, rate))))))
+            out.repeats[n] = needed_repeats(min(agreement(w, max(8, 200 // len(same))) for w in same))
         for k, words in enumerate(out.words):
             n = len(words)
             size = n // (most_edits(n) + 1)
@@ -175,6 +182,8 @@ class Finder:
         """Those (document, start) of ``placed`` that have a window, shifted by up to e words, that agrees with item k."""
         words = self.items.words[k]
         n, e = len(words), most_edits(len(words))
+        if not self.items.repeats[n]:
+            return placed
         spots, shifts, held = sorted(placed), np.arange(-e, e + 1), set()
         for at in range(0, len(spots), 2_000):
             part = spots[at:at + 2_000]
