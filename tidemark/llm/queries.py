@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, exact_dedup, near_dedup, packing, page_text, secret_scan, substring_dedup, token_counts, toxicity
+from tidemark.llm import (chat, decontaminate, exact_dedup, hard_negatives, minhash, near_dedup, packing, page_text, phrases, secret_scan,
+                          substring_dedup, token_counts, toxicity)
 from tidemark.llm.common import load
 
 
@@ -57,6 +58,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(load(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(load(spark, sf_dir, "embeddings"))
+
+
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(load(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(load(spark, sf_dir, "documents"))
+
+
+#: ASCII letters only, as SQL arguments of translate().
+_ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 ORACLE = {
     "op6_chat": r"""
         WITH t AS (
@@ -76,6 +91,61 @@ ORACLE = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op11_hard_negatives": r"""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS MATERIALIZED (
+            SELECT a.id AS aid, a.vec_id AS anchor_id, b.id AS bid, b.vec_id AS vec_id, a.label = b.label AS same,
+                   CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+            FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.id <> b.id),
+        p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY aid ORDER BY score DESC, vec_id, bid) <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.vec_id AS negative_id,
+               p.score AS positive_score, n.score AS negative_score
+        FROM p JOIN s n ON p.aid = n.aid AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+        WINDOW w AS (PARTITION BY p.aid, p.bid ORDER BY n.score DESC, n.vec_id, n.bid)
+        QUALIFY row_number() OVER w <= 10""",
+    "op12_minhash_dedup": rf"""
+        WITH RECURSIVE t AS MATERIALIZED (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_ASCII}), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        g AS MATERIALIZED (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM t),
+        h AS MATERIALIZED (SELECT doc_id, unnest(s) AS shingle FROM g),
+        c AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+              FROM h a JOIN h b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        e AS MATERIALIZED (SELECT a, b FROM c JOIN g x ON x.doc_id = a JOIN g y ON y.doc_id = b WHERE 100 * shared >= 85 * (len(x.s) + len(y.s) - shared)),
+        l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r AS (SELECT doc_id AS node, doc_id AS top FROM g UNION SELECT l.b, r.top FROM r JOIN l ON l.a = r.node WHERE r.top < l.b)
+        SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, min(r.top) AS component_id, g.doc_id = min(r.top) AS kept
+        FROM g JOIN r ON r.node = g.doc_id GROUP BY g.doc_id, g.s""",
+    "op13_collocations": rf"""
+        WITH p AS (
+            SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+                SELECT coalesce(lang, 'und') AS lang,
+                       unnest(string_split_regex(translate(coalesce(text, ''), {_ASCII}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+        o AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+              FROM p, range(1, 6) AS r(k)),
+        f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM o GROUP BY ALL HAVING count(*) >= 100),
+        t AS MATERIALIZED (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+        c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+        u AS (SELECT c.*, i FROM c, range(1, 5) AS r(i) WHERE i < k),
+        x AS (SELECT u.lang, u.phrase, u.a, l.f AS l, r.f AS r, t.n, i,
+                     (1000 * u.a::HUGEINT * t.n::HUGEINT) // (l.f::HUGEINT * r.f::HUGEINT) AS score
+              FROM u JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(u.w[1:i], ' ')
+                     JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(u.w[i + 1:u.k], ' ') JOIN t ON t.lang = u.lang),
+        y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+        d AS (SELECT DISTINCT s.lang, s.phrase FROM (
+                  SELECT lang, a, unnest(flatten(list_transform(range(2, k), lambda z: list_transform(range(1, k - z + 2),
+                      lambda i: array_to_string(w[i:i + z - 1], ' '))))) AS phrase FROM c WHERE k > 2) s
+              JOIN c ON c.lang = s.lang AND c.phrase = s.phrase WHERE s.a >= c.a)
+        SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM y ANTI JOIN d USING (lang, phrase)
+        WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER w <= 2000""",
 }
 
 
