@@ -235,11 +235,11 @@ def index(rows: DataFrame) -> tuple[DataFrame, int]:
 
     def grow(key, part):
         part = part.sort_values("row", kind="stable")
-        ids = part["vec_id"].fillna(NO_ID).to_numpy(np.int64) if part["vec_id"].isna().any() else part["vec_id"].to_numpy(np.int64)
-        tree = build(_matrix(part["q"].tolist(), width), ids, part["row"].to_numpy(np.int64), part["label"].to_numpy(np.int64))
+        tree = build(_matrix(part["q"].tolist(), width), part["vec_id"].to_numpy(np.int64), part["row"].to_numpy(np.int64), part["label"].to_numpy(np.int64))
         return pd.DataFrame({"shard": [key[0]], "tree": [tree.dump()]})
 
-    trees = dealt.select("shard", "row", "vec_id", "label", "q").groupBy("shard").applyInPandas(grow, "shard long, tree binary")
+    named = dealt.withColumn("vec_id", F.coalesce("vec_id", F.lit(int(NO_ID))))
+    trees = named.select("shard", "row", "vec_id", "label", "q").groupBy("shard").applyInPandas(grow, "shard long, tree binary")
     return common.durable(trees), sum(parts)
 
 
@@ -252,7 +252,7 @@ def _passed(trees: DataFrame, shards: int, anchors: DataFrame, same: bool, most:
     anchors: anchor (row), label, q, low and high (arrays, one entry a window).
     """
     if not shards:
-        return trees.sparkSession.createDataFrame([], _FOUND)
+        return trees.sparkSession.createDataFrame([], f"{_FOUND}, rank int")
     asks = anchors.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     none = lambda kind: F.lit(None).cast(kind)
     names = ["shard", "anchor", "label", "q", "low", "high", "tree"]
