@@ -85,13 +85,28 @@ def test_links_that_no_star_holds(spark):
     twin = sets[1].copy()
     twin[:20] = np.random.default_rng(9).integers(0, 1 << 63, 20, dtype=np.uint64)
     prints = [minhash.common.mix(minhash.signature(np.unique(s))).astype(np.uint8).tobytes() for s in (sets[0], sets[1], twin, sets[2])]
-    nodes = spark.createDataFrame([(k, 600, bytearray(p)) for k, p in enumerate(prints)], "node long, n_shingles long, print binary")
-    buckets = spark.createDataFrame([(5, k, 4, 0) for k in range(4)], "key long, node long, members long, centre long")
+    sketches = [(np.unique(s) >> np.uint64(32)).astype(np.uint32).tobytes() for s in (sets[0], sets[1], twin, sets[2])]
+    nodes = spark.createDataFrame([(k, 600, bytearray(p), bytearray(s)) for k, (p, s) in enumerate(zip(prints, sketches))],
+                                  "node long, n_shingles long, print binary, sketch binary")
+    # the first band that two prints share
+    same = (np.frombuffer(prints[1], np.uint8) == np.frombuffer(prints[2], np.uint8)).reshape(minhash.BANDS, minhash.ROWS).all(axis=1)
+    buckets = spark.createDataFrame([(5, k, int(same.argmax()), 4, 0) for k in range(4)], "key long, node long, band int, members long, centre long")
     labels = lambda rows: spark.createDataFrame(rows, "node long, component long")
     assert [tuple(r) for r in minhash.open_pairs(buckets, labels([]), nodes).collect()] == [(2, 1)]
     assert minhash.open_pairs(buckets, labels([(1, 1), (2, 1)]), nodes).count() == 0
 
 
+def test_sketches_of_large_sets(monkeypatch):
+    rng = np.random.default_rng(6)
+    union = np.unique(rng.integers(0, 1 << 63, 9000, dtype=np.uint64) * np.uint64(2))
+    sketch = lambda s: (np.sort(s)[:minhash.SKETCH] >> np.uint64(32)).astype(np.uint32)
+    for share, want in ((0.95, True), (0.86, True), (0.7, False), (0.3, False)):
+        rng.shuffle(union)
+        gone = int((1 - share) * len(union) / 2)
+        a, b = union[gone:], union[:len(union) - gone]
+        assert minhash._may_be_similar(sketch(a), sketch(b), (len(a), len(b)), 85) == want
+
+
 def test_signatures_agree_at_the_similarity():
     rng = np.random.default_rng(1)
     for size, share in ((3000, 0.85), (300, 0.85), (40, 0.9), (3000, 0.5)):

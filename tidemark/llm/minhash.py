@@ -8,9 +8,10 @@ of the 32 bands with a chance of 0.99996.
 
 Equal sets are one node.  In every bucket each node is paired with the smallest one only (a star), so candidates
 grow with the nodes and not with the pairs; every star edge is verified on the full sets.  What stars leave open is
-settled apart: buckets that still hold several components after the stars are compared in blocks by their bin values, and
-pairs across components that agree about as often as the threshold asks for are verified on the full sets as well.  So a
-link between two members that are both far from the centre of their bucket is not lost.
+settled apart: buckets that still hold several components after the stars are compared in blocks, first by their bin values,
+then by sketches of their smallest hashes (the whole set, for most documents), each pair in the first band that it shares.
+Only pairs across components that the sketches take for similar leave their task, and are verified on the full sets as
+well.  So a link between two members that are both far from the centre of their bucket is not lost.
 
 Texts travel once for each verified edge: the members of a star are cut into blocks and each block gets its centre.
 
@@ -39,6 +40,8 @@ ROWS = 8
 BANDS = BINS // ROWS
 BLOCK = 1024
 MEMBERS = 64
+#: A sketch holds the smallest hashes of a set, 32 bits each: the whole of most sets.
+SKETCH = 1024
 #: Standard deviations below the threshold at which the agreement of two signatures rules a pair out.
 DEVIATIONS = 6.0
 _ORDER = np.argsort(common.mix(np.arange(1, BINS * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(BINS, BINS), axis=1)
@@ -86,23 +89,24 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def marked_rows(docs: DataFrame) -> DataFrame:
-    """Per row: row, doc_id, n_shingles, digest of the set, bands, signature (a byte a bin), text."""
+    """Per row: row, doc_id, n_shingles, digest of the set, bands, signature (a byte a bin), sketch (smallest hashes), text."""
     rows = common.slim(docs).withColumn("row", F.monotonically_increasing_id())
 
     def run(batches):
         for part in common.slices(batches):
-            sets, digests, bands, prints = shingle_sets(common.raw_texts(part)), [], [], []
+            sets, digests, bands, prints, sketches = shingle_sets(common.raw_texts(part)), [], [], [], []
             for s in sets:
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sig = signature(s) if len(s) else np.zeros(0, np.uint64)
                 bands.append(common.signed(band_keys(sig)) if len(s) else np.zeros(0, np.int64))
                 prints.append(common.mix(sig).astype(np.uint8).tobytes())
+                sketches.append((s[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes())
             yield pa.record_batch({
                 "row": part.column(2), "doc_id": part.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "digest": pa.array(digests, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())),
-                "print": pa.array(prints, pa.binary()), "text": part.column(1)})
+                "print": pa.array(prints, pa.binary()), "sketch": pa.array(sketches, pa.binary()), "text": part.column(1)})
 
-    return rows.mapInArrow(run, "row long, doc_id long, n_shingles long, digest binary, bands array<long>, print binary, text string")
+    return rows.mapInArrow(run, "row long, doc_id long, n_shingles long, digest binary, bands array<long>, print binary, sketch binary, text string")
 
 
 def similar(shared: int, a: int, b: int, percent: int) -> bool:
@@ -146,7 +150,22 @@ def _least_agreement(sizes: np.ndarray, percent: int) -> np.ndarray:
     return BINS * (share - DEVIATIONS * np.sqrt(share * (1 - share) / free))
 
 
+def _may_be_similar(one: np.ndarray, two: np.ndarray, sizes: tuple[int, int], percent: int) -> bool:
+    """Whether two sketches leave a link possible: exact where both hold their whole set, else but for ``DEVIATIONS`` standard deviations."""
+    if max(sizes) > SKETCH:
+        most = min(s[-1] for s, n in zip((one, two), sizes) if n > SKETCH)
+        one, two = one[one <= most], two[two <= most]
+    small, large = (one, two) if len(one) <= len(two) else (two, one)
+    at = np.searchsorted(large, small)
+    shared = int(np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small)) if len(large) else 0
+    if max(sizes) <= SKETCH:
+        return similar(shared, *sizes, percent)
+    union, share = len(small) + len(large) - shared, percent / 100
+    return shared >= (share - DEVIATIONS * (share * (1 - share) / max(union, 1)) ** 0.5) * union
+
+
 def _open_pairs(percent: int):
+    """Pairs inside the groups of a partition sorted by (key, pair); a group never spans two yields."""
     def run(parts):
         held = None
 
@@ -154,19 +173,27 @@ def _open_pairs(percent: int):
             group = np.flatnonzero(np.concatenate([[True], (rows["key"].to_numpy()[1:] != rows["key"].to_numpy()[:-1]) | (
                 rows["pair"].to_numpy()[1:] != rows["pair"].to_numpy()[:-1]), [True]]))
             prints = np.frombuffer(b"".join(rows["print"]), dtype=np.uint8).reshape(-1, BINS)
-            node, label, size, centre = (rows[c].to_numpy(np.int64) for c in ("node", "label", "n_shingles", "centre"))
+            sketch = [np.frombuffer(raw, dtype=np.uint32) for raw in rows["sketch"]]
+            node, label, size, centre, own, pair, band = (rows[c].to_numpy(np.int64) for c in ("node", "label", "n_shingles", "centre", "own", "pair", "band"))
             left, right = [], []
             for start, end in zip(group[:-1], group[1:]):
+                one_block = pair[start] >> 32 == pair[start] & 0xFFFFFFFF
                 for x in range(start, end - 1):
                     rest = slice(x + 1, end)
                     low, high = np.minimum(size[x], size[rest]), np.maximum(size[x], size[rest])
                     good = (label[rest] != label[x]) & (100 * low >= percent * high) & (node[rest] != centre[x]) & (node[x] != centre[x])
+                    if not one_block:
+                        good &= own[rest] != own[x]
                     y = np.flatnonzero(good)
-                    y = y[np.count_nonzero(prints[y + x + 1] == prints[x], axis=1) >= _least_agreement(low[y], percent)] + x + 1
-                    left.append(np.maximum(node[y], node[x]))
-                    right.append(np.minimum(node[y], node[x]))
-            empty = np.zeros(0, np.int64)
-            return pd.DataFrame({"a": np.concatenate([empty, *left]), "b": np.concatenate([empty, *right])}).drop_duplicates()
+                    equal = prints[y + x + 1] == prints[x]
+                    near = np.count_nonzero(equal, axis=1) >= _least_agreement(low[y], percent)
+                    # a pair is judged in the first band that it shares
+                    near &= ~equal.reshape(-1, BANDS, ROWS)[:, :band[x]].all(axis=2).any(axis=1)
+                    for k in (y[near] + x + 1).tolist():
+                        if _may_be_similar(sketch[x], sketch[k], (int(size[x]), int(size[k])), percent):
+                            left.append(max(node[x], node[k]))
+                            right.append(min(node[x], node[k]))
+            return pd.DataFrame({"a": np.array(left, dtype=np.int64), "b": np.array(right, dtype=np.int64)})
 
         for part in parts:
             rows = part if held is None else pd.concat([held, part], ignore_index=True)
@@ -181,17 +208,17 @@ def _open_pairs(percent: int):
 
 
 def open_pairs(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``a, b``: pairs of one bucket in different components that the star has not judged and the signatures do not rule out."""
+    """``a, b``: pairs of one bucket in different components that the star has not judged and the sketches do not rule out."""
     named = labels.select("node", F.col("component").alias("label"))
     rows = buckets.where("members > 2").join(named, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = common.durable(rows)
     several = rows.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two")).where("one <> two").select("key")
-    rows = rows.join(several, "key").join(nodes.select("node", "n_shingles", "print"), "node")
+    rows = rows.join(several, "key").join(nodes.select("node", "n_shingles", "print", "sketch"), "node")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = (rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))))
     pair = F.least("own", "other").cast("long") * (1 << 32) + F.greatest("own", "other")
-    rows = rows.select("key", pair.alias("pair"), "node", "label", "centre", "n_shingles", "print")
+    rows = rows.select("key", "band", pair.alias("pair"), "own", "node", "label", "centre", "n_shingles", "print", "sketch")
     return (rows.repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
             .mapInPandas(_open_pairs(percent), "a long, b long").distinct())
 
@@ -201,8 +228,8 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     marked = common.durable(marked_rows(docs))
     classes = common.durable(marked.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")))
     nodes = common.durable(classes.join(marked.withColumnRenamed("row", "node").drop("digest"), "node")
-                           .select("node", "n_shingles", "bands", "print"))
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
+                           .select("node", "n_shingles", "bands", "print", "sketch"))
+    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     hubs = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("centre")).where("members > 1")
     buckets = common.durable(keyed.join(hubs, "key"))
     texts = marked.select("row", "text")
