@@ -87,7 +87,7 @@ def test_links_that_no_star_holds(spark):
     prints = [minhash.common.mix(minhash.signature(np.unique(s))).astype(np.uint8).tobytes() for s in (sets[0], sets[1], twin, sets[2])]
     sketches = [(np.unique(s) >> np.uint64(32)).astype(np.uint32).tobytes() for s in (sets[0], sets[1], twin, sets[2])]
     nodes = spark.createDataFrame([(k, 600, bytearray(p), bytearray(s)) for k, (p, s) in enumerate(zip(prints, sketches))],
-                                  "node long, n_shingles long, print binary, sketch binary")
+                                  "row long, n_shingles long, print binary, sketch binary")
     # the first band that two prints share
     same = (np.frombuffer(prints[1], np.uint8) == np.frombuffer(prints[2], np.uint8)).reshape(minhash.BANDS, minhash.ROWS).all(axis=1)
     buckets = spark.createDataFrame([(5, k, int(same.argmax()), 4, 0) for k in range(4)], "key long, node long, band int, members long, centre long")

@@ -13,7 +13,8 @@ then by sketches of their smallest hashes (the whole set, for most documents), e
 Only pairs across components that the sketches take for similar leave their task, and are verified on the full sets as
 well.  So a link between two members that are both far from the centre of their bucket is not lost.
 
-Texts travel once for each verified edge: the members of a star are cut into blocks and each block gets its centre.
+Texts travel once for each verified edge: the members of a star are cut into blocks and each block gets its centre.  Texts and
+sketches that no edge needs are held back by a Bloom filter before they are shuffled.
 
 Defined cases: null and empty texts and texts of white space have an empty set and are linked with nothing, not even one
 another; fewer than five words are one shingle; repeated rows and equal doc_ids are linked like any other; a null doc_id
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import common
+from tidemark.llm import bloom, common
 from tidemark.llm.components import components
 
 SHINGLE = 5
@@ -136,6 +137,7 @@ def verified(edges: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
                         right.append(b)
             yield pa.record_batch({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
+    texts = bloom.only(texts, "row", wanted.select(F.col("row").alias("key")))
     return (wanted.join(texts, "row").select("b", "block", "a", "text").repartition("b", "block").sortWithinPartitions("b", "block", F.asc_nulls_first("a"))
             .mapInArrow(run, "a long, b long"))
 
@@ -207,13 +209,18 @@ def _open_pairs(percent: int):
     return run
 
 
-def open_pairs(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``a, b``: pairs of one bucket in different components that the star has not judged and the sketches do not rule out."""
+def open_pairs(buckets: DataFrame, labels: DataFrame, marked: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``a, b``: pairs of one bucket in different components that the star has not judged and the sketches do not rule out.
+
+    marked: row, n_shingles, print, sketch, of every node at least.
+    """
     named = labels.select("node", F.col("component").alias("label"))
     rows = buckets.where("members > 2").join(named, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = common.durable(rows)
     several = rows.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("two")).where("one <> two").select("key")
-    rows = rows.join(several, "key").join(nodes.select("node", "n_shingles", "print", "sketch"), "node")
+    rows = common.durable(rows.join(several, "key"))
+    held = bloom.only(marked.select(F.col("row").alias("node"), "n_shingles", "print", "sketch"), "node", rows.select(F.col("node").alias("key")))
+    rows = rows.join(held, "node")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = (rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))))
@@ -226,17 +233,17 @@ def open_pairs(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, percent:
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     marked = common.durable(marked_rows(docs))
-    classes = common.durable(marked.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")))
-    nodes = common.durable(classes.join(marked.withColumnRenamed("row", "node").drop("digest"), "node")
-                           .select("node", "n_shingles", "bands", "print", "sketch"))
-    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    # bands come along with the smallest row of each set, so no join has to fetch them
+    classes = common.durable(marked.where("n_shingles > 0").groupBy("digest").agg(
+        F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min_by("bands", "row").alias("bands")))
+    keyed = classes.select("node", F.posexplode("bands").alias("band", "key"))
     hubs = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("centre")).where("members > 1")
     buckets = common.durable(keyed.join(hubs, "key"))
     texts = marked.select("row", "text")
     stars = buckets.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     links = common.durable(verified(stars, texts, percent))
     found = components(links)
-    rest = common.durable(open_pairs(buckets, found, nodes, percent))
+    rest = common.durable(open_pairs(buckets, found, marked, percent))
     if not rest.isEmpty():
         more = common.durable(verified(rest, texts, percent))
         if not more.isEmpty():

@@ -11,7 +11,7 @@
 
 A pass counts inside a slice of text first: words get numbers, and a phrase of k words is a pair of overlapping
 phrases of k - 1 words, so each length is one sort of integers.  What tasks know of the proposed phrases is a Bloom
-filter of at most ``MOST_BITS`` bits over 64-bit phrase keys, whatever the corpus: a false hit only counts one phrase more, as the
+filter of bounded size (``bloom.MOST_BITS``) over 64-bit phrase keys, whatever the corpus: a false hit only counts one phrase more, as the
 decision depends on the phrase alone.  Border phrases travel as keys and become words only where they fail; counts
 of candidates are summed by their words.
 
@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
+from tidemark.llm.bloom import Bloom, bloom_of
 
 LEAST = 100
 LONGEST = 5
@@ -39,10 +40,6 @@ TOP = 2_000
 SAMPLE_PERCENT = 20
 DEVIATIONS = 3.0
 SLICE_BYTES = 8_000_000
-#: Bits for each proposed phrase, and the most a filter has (8 MB).
-BITS_EACH = 16
-MOST_BITS = 1 << 26
-PROBES = 3
 BREAK = b"\n"
 _TABLE = bytearray(bytes(range(256)).lower())
 for _c in b".,;:!?\n\x0b\x0c\r":
@@ -51,46 +48,6 @@ _TABLE[9] = 32
 TABLE = bytes(_TABLE)
 
 
-class Bloom:
-    """Membership of 64-bit keys; ``cells`` are 64-bit words, a power of two of them."""
-
-    def __init__(self, cells: np.ndarray):
-        self.cells = cells
-
-    def places(self, keys: np.ndarray, cells: int):
-        for probe in range(PROBES):
-            mixed = common.mix(keys + np.uint64((probe + 1) * 0x9E3779B97F4A7C15 & common.MASK))
-            yield (mixed >> np.uint64(6)) & np.uint64(cells - 1), mixed & np.uint64(63)
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), dtype=bool)
-        for cell, bit in self.places(keys, len(self.cells)):
-            out &= self.cells[cell.astype(np.int64)] >> bit & np.uint64(1) == 1
-        return out
-
-
-def bloom_of(keys: DataFrame) -> Bloom:
-    """The filter of ``keys(key long)``: its words are or-ed together in Spark; the driver sees the filter alone."""
-    bits = 64
-    wanted = min(MOST_BITS, BITS_EACH * keys.count())
-    while bits < wanted:
-        bits *= 2
-    cells = bits // 64
-
-    def run(batches):
-        for batch in batches:
-            at, value = [], []
-            for cell, bit in Bloom(np.zeros(1, np.uint64)).places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), cells):
-                at.append(cell.astype(np.int64))
-                value.append(common.signed(np.uint64(1) << bit))
-            yield pa.record_batch({"cell": pa.array(np.concatenate(at)), "bits": pa.array(np.concatenate(value))})
-
-    table = keys.select("key").mapInArrow(run, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(cells, dtype=np.uint64)
-    out[table.column("cell").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
-    return Bloom(out)
-
-
 def words_of(raws: list[bytes]) -> list[bytes]:
     """All words of some texts in order, with ``BREAK`` where a piece ends."""
     return [w for w in BREAK.join(raws).translate(TABLE).replace(BREAK, b" \n ").split(b" ") if w]
@@ -167,7 +124,7 @@ def _count(lang: str, raws: list[bytes], out: _Counts, proposed: Bloom | None, f
 def counted(docs: DataFrame, proposed: Bloom | None = None, failed: Bloom | None = None) -> DataFrame:
     """``key, lang, phrase, n`` summed over all slices; docs: lang, text."""
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast((proposed, failed))  # at most two filters of MOST_BITS
+    shared = context.broadcast((proposed, failed))  # at most two filters of bloom.MOST_BITS
 
     def run(batches):
         wanted, missed = shared.value
