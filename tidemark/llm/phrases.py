@@ -39,7 +39,7 @@ TOP = 2_000
 #: Share of the documents in the sample, in per cent, and the standard deviations by which its threshold is lowered.
 SAMPLE_PERCENT = 20
 DEVIATIONS = 3.0
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 BREAK = b"\n"
 _TABLE = bytearray(bytes(range(256)).lower())
 for _c in b".,;:!?\n\x0b\x0c\r":
@@ -48,9 +48,13 @@ _TABLE[9] = 32
 TABLE = bytes(_TABLE)
 
 
-def words_of(raws: list[bytes]) -> list[bytes]:
-    """All words of some texts in order, with ``BREAK`` where a piece ends."""
-    return [w for w in BREAK.join(raws).translate(TABLE).replace(BREAK, b" \n ").split(b" ") if w]
+def words_of(raws: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """Numbers of all words of some texts in order, 0 where a piece ends, and the words by number."""
+    numbers = defaultdict(count().__next__)
+    _, nothing = numbers[BREAK], numbers[b""]
+    split = BREAK.join(raws).translate(TABLE).replace(BREAK, b" \n ").split(b" ")
+    ids = np.fromiter(map(numbers.__getitem__, split), np.int64, len(split))
+    return ids[ids != nothing], list(numbers)
 
 
 class _Counts:
@@ -77,12 +81,9 @@ def _count(lang: str, raws: list[bytes], out: _Counts, proposed: Bloom | None, f
     Without filters every phrase (the sample); with ``proposed`` alone the proposed phrases and their border; with ``failed``
     as well what the expansion needs.
     """
-    words = words_of(raws)
-    numbers = defaultdict(count().__next__)
-    numbers[BREAK]
-    ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+    ids, names = words_of(raws)
     seed = xxhash.xxh64_intdigest(lang.encode())
-    word_hash = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in numbers), np.uint64, len(numbers))
+    word_hash = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in names), np.uint64, len(names))
     total = int(np.count_nonzero(ids))
     if failed is None:
         out.add(np.zeros(1, np.uint64), np.array([total]), lang, [b""])
@@ -103,7 +104,7 @@ def _count(lang: str, raws: list[bytes], out: _Counts, proposed: Bloom | None, f
         parts_fresh = np.zeros(len(first), bool) if size == 1 else fresh[code[first]] | fresh[code[first + 1]]
         key = common.mix((key[code[first]] if size > 1 else np.uint64(0)) * np.uint64(0x9FB21C651E98DF25) + last_word + np.uint64(size))
         known = proposed.has(key) if proposed else np.ones(len(key), bool)
-        phrases = lambda chosen: [b" ".join(words[i:i + size]) for i in first[chosen].tolist()]
+        phrases = lambda chosen: [b" ".join([names[i] for i in row]) for row in ids[first[chosen][:, None] + np.arange(size)].tolist()]
         if proposed is None:
             out.add(key, n)
             grows = known
