@@ -190,16 +190,17 @@ def test_trees_cover_their_points():
         return list(range(tree.first[node], tree.last[node])) if tree.leaf[node] else [
             i for child in range(tree.first[node], tree.last[node]) for i in below(child)]
 
+    angle = np.arctan2(tree.sine, tree.cosine)
     for node in range(len(tree.leaf)):
         inside = below(node)
         apart = np.arccos(np.clip(unit[inside] @ unit[tree.centre[node]], -1, 1))
-        assert (apart <= tree.angle[node] + 1e-7).all() and tree.centre[node] in inside
+        assert (apart <= angle[node] + 1e-7).all() and tree.centre[node] in inside
         if not tree.leaf[node]:
             children = range(tree.first[node], tree.last[node])
-            assert all(tree.angle[c] <= tree.angle[node] / hard_negatives.SHRINK + 1e-6 for c in children)
+            assert all(angle[c] <= angle[node] / hard_negatives.SHRINK + 1e-6 for c in children)
     seen = []
     q = points[3]
-    search = hard_negatives.Search(tree, q, lambda at: seen.extend(at) or np.ones(len(at), bool), np.array([0]), np.array([2 ** 40]), 3)
+    search = hard_negatives.Search(tree, q, tree.points[tree.centre] @ q, lambda at: seen.extend(at) or np.ones(len(at), bool), np.array([0]), np.array([2 ** 40]), 3)
     best = search.run()[0][1].tolist()
     assert best == sorted((points @ q).astype(int).tolist(), reverse=True)[:3] and len(seen) < 500
 

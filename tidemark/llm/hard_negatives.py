@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import io
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,8 @@ SHARD_BYTES = 2_000_000
 LEAF = 16
 SHRINK = 1.4
 BATCH = 64
+#: Anchors whose products with a tree's centres are computed at once.
+TOGETHER = 128
 NO_ID = np.iinfo(np.int64).max
 _LONG = np.iinfo(np.int64)
 
@@ -74,13 +77,14 @@ def _matrix(vectors, width: int) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """Points in leaf order and nodes: centre (a point), angle, range of points (leaves) or of child nodes."""
+    """Points in leaf order and nodes: centre (a point), cosine and sine of their angle, range of points (leaves) or of child nodes."""
     points: np.ndarray
     ids: np.ndarray
     rows: np.ndarray
     labels: np.ndarray
     centre: np.ndarray
-    angle: np.ndarray
+    cosine: np.ndarray
+    sine: np.ndarray
     leaf: np.ndarray
     first: np.ndarray
     last: np.ndarray
@@ -135,7 +139,8 @@ def build(points: np.ndarray, ids: np.ndarray, rows: np.ndarray, labels: np.ndar
     place = np.empty(len(points), dtype=np.int64)
     place[order] = np.arange(len(points))
     centre, angle, leaf, first, last = (np.array(c) for c in zip(*nodes))
-    return Tree(points[order], ids[order], rows[order], labels[order], place[centre], angle + 1e-7, leaf, first, last, top)
+    angle = np.minimum(angle + 1e-7, np.pi)
+    return Tree(points[order], ids[order], rows[order], labels[order], place[centre], np.cos(angle), np.sin(angle), leaf, first, last, top)
 
 
 def _span(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -151,27 +156,32 @@ def _whole(points: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """The best rows of one tree for one anchor, for several score windows at once."""
+    """The best rows of one tree for one anchor, for several score windows at once.
 
-    def __init__(self, tree: Tree, q: np.ndarray, take, low: np.ndarray, high: np.ndarray, most: int):
-        self.tree, self.q, self.take, self.most = tree, q, take, most
+    ``dots``: inner products of the anchor with the centres of all nodes.
+    """
+
+    def __init__(self, tree: Tree, q: np.ndarray, dots: np.ndarray, take, low: np.ndarray, high: np.ndarray, most: int):
+        self.tree, self.q, self.dots, self.take, self.most = tree, q, dots, take, most
         self.low, self.high, self.floor = low, high, low.astype(float)
+        self.scale = float(np.sqrt(q @ q)) * tree.top
         self.best: list[list[np.ndarray]] = [[np.zeros(0, np.int64), np.zeros(0, np.int64)] for _ in low]
 
     def bounds(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        t, scale = self.tree, float(np.sqrt(self.q @ self.q)) * self.tree.top
-        slack = 1e-9 * scale + 1e-6
+        """Least and largest inner product below each node: the cosine of the angle to its centre, less and plus its own."""
+        scale, slack = self.scale, 1e-9 * self.scale + 1e-6
         if not scale:
             return np.full(len(nodes), -slack), np.full(len(nodes), slack)
-        angle = np.arccos(np.clip(t.points[t.centre[nodes]] @ self.q / scale, -1.0, 1.0))
-        return (scale * np.cos(np.minimum(angle + t.angle[nodes], np.pi)) - slack,
-                scale * np.cos(np.maximum(angle - t.angle[nodes], 0.0)) + slack)
+        near, cosine, sine = np.clip(self.dots[nodes] / scale, -1.0, 1.0), self.tree.cosine[nodes], self.tree.sine[nodes]
+        along, across = near * cosine, np.sqrt(1.0 - near * near) * sine
+        return (scale * np.where(near <= -cosine, -1.0, along - across) - slack,
+                scale * np.where(near >= cosine, 1.0, along + across) + slack)
 
     def verify(self, at: np.ndarray, score: np.ndarray) -> None:
         good = self.take(at)
         at, score = at[good], score[good]
         for w, (low, high) in enumerate(zip(self.low.tolist(), self.high.tolist())):
-            inside = (score >= low) & (score <= high)
+            inside = (score >= max(low, self.floor[w])) & (score <= high)
             if not inside.any():
                 continue
             i, s = np.concatenate([self.best[w][0], at[inside]]), np.concatenate([self.best[w][1], score[inside]])
@@ -181,20 +191,19 @@ class Search:
                 self.floor[w] = max(low, s[order[-1]])
 
     def run(self) -> list[list[np.ndarray]]:
-        t = self.tree
-        if not len(t.points):
-            return self.best
-        if t.points.shape[1] * np.abs(t.points).max(initial=0) * np.abs(self.q).max(initial=0) >= 2 ** 53:
-            self.verify(np.arange(len(t.points)), _whole(t.points, self.q))
-            return self.best
-        nodes = np.zeros(1, np.int64)
+        t, nodes = self.tree, np.zeros(1, np.int64)
         lower, upper = self.bounds(nodes)
         while len(nodes):
-            needed = ((lower[:, None] <= self.high) & (np.minimum(upper[:, None], self.high) >= self.floor)).any(axis=1)
+            needed = np.zeros(len(nodes), dtype=bool)
+            for low, high in zip(self.floor.tolist(), self.high.tolist()):
+                if low <= high:
+                    needed |= (lower <= high) & (upper >= low)
             nodes, lower, upper = nodes[needed], lower[needed], upper[needed]
-            order = np.argsort(-upper, kind="stable")
-            now, later = order[:BATCH], order[BATCH:]
-            chosen = nodes[now]
+            if not len(nodes):
+                break
+            later = np.ones(len(nodes), dtype=bool)
+            later[np.argpartition(-upper, BATCH)[:BATCH] if len(nodes) > BATCH else slice(None)] = False
+            chosen = nodes[~later]
             leaves, inner = chosen[t.leaf[chosen]], chosen[~t.leaf[chosen]]
             if len(leaves):
                 at = _span(t.first[leaves], t.last[leaves])
@@ -205,6 +214,24 @@ class Search:
             lower, upper = np.concatenate([lower[later], below]), np.concatenate([upper[later], above])
         return self.best
 
+    def all(self) -> list[list[np.ndarray]]:
+        """Every point, with whole numbers of any size: for components so large that doubles would not do."""
+        self.floor = np.full(len(self.low), -np.inf)
+        self.verify(np.arange(len(self.tree.points)), _whole(self.tree.points, self.q))
+        return self.best
+
+
+def search(tree: Tree, asks: list[dict], same: bool, most: int) -> list[list[list[np.ndarray]]]:
+    """The best rows for some anchors; their products with all centres are one matrix product."""
+    q = _matrix([ask["q"] for ask in asks], tree.points.shape[1])
+    size = np.abs(tree.points).max(initial=0)
+    dots, out = q @ tree.points[tree.centre].T, []
+    for k, ask in enumerate(asks):
+        take = lambda at, a=ask: ((tree.labels[at] == a["label"]) == same) & (tree.rows[at] != a["anchor"])
+        one = Search(tree, q[k], dots[k], take, np.array(ask["low"], np.int64), np.array(ask["high"], np.int64), most)
+        out.append(one.all() if q.shape[1] * size * np.abs(q[k]).max(initial=0) >= 2 ** 53 else one.run())
+    return out
+
 
 # ------------------------------------------------------------------ Spark
 
@@ -263,22 +290,23 @@ def _passed(trees: DataFrame, shards: int, anchors: DataFrame, same: bool, most:
     def run(batches):
         tree, shard = None, None
         for batch in batches:
-            out = [np.zeros(0, np.int64) for _ in range(5)]
-            for one in batch.to_pylist():
-                if one["tree"] is not None:
-                    tree, shard = Tree.load(one["tree"]), one["shard"]
-                    continue
-                if shard != one["shard"]:
-                    continue
-                q, label, anchor = np.zeros(tree.points.shape[1]), one["label"], one["anchor"]
-                q[:len(one["q"])] = one["q"]
-                take = lambda at: ((tree.labels[at] == label) == same) & (tree.rows[at] != anchor)
-                best = Search(tree, q, take, np.array(one["low"], np.int64), np.array(one["high"], np.int64), most).run()
-                for place, (at, score) in enumerate(best):
-                    for k, column in enumerate((np.full(len(at), anchor), np.full(len(at), place), tree.rows[at], tree.ids[at], score)):
-                        out[k] = np.concatenate([out[k], column])
-            ids = pa.array(out[3], mask=out[3] == NO_ID)
-            yield pa.record_batch([pa.array(out[0]), pa.array(out[1].astype(np.int32)), pa.array(out[2]), ids, pa.array(out[4])],
+            out = [[np.zeros(0, np.int64)] for _ in range(5)]
+            for key, group in groupby(batch.to_pylist(), key=lambda one: one["shard"]):
+                asks = []
+                for one in group:
+                    if one["tree"] is not None:
+                        tree, shard = Tree.load(one["tree"]), key
+                    elif shard == key:
+                        asks.append(one)
+                for at in range(0, len(asks), TOGETHER):
+                    some = asks[at:at + TOGETHER]
+                    for ask, best in zip(some, search(tree, some, same, most)):
+                        for place, (point, score) in enumerate(best):
+                            columns = (np.full(len(point), ask["anchor"]), np.full(len(point), place), tree.rows[point], tree.ids[point], score)
+                            for k, column in enumerate(columns):
+                                out[k].append(column)
+            anchor, place, row, ids, score = (np.concatenate(c) for c in out)
+            yield pa.record_batch([pa.array(anchor), pa.array(place.astype(np.int32)), pa.array(row), pa.array(ids, mask=ids == NO_ID), pa.array(score)],
                                   names=["anchor", "place", "row", "vec_id", "score"])
 
     found = rows.repartition("shard").sortWithinPartitions("shard", F.asc_nulls_first("anchor")).mapInArrow(run, _FOUND)
