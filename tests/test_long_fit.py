@@ -91,6 +91,45 @@ def test_fits_stay_stationary_and_invertible():
             row = kernels.fit_order(y, p, 0, q, 10)
             if row["success"]:  # a moving average of a doubly summed series may not settle, and then says so
                 beta = np.array(row["phi"] + row["theta"])
-                np.testing.assert_allclose(kernels.inside(beta, p), beta, atol=1e-9)
+                r = np.concatenate([kernels.partials(beta[:p], 1.0), kernels.partials(-beta[p:], 1.0)])
+                assert (np.abs(r) <= kernels.LIMIT + 1e-9).all()
             else:
                 assert p == 0 and row["error"] == kernels.NO_CONVERGENCE
+
+
+def test_coordinates():
+    rng = np.random.default_rng(4)
+    for k in range(1, 6):
+        r = rng.uniform(-0.95, 0.95, k)
+        c, slope = kernels.coefficients(r)
+        np.testing.assert_allclose(kernels.partials(c), r, atol=1e-10)
+        assert (np.abs(np.roots(np.concatenate([[1.0], -c]))) < 1).all()
+        for j in range(k):
+            step = np.eye(k)[j] * 1e-6
+            np.testing.assert_allclose((kernels.coefficients(r + step)[0] - kernels.coefficients(r - step)[0]) / 2e-6, slope[:, j], atol=1e-7)
+
+
+def test_estimates_at_the_edge_are_found():
+    """Differenced noise: the moving-average root lies on the unit circle, and the fit ends on the side of the box, as a success."""
+    rng, found = np.random.default_rng(8), 0
+    for _ in range(60):
+        row = kernels.fit_order(rng.normal(size=80), 1, 1, 1, 10)
+        assert row["success"], row["error"]
+        found += row["theta"][0] < -0.999
+    assert found
+
+
+@pytest.mark.parametrize("phi, theta, cuts", [((0.5,), (0.4,), (7, 20)), ((0.3, -0.4), (0.5, 0.2), (5, 6, 30)), ((), (0.6, -0.3, 0.1), (2, 3, 50)), ((0.7,), (), (11,))])
+def test_summaries_of_chunks_merge_to_that_of_the_series(phi, theta, cuts):
+    from tidemark.operators import long_fit
+    rng, p, q = np.random.default_rng(9), len(phi), len(theta)
+    w, phi, theta = rng.normal(size=90), np.array(phi), np.array(theta)
+    total = None
+    for a, b in zip((0, *cuts), (*cuts, 90)):
+        back = min(a, 4)
+        part = long_fit.measure(w[a - back:b], back, a, phi, theta)
+        total = part if total is None else long_fit.merge(total, part, p, q)
+    e = kernels.residuals(w, phi, theta)
+    x = np.column_stack([e, kernels._jacobian(w, e, phi, theta)])
+    np.testing.assert_allclose(total[0][:1 + p + q, :1 + p + q], x.T @ x, rtol=1e-9, atol=1e-9)
+    np.testing.assert_allclose(total[1][:, 0], e[::-1][:q], atol=1e-9)

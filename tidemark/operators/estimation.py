@@ -89,7 +89,8 @@ def fit_orders(df: DataFrame, orders, by=BY, min_obs=GROUP_MIN, bounded: bool =
     long_groups = s.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*by)
     short = grouped(sized.filter(F.col("_n") <= limit), specs.join(long_groups, [*by], "left_anti"))
     rows, asked = sized.filter(F.col("_n") > limit).drop("_n"), specs.join(long_groups, [*by], "left_semi")
-    moving = fit_long(rows, asked.filter("q > 0"), by, min_obs)
+    listed = None if isinstance(orders, DataFrame) else [o for o in orders if o[2] > 0]  # a list needs no job to find its bounds
+    moving = fit_long(rows, asked.filter("q > 0") if listed is None else listed, by, min_obs)
     return short.unionByName(_closed_form(rows, asked.filter("q = 0"), by, min_obs)).unionByName(moving)
 
 

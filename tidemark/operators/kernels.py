@@ -12,11 +12,12 @@ import numpy as np
 
 from tidemark.functions.criteria import LOG_2PI
 
-#: Largest root, in modulus, of the autoregressive and of the moving-average polynomial of a fit.
+#: Largest partial autocorrelation, in modulus, of the autoregressive and of the moving-average part of a fit.
 LIMIT = 0.9999
 BLOCK = 64
-MAX_STEPS = 200
-TOLERANCE = 1e-8
+MAX_STEPS = 100
+TOLERANCE = 1e-14
+ACCEPTABLE = 1e-6
 MOST_DAMPING = 1e6
 
 
@@ -92,23 +93,44 @@ def _jacobian(w, e, phi, theta):
     return ma_filter(u, theta)
 
 
-def _shrunk(coef: np.ndarray) -> np.ndarray:
-    """Coefficients of 1 - c_1 z - ... - c_k z^k with all roots pulled to at most ``LIMIT``."""
-    if len(coef) == 0:
-        return coef
-    if len(coef) == 1:
-        radius = abs(float(coef[0]))
-    else:
-        companion = np.eye(len(coef), k=-1)
-        companion[0] = coef
-        radius = float(np.abs(np.linalg.eigvals(companion)).max())
-    return coef if radius <= LIMIT else coef * (LIMIT / radius) ** np.arange(1, len(coef) + 1)
+def coefficients(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients of 1 - c_1 z - ... with partial autocorrelations ``r``, and their derivatives.
+
+    Every point of the open cube has all roots outside the unit circle, so a bound on each ``r`` alone keeps a fit
+    stationary or invertible.
+    """
+    k = len(r)
+    c, slope = np.zeros(k), np.zeros((k, k))
+    for m in range(k):
+        head, above = c[:m].copy(), slope[:m].copy()
+        c[:m] = head - r[m] * head[::-1]
+        slope[:m] = above - r[m] * above[::-1]
+        slope[:m, m] = -head[::-1]
+        c[m], slope[m, m] = r[m], 1.0
+    return c, slope
+
 
+def partials(c: np.ndarray, limit: float = 0.99) -> np.ndarray:
+    """Partial autocorrelations of coefficients, the inverse of ``coefficients``; each is cut to ``limit``."""
+    c = np.where(np.isfinite(c), c, 0.0)
+    r = np.zeros(len(c))
+    for m in range(len(c) - 1, -1, -1):
+        r[m] = min(max(float(c[m]), -limit), limit)
+        c = (c[:m] + r[m] * c[:m][::-1]) / (1.0 - r[m] * r[m])
+    return r
 
-def inside(beta: np.ndarray, p: int) -> np.ndarray:
-    """The nearest stationary and invertible parameters along the common shrinking of all roots."""
-    beta = np.where(np.isfinite(beta), beta, 0.0)
-    return np.concatenate([_shrunk(beta[:p]), -_shrunk(-beta[p:])])
+
+def coordinates(beta: np.ndarray, p: int) -> np.ndarray:
+    """A start for the fit from estimates ``phi, theta`` that need not be stationary or invertible."""
+    return np.concatenate([partials(beta[:p]), partials(-beta[p:])])
+
+
+def parameters(r: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """``phi, theta`` in one array, and their derivatives by the coordinates."""
+    (phi, by_phi), (theta, by_theta) = coefficients(r[:p]), coefficients(r[p:])
+    slope = np.zeros((len(r), len(r)))
+    slope[:p, :p], slope[p:, p:] = by_phi, -by_theta
+    return np.concatenate([phi, -theta]), slope
 
 
 def _start(w: np.ndarray, p: int, q: int) -> np.ndarray:
@@ -126,38 +148,115 @@ def _start(w: np.ndarray, p: int, q: int) -> np.ndarray:
     return np.linalg.lstsq(x[skip:], w[skip:], rcond=None)[0]
 
 
-def advance(trial, best, rss, gram, damp, base, new, p):
-    """Judge one trial and propose the next: damped Gauss-Newton, the same for every layout.
+def boxed_step(best: np.ndarray, normal: np.ndarray, slope: np.ndarray, damp: float) -> np.ndarray:
+    """The damped Gauss-Newton step over the box of ``LIMIT``: coordinates that meet a side stay on it."""
+    system = normal + damp * np.diag(np.maximum(np.diag(normal), 1e-12))
+    fixed = ((best >= LIMIT) & (slope < 0)) | ((best <= -LIMIT) & (slope > 0))
+    move = np.zeros(len(best))
+    for _ in range(len(best)):
+        free = np.flatnonzero(~fixed)
+        if not len(free):
+            break
+        held = np.flatnonzero(fixed)
+        wished = np.linalg.lstsq(system[np.ix_(free, free)], -slope[free] - system[np.ix_(free, held)] @ move[held], rcond=None)[0]
+        move[free] = np.clip(wished, -LIMIT - best[free], LIMIT - best[free])
+        out = free[move[free] != wished]
+        if not len(out):
+            break
+        fixed[out] = True
+    return move
+
+
+def gain(move, normal, slope) -> float:
+    """Fall of the sum of squares that the quadratic model promises."""
+    return float(-(2.0 * slope @ move + move @ normal @ move))
+
+
+def free_gain(best: np.ndarray, normal: np.ndarray, slope: np.ndarray) -> float:
+    """What the undamped step promises over the coordinates that no side of the box holds back: 0 at a minimum over the box."""
+    free = ~(((best >= LIMIT) & (slope < 0)) | ((best <= -LIMIT) & (slope > 0)))
+    g = slope[free]
+    return float(g @ np.linalg.lstsq(normal[np.ix_(free, free)], g, rcond=None)[0]) if len(g) else 0.0
+
+
+def local_model(best: np.ndarray, gram: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """Normal matrix and slope in the coordinates, from sums of products of (derivatives, residuals)."""
+    k = len(best)
+    turn = parameters(best, p)[1]
+    return turn.T @ gram[:k, :k] @ turn, turn.T @ gram[:k, k]
+
 
-    ``new``: sums of products of (derivatives, residuals) at ``trial``; ``base``: sum of squares with no parameters.
-    Returns ``(trial, best, rss, gram, damp, done, taken)``; ``done`` means converged.
+def _bent(bend: np.ndarray, move: np.ndarray, turn: np.ndarray, normal: np.ndarray) -> np.ndarray:
+    """Secant update of the part of the curvature that the normal matrix lacks, from the change ``turn`` of the slope over ``move``."""
+    scale = float(turn @ move)
+    if scale <= 1e-12 * float(np.linalg.norm(turn) * np.linalg.norm(move)):
+        return bend
+    lack = turn - normal @ move
+    held = float(move @ bend @ move)
+    bend = bend * (min(1.0, abs(float(move @ lack) / held)) if held else 1.0)
+    rest = lack - bend @ move
+    return bend + (np.outer(rest, turn) + np.outer(turn, rest)) / scale - float(rest @ move) / scale ** 2 * np.outer(turn, turn)
+
+
+def curvature(normal: np.ndarray, bend: np.ndarray) -> np.ndarray:
+    """The normal matrix with its bend, where that is still a minimum's; else without."""
+    whole = normal + bend
+    return whole if np.linalg.eigvalsh(whole)[0] > 1e-8 * np.trace(normal) / len(normal) else normal
+
+
+def _model(best, gram, bend, p):
+    normal, slope = local_model(best, gram, p)
+    return (curvature(normal, bend[1:].reshape(normal.shape)) if bend[0] else normal), slope
+
+
+def proposal(best, gram, bend, damp: float, p: int) -> np.ndarray:
+    """The next point to try, for one damping."""
+    return np.clip(best + boxed_step(best, *_model(best, gram, bend, p), damp), -LIMIT, LIMIT)
+
+
+def settled(best, gram, bend, rss, p, tolerance: float = TOLERANCE) -> bool:
+    return free_gain(best, *_model(best, gram, bend, p)) < tolerance * rss
+
+
+def close_enough(best, gram, bend, rss, p) -> bool:
+    """Whether a fit that ran out of steps (a flat valley of too many parameters) has at most ``ACCEPTABLE`` of its sum of squares to gain."""
+    return best is not None and settled(best, gram, bend, rss, p, ACCEPTABLE)
+
+
+def no_bend(k: int) -> np.ndarray:
+    return np.zeros(1 + k * k)
+
+
+def advance(trial, best, rss, gram, damp, bend, base, new, p):
+    """Judge one trial and propose the next: damped Gauss-Newton over a box of partial autocorrelations, the same for every layout.
+
+    ``trial`` and ``best`` are coordinates; ``new``: sums of products of (derivatives by phi and theta, residuals) at ``trial``;
+    ``base``: sum of squares with no parameters; ``bend``: what secants have shown of the curvature beyond the normal matrix, after a
+    mark whether the last step went as that foretold rather than as the normal matrix alone did.
+    Returns ``(trial, best, rss, gram, damp, bend, done, taken)``; ``done`` means converged: the step without damping, over the
+    coordinates that no side of the box holds back, promises nothing any more.  So estimates at the edge end like any other.
     """
     k = len(trial)
     r = float(new[k, k])
-    r = r if math.isfinite(r) else math.inf
+    r = r if math.isfinite(r) and np.isfinite(new).all() else math.inf
     if best is None and r > base and np.any(trial):  # no better than the mean alone: start from zero
-        return np.zeros(k), None, rss, None, damp, False, False
-    done, taken = False, best is None or r < rss
+        return np.zeros(k), None, rss, None, damp, bend, False, False
+    taken = best is None or r < rss
     if taken:
         if best is not None:
-            done = (rss - r) / max(rss, 1e-300) < TOLERANCE
-            damp = max(damp / 16.0, 1e-10)
+            damp, move = max(damp / 16.0, 1e-10), trial - best
+            (old, before), (normal, slope) = local_model(best, gram, p), local_model(trial, new, p)
+            held = bend[1:].reshape(k, k)
+            miss = [abs(rss - r - gain(move, m, before)) for m in (old, old + held)]
+            bend = np.append(float(miss[1] <= miss[0]), _bent(held, move, slope - before, normal))
         best, rss, gram = trial, r, new
     else:
         damp = max(damp * 8.0, 1e-6)
-    normal, slope = gram[:k, :k], gram[:k, k]
-    if not np.isfinite(normal).all():
-        return best * 0.5, best, rss, gram, damp, done or damp > MOST_DAMPING, taken
-    while True:
-        system = normal + damp * np.diag(np.maximum(np.diag(normal), 1e-12))
-        wished = best + np.linalg.lstsq(system, -slope, rcond=None)[0]
-        trial = inside(wished, p)
-        move = trial - best
-        promised = -(2.0 * slope @ move + move @ normal @ move)
-        if promised >= TOLERANCE * rss or damp > MOST_DAMPING or np.array_equal(trial, wished):
-            break
-        damp = max(damp * 8.0, 1e-6)  # the region cuts this step short; a smaller one may still gain
-    return trial, best, rss, gram, damp, done or damp > MOST_DAMPING or promised < TOLERANCE * rss, taken
+    curve, slope = _model(best, gram, bend, p)
+    while damp <= MOST_DAMPING and gain(boxed_step(best, curve, slope, damp), curve, slope) <= 0:
+        damp = max(damp * 8.0, 1e-6)  # the sides cut this step into a worse one
+    done = settled(best, gram, bend, rss, p) or damp > MOST_DAMPING
+    return proposal(best, gram, bend, damp, p), best, rss, gram, damp, bend, done, taken
 
 
 def _rss(w, beta, p):
@@ -177,17 +276,21 @@ def css_fit(w: np.ndarray, p: int, q: int):
         rss, e = _rss(w, beta, p)
         inverse = np.linalg.pinv(x.T @ x, hermitian=True)
         return beta, beta[:0], rss, e, np.sqrt(np.maximum(np.diag(inverse), 0) * rss / n), True
-    trial, best, rss, gram, damp, base, kept = inside(_start(w, p, q), p), None, math.inf, None, 1e-6, float(w @ w), w
+    trial, best, rss, gram, damp, bend, kept = coordinates(_start(w, p, q), p), None, math.inf, None, 1e-6, no_bend(k), w
+    base = float(w @ w)
     for _ in range(MAX_STEPS):
         with np.errstate(all="ignore"):
-            e = residuals(w, trial[:p], trial[p:])
-            x = np.column_stack([_jacobian(w, e, trial[:p], trial[p:]), e])
-            trial, best, rss, gram, damp, done, taken = advance(trial, best, rss, gram, damp, base, x.T @ x, p)
+            beta = parameters(trial, p)[0]
+            e = residuals(w, beta[:p], beta[p:])
+            x = np.column_stack([_jacobian(w, e, beta[:p], beta[p:]), e])
+            trial, best, rss, gram, damp, bend, done, taken = advance(trial, best, rss, gram, damp, bend, base, x.T @ x, p)
         kept = e if taken else kept
         if done:
             break
+    done = done or close_enough(best, gram, bend, rss, p)
     inverse = np.linalg.pinv(gram[:k, :k], hermitian=True)
-    return best[:p], best[p:], rss, kept, np.sqrt(np.maximum(np.diag(inverse), 0) * rss / n), done
+    beta = parameters(best, p)[0]
+    return beta[:p], beta[p:], rss, kept, np.sqrt(np.maximum(np.diag(inverse), 0) * rss / n), done
 
 
 NO_CONVERGENCE = f"no convergence in {MAX_STEPS} steps"
