@@ -39,7 +39,7 @@ TOP = 2_000
 #: Share of the documents in the sample, in per cent, and the standard deviations by which its threshold is lowered.
 SAMPLE_PERCENT = 20
 DEVIATIONS = 3.0
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_500_000
 BREAK = b"\n"
 _TABLE = bytearray(bytes(range(256)).lower())
 for _c in b".,;:!?\n\x0b\x0c\r":
