@@ -215,3 +215,62 @@ def test_equal_times_are_not_sorted_by_value(spark):
     values = [r[VALUE] for r in layout.with_index(s).orderBy(IDX).collect()]
     assert sorted(values) == [float(v) for v in range(200)]
     assert abs(np.corrcoef(values[1:], values[:-1])[0, 1]) < 0.3
+
+
+def test_spearman_ranks_over_partition_edges(spark):
+    """Runs of ties longer than a partition, missing values and NaN: ranks as pandas gives them."""
+    import numpy as np
+    import pandas as pd
+
+    from tidemark.operators import linalg
+    rng = np.random.default_rng(5)
+    table = pd.DataFrame({"a": np.concatenate([np.full(3000, 7.0), rng.integers(0, 40, 1500).astype(float), rng.normal(size=500)]),
+                          "b": np.concatenate([rng.integers(0, 3, 4000), np.arange(1000)]).astype(float)})
+    rows = [(None if k % 17 == 0 else float(x), float(y)) for k, (x, y) in enumerate(zip(table.a, table.b))]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(5)
+    numbered = layout.durable(df.withColumn("_row", F.monotonically_increasing_id()))
+    got = {r._row: r.rank_a for r in linalg.average_ranks(numbered, "a", "_row").collect()}
+    kept = [r for r in numbered.collect() if r.a is not None]
+    want = pd.Series([r.a for r in kept]).rank()
+    assert got == {r._row: w for r, w in zip(kept, want)}
+    corr = {(r.var_a, r.var_b): r["corr"] for r in linalg.correlation_matrix(df, ["a", "b"], "spearman").collect()}
+    full = pd.DataFrame(rows, columns=["a", "b"])
+    ra, rb = full.a.rank(), full.b.rank()
+    assert abs(corr["a", "b"] - ra.corr(rb)) < 1e-9
+
+
+@pytest.mark.parametrize("tile, slab", [(256, 64), (4, 2)])
+def test_tiled_product(spark, monkeypatch, tile, slab):
+    from tidemark.operators import linalg
+    monkeypatch.setattr(linalg, "TILE", tile)
+    monkeypatch.setattr(linalg, "SLAB", slab)
+    a = [(i, k, float(i * 3 - k)) for i in range(-3, 9) for k in range(0, 30, 2)] + [(100, 4, None), (101, 1, 5.0), (0, 2, 1.5), (102, 6, 0.0)]
+    b = [(k, j, float(k + j)) for k in range(0, 30, 3) for j in (-7, 0, 5)] + [(4, 0, 2.0), (1, 3, None)]
+    left, right = (spark.createDataFrame(x, "row long, col long, value double") for x in (a, b))
+    want = {}
+    for i, k, x in a:
+        for kk, j, y in b:
+            if k == kk:
+                want.setdefault((i, j), []).append(None if x is None or y is None else x * y)
+    got = {(r.row, r.col): r.value for r in linalg.matmul(left, right).collect()}
+    assert set(got) == set(want)
+    for at, parts in want.items():
+        known = [p for p in parts if p is not None]
+        assert got[at] == pytest.approx(sum(known)) if known else got[at] is None, at
+
+
+def test_prefix_scan_of_chunk_states(spark, monkeypatch):
+    """Start states through blocks of two maps, over three levels, equal the plain recursion."""
+    import numpy as np
+
+    from tidemark.operators import recursion
+    monkeypatch.setattr(recursion, "FAN", 2)
+    rng = np.random.default_rng(3)
+    maps = {k: (rng.normal(size=(2, 2)) / 2, rng.normal(size=2)) for k in range(13)}
+    rows = [("a", k, m.ravel().tolist(), s.tolist()) for k, (m, s) in maps.items()] + [("b", 0, [], [])]
+    found = recursion.scan_states(spark.createDataFrame(rows, "series_id string, chunk long, move array<double>, shift array<double>"), ("series_id",))
+    got, state = {(r.series_id, r.chunk): r.start for r in found.collect()}, np.zeros(2)
+    for k, (m, s) in maps.items():
+        np.testing.assert_allclose(got["a", k], state)
+        state = m @ state + s
+    assert got["b", 0] == [] and len(got) == 14

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import layout
 from tidemark.functions.guards import div
@@ -46,11 +49,69 @@ def matvec(matrix: DataFrame, vector: DataFrame) -> DataFrame:
             .agg(F.sum(F.col("value") * F.col("_v")).alias("value")))
 
 
+TILE = 256
+#: Tiles along the shared dimension that one task sums before its cells leave.
+SLAB = 64
+
+
+def _tiles(m: DataFrame, outer: str, inner: str, names: tuple[str, str]) -> DataFrame:
+    """Tiles of ``TILE`` by ``TILE``: their numbers, and three arrays of local positions and values."""
+    local = lambda c: F.pmod(F.col(c), F.lit(TILE)).cast("int")
+    tile = lambda c: F.expr(f"({c} - pmod({c}, {TILE}L)) div {TILE}")
+    cells = m.groupBy("row", "col").agg(F.sum(F.col("value").cast("double")).alias("value"))  # repeated coordinates add up
+    cells = cells.select(tile(outer).alias(names[0]), tile(inner).alias("_k"), F.struct(
+        local("row").alias("r"), local("col").alias("c"), F.col("value").alias("v")).alias("s"))
+    tiles = cells.groupBy(names[0], "_k").agg(F.collect_list("s").alias("s"))
+    side = names[1]
+    return tiles.select(names[0], "_k", *[F.col(f"s.{c}").alias(f"{side}{c}") for c in "rcv"])
+
+
+def _multiplied(size: int):
+    """Cells of the products of tile pairs, summed over runs of equal (_i, _j); rows come sorted by these."""
+    def run(batches):
+        key, held, found = None, None, None
+
+        def cells():
+            some = np.nonzero(found[0])
+            value = np.where(found[1][some] > 0, held[some], np.nan)
+            return pd.DataFrame({"row": key[0] * size + some[0], "col": key[1] * size + some[1], "value": value})
+
+        def dense(r, c, v):
+            out, seen, known = np.zeros((size, size)), np.zeros((size, size), np.float32), np.zeros((size, size), np.float32)
+            v = np.asarray(v, dtype=float)
+            out[r, c], seen[r, c], known[r, c] = np.nan_to_num(v, nan=0.0, posinf=np.inf, neginf=-np.inf), 1.0, ~np.isnan(v)
+            return out, seen, known
+
+        for batch in batches:
+            for t in batch.itertuples(index=False):
+                here = (int(t._0), int(t._1))
+                if here != key:
+                    if key is not None:
+                        yield cells()
+                    key, held, found = here, np.zeros((size, size)), [np.zeros((size, size), np.float32), np.zeros((size, size), np.float32)]
+                (a, sa, ka), (b, sb, kb) = dense(t.ar, t.ac, t.av), dense(t.br, t.bc, t.bv)
+                held += a @ b
+                found[0] += sa @ sb
+                found[1] += ka @ kb
+        if key is not None:
+            yield cells()
+
+    return run
+
+
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
-    left = a.select(F.col("row"), F.col("col").alias("_k"), F.col("value").alias("_a"))
-    right = b.select(F.col("row").alias("_k"), F.col("col"), F.col("value").alias("_b"))
-    return (left.join(right, "_k").groupBy("row", "col")
-            .agg(F.sum(F.col("_a") * F.col("_b")).alias("value")))
+    """Product of coordinate matrices; a cell is there where a row and a column share a position.
+
+    Tiles are joined, not cells: two tiles of a shared key make one dense product in a task, and ``SLAB`` of them are summed
+    before their cells leave it.  So the rows before the last sum are the cells of the result, once per ``TILE * SLAB`` shared positions.
+    """
+    left, right = _tiles(a, "row", "col", ("_i", "a")), _tiles(b, "col", "row", ("_j", "b"))
+    pairs = left.join(right, "_k").withColumn("_slab", F.expr(f"_k div {SLAB}"))
+    names = ["_i", "_j", "ar", "ac", "av", "br", "bc", "bv"]
+    placed = pairs.repartition("_i", "_j", "_slab").sortWithinPartitions("_i", "_j").select(names)
+    cells = placed.mapInPandas(_multiplied(TILE), "row long, col long, value double")
+    # a cell without any known product has no value, as a sum of nulls has none
+    return cells.groupBy("row", "col").agg(F.sum(F.nanvl("value", F.lit(None).cast("double"))).alias("value"))
 
 
 def lag_join(df: DataFrame, lag: int, by=BY) -> DataFrame:
@@ -104,16 +165,70 @@ def align_actual(actual: DataFrame, forecast: DataFrame, by=BY) -> DataFrame:
         forecast.select(*by, "step", F.col("forecast").alias("predicted")), [*by, "step"])
 
 
-def average_ranks(df: DataFrame, column: str) -> DataFrame:
-    """Distinct values of a column with their average rank (ties share it).
+def _local_runs(batches):
+    """Rows of one sorted partition with the first and last place of their run of equal values in it.
 
-    Equal values collapse before anything is ordered, so a hot value is one row here.
+    The last run of a batch waits for its end; of that, row numbers are held.
+    """
+    value, rows, first, at = None, [], 0, 0
+    differ = lambda a, b: (a != b) & ~((a != a) & (b != b))  # no value is equal to no value
+
+    def table(ids, start, end, values, last_run=False):
+        return pd.DataFrame({"_row": ids, "_from": start, "_to": end, "_value": values, "_opens": start == 0, "_closes": last_run})
+
+    def held(last_run):
+        ids = np.concatenate(rows)
+        return table(ids, np.full(len(ids), first), at - 1, np.full(len(ids), value), last_run)
+
+    for batch in batches:
+        values, ids = batch["_value"].to_numpy(), batch["_row"].to_numpy()
+        if not len(ids):
+            continue
+        edges = np.concatenate([[0], np.flatnonzero(differ(values[1:], values[:-1])) + 1, [len(ids)]])
+        done = []
+        if rows and not differ(values[0], value):  # the run goes on
+            rows.append(ids[:edges[1]])
+            at += edges[1]
+            ids, values, edges = ids[edges[1]:], values[edges[1]:], edges[1:] - edges[1]
+        if not len(ids):
+            continue
+        if rows:
+            done.append(held(False))
+        sizes = np.diff(edges)[:-1]
+        inner = int(edges[-2])
+        if inner:
+            done.append(table(ids[:inner], at + np.repeat(edges[:-2], sizes), at + np.repeat(edges[1:-1], sizes) - 1, values[:inner]))
+        value, rows, first, at = values[inner], [ids[inner:]], at + inner, at + len(ids)
+        if done:
+            yield pd.concat(done, ignore_index=True)
+    if rows:
+        yield held(True)
+
+
+def average_ranks(df: DataFrame, column: str, row: str) -> DataFrame:
+    """``row, rank_column``: the average rank of the row's value, ties sharing it; rows without a value have none.
+
+    One range sort by value and row, so that a frequent value may lie in many partitions.  A run of ties that
+    crosses partition edges is closed by a table with the first and the last run of each partition.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).count()
-    counts = counts.withColumn(SERIES, F.lit("all"))
-    s = layout.with_index(counts.withColumnRenamed("v", TIME))
-    s = layout.with_running_sum(s, "_upto", F.col("count").cast("double"))
-    return s.select(F.col(TIME).alias(column), (F.col("_upto") - (F.col("count") - 1) / 2).alias(f"rank_{column}"))
+    present = df.filter(F.col(column).isNotNull()).select(F.col(row).alias("_row"), F.col(column).alias("_value"))
+    schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_from", T.LongType()), T.StructField("_to", T.LongType()),
+                           T.StructField("_value", present.schema["_value"].dataType), T.StructField("_opens", T.BooleanType()),
+                           T.StructField("_closes", T.BooleanType())])
+    sorted_rows = present.repartitionByRange("_value", "_row").sortWithinPartitions("_value", "_row")
+    # written once: range bounds come from a sample, and the edge table and the rows have to see the same partitions
+    placed = layout.durable(sorted_rows.mapInPandas(_local_runs, schema).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy("_part").agg((F.max("_to") + 1).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    edges = (placed.filter("_opens OR _closes").groupBy("_part", "_value", "_from", "_to").agg(F.lit(1).alias("_one"))
+             .join(starts, "_part"))
+    whole = edges.groupBy("_value").agg(F.min(F.col("_before") + F.col("_from")).alias("_first"), F.max(F.col("_before") + F.col("_to")).alias("_last"))
+    closed = edges.join(whole, edges["_value"].eqNullSafe(whole["_value"])).select("_part", "_from", "_first", "_last")
+    out = placed.join(starts, "_part").join(closed, ["_part", "_from"], "left")
+    first = F.coalesce("_first", F.col("_before") + F.col("_from"))
+    last = F.coalesce("_last", F.col("_before") + F.col("_to"))
+    return out.select(F.col("_row").alias(row), ((first + last) / 2.0 + 1.0).alias(f"rank_{column}"))
 
 
 def correlation_matrix(df: DataFrame, columns, method: str = "pearson") -> DataFrame:
@@ -122,11 +237,10 @@ def correlation_matrix(df: DataFrame, columns, method: str = "pearson") -> DataF
         raise ValueError("method is pearson or spearman")
     data, names = df.select(*columns), list(columns)
     if method == "spearman":
-        # a frequent value is spread over salted copies of its one rank row
-        data = data.withColumn("_salt", F.expr(f"CAST(rand(7) * {SALT} AS INT)"))
-        copies = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt")
+        rows = layout.durable(data.withColumn("_row", F.monotonically_increasing_id()))
+        data = rows.select("_row")
         for c in columns:
-            data = data.join(average_ranks(df, c).select(c, f"rank_{c}", copies), [c, "_salt"], "left")
+            data = data.join(average_ranks(rows, c, "_row"), "_row", "left")
         names = [f"rank_{c}" for c in columns]
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     aggs = []

@@ -1,8 +1,10 @@
 """Residuals, fitted values and likelihood of given parameters.
 
 The moving-average recursion runs through the whole series.  Short series are filtered by one Arrow
-task each.  In a chunked layout every chunk is filtered alone from zero, the small end states are
-chained per series (the filter is linear), and a second pass starts each chunk from its true state.
+task each.  In a chunked layout every chunk is filtered alone from zero, which shows what it does to the state it
+starts from: an affine map, a small matrix and a vector.  Maps of neighbours compose, so a prefix scan gives every chunk its true
+start: blocks of ``FAN`` maps are composed level by level on the way up, and states are handed to the children on the way
+down.  No group holds more than ``FAN`` chunks or blocks of a series, up to FAN^3 chunks.  A second pass then filters each chunk from its true state.
 """
 
 from __future__ import annotations
@@ -46,31 +48,75 @@ def _params(prm: pd.DataFrame):
     return np.asarray(row["phi"], dtype=float), np.asarray(row["theta"], dtype=float)
 
 
-def _end_state(keys, lags):
+FAN = 256
+LEVELS = 2
+_MAP = [T.StructField("move", T.ArrayType(T.DoubleType())), T.StructField("shift", T.ArrayType(T.DoubleType()))]
+
+
+def _chunk_map(keys, lags):
+    """What a chunk does to the filter state (newest value first): ``state -> move @ state + shift``."""
+    names = [*keys, "move", "shift"]
+
     def piece(pdf: pd.DataFrame, prm: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty or prm.empty:
-            return pd.DataFrame(columns=[*keys, "state"])
+            return pd.DataFrame(columns=names)
         pdf = pdf.sort_values(IDX)
         phi, theta = _params(prm)
-        e = kernels.ma_filter(_inputs(pdf, phi, theta, lags), theta)
-        return pd.DataFrame([[prm.iloc[0][k] for k in keys] + [e[::-1][:len(theta)].tolist()]],
-                            columns=[*keys, "state"])
+        q = len(theta)
+        e = np.concatenate([np.zeros(q), kernels.ma_filter(_inputs(pdf, phi, theta, lags), theta)])
+        step = np.eye(q, k=-1)
+        step[:1] = -theta
+        move = np.linalg.matrix_power(step, len(pdf)) if q else step
+        return pd.DataFrame([[*[prm.iloc[0][k] for k in keys], move.ravel().tolist(), e[::-1][:q].tolist()]], columns=names)
     return piece
 
 
-def _chain(by, size):
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+def _maps(pdf: pd.DataFrame):
+    for move, shift in zip(pdf["move"], pdf["shift"]):
+        shift = np.asarray(shift, dtype=float)
+        yield np.asarray(move, dtype=float).reshape(len(shift), len(shift)), shift
+
+
+def _composed(by):
+    def run(pdf):
         pdf = pdf.sort_values(CHUNK)
-        theta = np.asarray(pdf.iloc[0]["theta"], dtype=float)
-        q = len(theta)
-        move = kernels.ma_filter(np.zeros((size, q)), theta, np.eye(q))[::-1][:q] if q else np.zeros((0, 0))
-        state, starts = np.zeros(q), []
-        for end in pdf["state"]:
+        move, shift = None, None
+        for m, s in _maps(pdf):
+            move, shift = (m, s) if move is None else (m @ move, m @ shift + s)
+        head = pdf.iloc[0]
+        return pd.DataFrame([[*[head[k] for k in by], head[CHUNK] // FAN, move.ravel().tolist(), shift.tolist()]], columns=[*by, CHUNK, "move", "shift"])
+    return run
+
+
+def _handed_down(by):
+    """Start states of neighbours from that of their block (``start``, null: zeros)."""
+    def run(pdf):
+        pdf = pdf.sort_values(CHUNK)
+        first = pdf["start"].iloc[0]
+        state, starts = None if first is None else np.asarray(first, dtype=float), []
+        for move, shift in _maps(pdf):
+            state = np.zeros(len(shift)) if state is None else state
             starts.append(state.tolist())
-            end = np.asarray(end, dtype=float)
-            state = move @ state + (end if len(end) == q else np.zeros(q))
+            state = move @ state + shift
         return pdf[[*by, CHUNK]].assign(start=starts)
-    return chain
+    return run
+
+
+def scan_states(maps: DataFrame, by) -> DataFrame:
+    """``by, chunk, start``: prefix scan over ``maps(by, chunk, move, shift)``; the first chunk of a series starts from zeros."""
+    fields = [maps.schema[k] for k in (*by, CHUNK)]
+    state = T.ArrayType(T.DoubleType())
+    block = F.expr(f"{CHUNK} div {FAN}")
+    levels = [maps]
+    for _ in range(LEVELS):
+        levels.append(levels[-1].groupBy(*by, block.alias("_block")).applyInPandas(_composed(by), T.StructType([*fields, *_MAP])))
+    schema = T.StructType([*fields, T.StructField("start", state)])
+    top = levels[-1].withColumn("start", F.lit(None).cast(state))
+    starts = top.groupBy(*by).applyInPandas(_handed_down(by), schema)
+    for lower in reversed(levels[:-1]):
+        held = lower.withColumn("_block", block).join(starts.withColumnRenamed(CHUNK, "_block"), [*by, "_block"])
+        starts = held.groupBy(*by, "_block").applyInPandas(_handed_down(by), schema)
+    return starts
 
 
 def _filtered(keys, lags):
@@ -89,13 +135,10 @@ def _filtered(keys, lags):
 def start_states(rows: DataFrame, params: DataFrame, lags: int, by) -> DataFrame:
     """Filter state each chunk has to start from: ``params`` per chunk plus ``start``."""
     keys = [*by, CHUNK]
-    fields = [rows.schema[k] for k in keys]
-    ends = (rows.groupBy(*keys).cogroup(layout.fresh(params).groupBy(*keys)).applyInPandas(
-        _end_state(keys, lags), T.StructType([*fields, T.StructField("state", T.ArrayType(T.DoubleType()))])))
-    chained = ends.join(params.select(*keys, "theta"), keys).groupBy(*by).applyInPandas(
-        _chain(by, layout.chunk_rows(rows)),
-        T.StructType([*fields, T.StructField("start", T.ArrayType(T.DoubleType()))]))
-    return params.join(chained, keys)
+    schema = T.StructType([*[rows.schema[k] for k in keys], *_MAP])
+    # written once: the scan reads the maps on its way up and on its way down
+    maps = layout.durable(rows.groupBy(*keys).cogroup(layout.fresh(params).groupBy(*keys)).applyInPandas(_chunk_map(keys, lags), schema))
+    return params.join(scan_states(maps, by), keys)
 
 
 def arma_residuals(df: DataFrame, fits: DataFrame, max_p: int = 5, by=BY, bounded: bool = False) -> DataFrame:

@@ -302,5 +302,5 @@ def fit_groups(t):
 @query("predict_groups")
 def predict_groups(t):
     p = forecasting.predict_groups(t.ev_user(), (1, 1, 1), STEPS)
-    return p.select(SERIES, "success", F.posexplode(F.arrays_zip("predictions", "lower_bound", "upper_bound")).alias("step", "z")) \
+    return p.select(SERIES, "success", F.posexplode_outer(F.arrays_zip("predictions", "lower_bound", "upper_bound")).alias("step", "z")) \
         .select(SERIES, "success", "step", "z.predictions", "z.lower_bound", "z.upper_bound")

@@ -282,10 +282,13 @@ def wf_forecast(results: Results, steps: int = 12, alpha: float = 0.05, by=BY) -
 def wf_results(results: Results, by=BY) -> DataFrame:
     """One text per series: final order, parameters, step summaries."""
     rates = diagnostics.pass_rates(results.diagnosis, by)
-    t = (results.final.join(results.state.select(*by, "n", "needs_log", F.col("d").alias("series_d")), [*by])
+    chosen = results.final.withColumns({"_p": F.col("p"), "_d": F.col("d"), "_q": F.col("q")}).drop("p", "d", "q")
+    # every fit row has a text, so that a series whose orders all failed is not lost
+    t = (results.fits.select(*by, "aic", "sigma2", "success", "error").join(chosen, [*by], "left")
+         .join(results.state.select(*by, "n", "needs_log", F.col("d").alias("series_d")), [*by], "left")
          .join(results.selected.select(*by, "confidence"), [*by], "left")
          .join(backtest_averages(results.backtest, by), [*by], "left").join(rates, [*by], "left")
-         .join(results.fits.select(*by, "aic", "sigma2", "success"), [*by], "left"))
+         .withColumns({"p": F.col("_p"), "d": F.col("_d"), "q": F.col("_q")}))
     d = F.col("d") if results.family == "ARIMA" else F.col("series_d")
     num = lambda label, c: F.concat(F.lit(f"{label}: "), F.coalesce(F.format_string("%.4f", F.col(c)), F.lit("n/a")))
     text = F.concat_ws("\n", F.format_string(f"{results.family} workflow: order (%d, %d, %d)", "p", d, "q"),
@@ -295,7 +298,8 @@ def wf_results(results: Results, by=BY) -> DataFrame:
                        num("Back-test RMSE", "avg_rmse"), num("Overall pass rate", "overall_pass_rate"),
                        F.concat(F.lit("Adjusted: "), F.when(F.col("adjusted"), "yes").otherwise("no")),
                        num("AIC", "aic"), num("Sigma2", "sigma2"))
-    return t.select(*by, "p", d.alias("d"), "q", text.alias("summary"))
+    lost = F.concat(F.lit(f"{results.family} workflow: no order; "), F.coalesce("error", F.lit("no fit")))
+    return t.select(*by, "p", d.alias("d"), "q", F.when(F.col("p").isNull(), lost).otherwise(text).alias("summary"))
 
 
 def method_accuracy(df: DataFrame, orders: dict, test_ratio: float = 0.2, by=BY, bounded: bool = False) -> DataFrame:
