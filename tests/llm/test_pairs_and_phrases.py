@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import hard_negatives, minhash, phrases
+import brute
+from tidemark.llm import common, hard_negatives, minhash, phrases, substring_dedup
 
 PROSE = "the quick brown fox jumps over the lazy dog and runs far away from all that noise today".split()
 
@@ -273,3 +274,46 @@ def test_empty_tables(spark):
     assert minhash.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert hard_negatives.hard_negatives(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     assert phrases.collocations(spark.createDataFrame([], "doc_id long, lang string, text string")).count() == 0
+
+
+# ------------------------------------------------------------------ substring dedup by row
+
+def plain_cuts(rows, window=50):
+    """Row by row: rows of equal (or no) id never remove from each other, and a missing id is larger than any."""
+    words = [brute.raw_words(t) for _, t in rows]
+    order = [float("inf") if i is None else i for i, _ in rows]
+    first = {}
+    for i, w in zip(order, words):
+        for at in range(len(w) - window + 1):
+            key = tuple(w[at:at + window])
+            first[key] = min(first.get(key, float("inf")), i)
+    out = []
+    for (doc, _), i, w in zip(rows, order, words):
+        gone = np.zeros(len(w), dtype=bool)
+        for at in range(len(w) - window + 1):
+            if first[tuple(w[at:at + window])] < i:
+                gone[at:at + window] = True
+        out.append((doc, len(w), int(gone.sum()), b" ".join(x for x, g in zip(w, gone) if not g).decode()))
+    return sorted(map(repr, out))
+
+
+def test_rows_that_share_an_id_are_cut_by_their_own_text(spark):
+    a, b, c = passage(50, 60), passage(51, 60), passage(52, 80)
+    thue = "".join("01"[bin(k).count("1") & 1] for k in range(512))
+    one, two = passage(53, 49), "".join("10"[int(x)] for x in thue)
+    rows = [(1, a), (None, a), (None, b), (7, a), (7, c), (7, c), (8, c + " " + b), (None, None), (9, b), (3, one + " " + thue), (4, one + " " + two),
+            (20, " " + a + " \t\n"), (21, ""), (None, "x " + c)]
+    got = substring_dedup.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(repr((r.doc_id, r.n_words, r.n_removed, r.kept)) for r in got.collect()) == plain_cuts(rows)
+    many = [(None if k % 3 else 5, f"{passage(60 + k % 7, 55)} {passage(90 + k, 20)}") for k in range(120)] + [(2, passage(60, 55))]
+    got = substring_dedup.cut_repeats(spark.createDataFrame(many, "doc_id long, text string"))
+    assert sorted(repr((r.doc_id, r.n_words, r.n_removed, r.kept)) for r in got.collect()) == plain_cuts(many)
+
+
+def test_word_hashes():
+    import xxhash
+    raws = [b"", b"  a b\x0bc \t", "é 中文\x85x\x1cy".encode(), b"a", b" \n ", b"same same"]
+    hashes, counts = common.hash_words(raws)
+    assert counts.tolist() == [len(r.split()) for r in raws]
+    assert hashes.tolist() == [xxhash.xxh64_intdigest(w) for r in raws for w in r.split()]
+    assert [len(x) for x in common.hash_words([])] == [0, 0]

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         if not batch.num_rows:
             continue
         array = batch.column(batch.schema.get_field_index(column))
-        sizes = pa.compute.fill_null(pa.compute.binary_length(array), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(array), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(sizes, dtype=np.int64) // limit
         edges = np.flatnonzero(np.diff(part)) + 1
         starts = [0, *edges.tolist(), batch.num_rows]
@@ -121,20 +123,22 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-_BYTES = Rolling(0xC2B2AE3D27D4EB4F)
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-
-
 def hash_words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (runs without ASCII white space) of some texts, and the number in each text."""
-    data = np.frombuffer(b"\n".join(raws), dtype=np.uint8)
-    edge = np.diff(np.concatenate([[True], _IS_SPACE[data], [True]]).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    sums = _BYTES.sums(_BYTE_VALUES[data])
-    hashes = mix(_BYTES.digest(sums, start, end) + (end - start).astype(np.uint64))
-    edges = np.cumsum([0, *(len(r) + 1 for r in raws)])
-    return hashes, np.diff(np.searchsorted(start, edges))
+    """64-bit hashes (XXH64 of the bytes) of all words (runs without ASCII white space) of some texts, and the number in each text.
+
+    Words are split, and equal ones found, in Arrow; each different word is hashed once.
+    """
+    split = pc.ascii_split_whitespace(pc.cast(pa.array(raws, pa.binary()), pa.string(), safe=False))
+    words = split.flatten().cast(pa.binary()).dictionary_encode()
+    names = words.dictionary.to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
+    code, counts = words.indices.to_numpy(zero_copy_only=False), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    if b"" in names:  # white space at either end of a text
+        real = code != names.index(b"")
+        before = np.concatenate([[0], np.cumsum(real)])
+        edges = np.concatenate([[0], np.cumsum(counts)])
+        code, counts = code[real], np.diff(before[edges])
+    return hashes[code], counts
 
 
 def hex_sha256(text: Column) -> Column:

@@ -16,8 +16,9 @@ lie inside it, and the leftmost such symbol is its anchor; equal windows have eq
 A passage copied a thousand times is one row after the first aggregate; nothing lists pairs of copies.
 
 Defined cases: null and empty texts have no words and the digest of the empty string; documents shorter than a window
-keep all words; windows repeated inside one document only stay; rows that repeat a doc_id are one document's rows
-and never remove from each other; a null doc_id counts as larger than any other; an empty table gives an empty result.
+keep all words; windows repeated inside one document only stay; rows that repeat a doc_id never remove from each other, and
+each is cut by its own text; a null doc_id counts as larger than any other; an empty table gives an empty result.  Documents are compared
+by doc_id and cut by (doc_id, hash of the text), so rows that share an id, or have none, keep their own spans.
 """
 
 from __future__ import annotations
@@ -162,42 +163,46 @@ def _doc_ids(part) -> np.ndarray:
     return part.column(0).fill_null(int(NULL_DOC)).to_numpy(zero_copy_only=False)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, key``: with the doc_id, the hash of the text tells rows apart."""
+    return common.slim(docs).withColumn("key", F.xxhash64("text"))
+
+
 def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per group: name, digest, doc, first (word position), count."""
+    """One row per group: name, digest, doc, key, first (word position), count."""
     def run(batches):
         for part in common.slices(batches):
             words, ids = words_of(common.raw_texts(part)), _doc_ids(part)
             g = groups_of(words, window)
             yield pa.record_batch({
                 "name": pa.array(common.signed(g.name)), "digest": pa.array(common.signed(g.digest)), "doc": pa.array(ids[g.doc]),
-                "first": pa.array((g.first - words.first[g.doc]).astype(np.int32)), "count": pa.array(g.count.astype(np.int32))})
-    return common.slim(docs).mapInArrow(run, "name long, digest long, doc long, first int, count int")
+                "key": part.column(2).take(pa.array(g.doc)), "first": pa.array((g.first - words.first[g.doc]).astype(np.int32)), "count": pa.array(g.count.astype(np.int32))})
+    return _keyed(docs).mapInArrow(run, "name long, digest long, doc long, key long, first int, count int")
 
 
 def _windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """Digests of single windows: one, two (128 bits), doc, first; for the groups in ``wanted(doc, first, count)``."""
-    per_doc = wanted.groupBy("doc").agg(F.collect_set(F.struct("first", "count")).alias("spans"))
-    rows = docs.select(F.coalesce("doc_id", F.lit(int(NULL_DOC))).alias("doc"), "text").join(per_doc, "doc")
+    """Digests of single windows: one, two (128 bits), doc, key, first; for the groups in ``wanted(doc, key, first, count)``."""
+    per_doc = wanted.groupBy("doc", "key").agg(F.collect_set(F.struct("first", "count")).alias("spans"))
+    rows = docs.select(F.coalesce("doc_id", F.lit(int(NULL_DOC))).alias("doc"), "text", "key").join(per_doc, ["doc", "key"]).select("doc", "text", "spans", "key")
 
     def run(batches):
         for part in common.slices(batches):
             out = []
-            for doc, raw, spans in zip(part.column(0).to_pylist(), common.raw_texts(part), part.column(2).to_pylist()):
+            for doc, raw, spans, key in zip(part.column(0).to_pylist(), common.raw_texts(part), part.column(2).to_pylist(), part.column(3).to_pylist()):
                 words = words_of([raw])
                 at = np.unique(np.concatenate([np.arange(s["first"], s["first"] + s["count"]) for s in spans]))
-                at = at[at + window <= len(words.hashes)]  # rows that repeat a doc_id may be shorter
                 mixed = common.mix(words.hashes)
                 one, two = (r.digest(r.sums(mixed), at, at + window) for r in (_WIDE, _OTHER))
-                out.append((one, two, np.full(len(at), doc), at))
-            one, two, doc, at = (np.concatenate(c) for c in zip(*out))
+                out.append((one, two, np.full(len(at), doc), np.full(len(at), key), at))
+            one, two, doc, key, at = (np.concatenate(c) for c in zip(*out))
             yield pa.record_batch({"one": pa.array(common.signed(one)), "two": pa.array(common.signed(two)),
-                                   "doc": pa.array(doc.astype(np.int64)), "first": pa.array(at.astype(np.int32))})
-    return rows.mapInArrow(run, "one long, two long, doc long, first int")
+                                   "doc": pa.array(doc.astype(np.int64)), "key": pa.array(key.astype(np.int64)), "first": pa.array(at.astype(np.int32))})
+    return rows.mapInArrow(run, "one long, two long, doc long, key long, first int")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc, first, count``: runs of windows that also start in a document with a smaller doc_id."""
-    docs = common.slim(docs)
+    """``doc, key, first, count``: runs of windows that also start in a document with a smaller doc_id."""
+    docs = _keyed(docs)
     found = anchors(docs, window)
     # aggregates are written before they are joined: joins between plain shuffles can be split where a name is hot
     shared = common.durable(found.groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
@@ -206,19 +211,20 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spans = common.durable(held.groupBy("name", "digest").agg(F.min("doc").alias("least")))
     several = common.durable(spans.groupBy("name").agg(F.count("*").alias("spans")))
     marked = common.durable(spans.join(several, "name"))
-    judged = common.durable(held.join(marked, ["name", "digest"]).select("doc", "first", "count", "least", "spans"))
-    whole = judged.where("doc > least").select("doc", "first", "count")
+    judged = common.durable(held.join(marked, ["name", "digest"]).select("doc", "key", "first", "count", "least", "spans"))
+    whole = judged.where("doc > least").select("doc", "key", "first", "count")
     single = common.durable(_windows(docs, judged.where("doc = least AND spans > 1"), window))
     least = common.durable(single.groupBy("one", "two").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most"))
-    edges = single.join(least, ["one", "two"]).where("doc > least").select("doc", "first", F.lit(1).alias("count"))
+    edges = single.join(least, ["one", "two"]).where("doc > least").select("doc", "key", "first", F.lit(1).alias("count"))
     return whole.unionByName(edges)
 
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept (the remaining words, joined by one space), kept_sha256."""
-    docs = common.slim(docs)
-    removed = repeated_windows(docs, window).groupBy("doc").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
-    rows = docs.withColumn("doc", F.coalesce("doc_id", F.lit(int(NULL_DOC)))).join(removed, "doc", "left").select("doc_id", "text", "spans")
+    # a set: rows repeated with id and text add no spans, so no group outgrows one text
+    removed = repeated_windows(docs, window).groupBy("doc", "key").agg(F.collect_set(F.struct("first", "count")).alias("spans"))
+    rows = (_keyed(docs).withColumn("doc", F.coalesce("doc_id", F.lit(int(NULL_DOC)))).join(removed, ["doc", "key"], "left")
+            .select("doc_id", "text", "spans"))
 
     def run(batches):
         for part in common.slices(batches):
@@ -227,8 +233,8 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 words = raw.split()
                 if spans:
                     edge = np.zeros(len(words) + 1, dtype=np.int64)
-                    a = np.minimum(np.array([s["first"] for s in spans]), len(words))
-                    b = np.minimum(np.array([s["first"] + s["count"] + window - 1 for s in spans]), len(words))
+                    a = np.array([s["first"] for s in spans])
+                    b = np.array([s["first"] + s["count"] + window - 1 for s in spans])
                     np.add.at(edge, a, 1)
                     np.add.at(edge, b, -1)
                     stay = np.cumsum(edge[:-1]) == 0
