@@ -46,7 +46,7 @@ def minimum(p: int, d: int, q: int, min_obs) -> int:
     return max(p + d + q + 10, 30) if min_obs is None else min_obs
 
 
-def _fit_group(by, min_obs):
+def _fit_group(by, min_obs, constant):
     def fit(key, header, frame):
         rows = []
         if header is None:
@@ -54,7 +54,7 @@ def _fit_group(by, min_obs):
         y = np.zeros(0) if frame is None else frame[VALUE].to_numpy(dtype=float)
         flat = [int(v) for v in header["orders"]]
         for p, d, q in zip(flat[::3], flat[1::3], flat[2::3]):
-            row = kernels.fit_order(y, p, d, q, minimum(p, d, q, min_obs))
+            row = kernels.fit_order(y, p, d, q, minimum(p, d, q, min_obs), constant)
             rows.append([*key, *[row[c] for c in FIT_NAMES]])
         return rows
 
@@ -67,11 +67,11 @@ def order_specs(df: DataFrame, orders, by=BY) -> DataFrame:
     return df.select(*by).distinct().withColumn("_o", F.explode(grid)).select(*by, "_o.p", "_o.d", "_o.q")
 
 
-def fit_orders(df: DataFrame, orders, by=BY, min_obs=GROUP_MIN, bounded: bool = False) -> DataFrame:
+def fit_orders(df: DataFrame, orders, by=BY, min_obs=GROUP_MIN, bounded: bool = False, constant: bool = True) -> DataFrame:
     """One fit row per group and order.
 
     ``orders`` is a list of ``(p, d, q)`` or a table ``(by, p, d, q)``.  The values of a group are
-    shipped once for all its orders.
+    shipped once for all its orders.  Without ``constant`` the (differenced) values vary around zero: no mean is taken off.
     """
     s = layout.with_index(df, by, bounded=bounded)
     specs = orders if isinstance(orders, DataFrame) else order_specs(s, orders, by)
@@ -79,7 +79,7 @@ def fit_orders(df: DataFrame, orders, by=BY, min_obs=GROUP_MIN, bounded: bool =
 
     def grouped(rows, wanted):
         listed = wanted.groupBy(*by).agg(F.flatten(F.array_sort(F.collect_list(F.array("p", "d", "q")))).alias("orders"))
-        return layout.map_groups(rows.select(*by, IDX, VALUE), listed, by, _fit_group(by, min_obs), fit_schema(s, by))
+        return layout.map_groups(rows.select(*by, IDX, VALUE), listed, by, _fit_group(by, min_obs, constant), fit_schema(s, by))
 
     if not layout.has_chunks(s):
         return grouped(s, specs)
@@ -90,17 +90,17 @@ def fit_orders(df: DataFrame, orders, by=BY, min_obs=GROUP_MIN, bounded: bool =
     short = grouped(sized.filter(F.col("_n") <= limit), specs.join(long_groups, [*by], "left_anti"))
     rows, asked = sized.filter(F.col("_n") > limit).drop("_n"), specs.join(long_groups, [*by], "left_semi")
     listed = None if isinstance(orders, DataFrame) else [o for o in orders if o[2] > 0]  # a list needs no job to find its bounds
-    moving = fit_long(rows, asked.filter("q > 0") if listed is None else listed, by, min_obs)
-    return short.unionByName(_closed_form(rows, asked.filter("q = 0"), by, min_obs)).unionByName(moving)
+    moving = fit_long(rows, asked.filter("q > 0") if listed is None else listed, by, min_obs, constant)
+    return short.unionByName(_closed_form(rows, asked.filter("q = 0"), by, min_obs, constant)).unionByName(moving)
 
 
-def _closed_form(rows: DataFrame, specs: DataFrame, by, min_obs) -> DataFrame:
+def _closed_form(rows: DataFrame, specs: DataFrame, by, min_obs, constant) -> DataFrame:
     """Pure autoregressions of long series: the same least squares as in one task, from sums of products."""
     out = rows.sparkSession.createDataFrame([], fit_schema(rows, by))
     for d, ps in sorted((r["d"], r["ps"]) for r in specs.groupBy("d").agg(F.collect_set("p").alias("ps")).collect()):
         wanted = specs.filter(F.col("d") == d).select(*by, "p")
         mine = layout.join_series(rows, wanted.select(*by).distinct(), by)
-        out = out.unionByName(ar_fit(mine, sorted(ps), d, by, min_obs).join(wanted, [*by, "p"], "left_semi"))
+        out = out.unionByName(ar_fit(mine, sorted(ps), d, by, min_obs, constant=constant).join(wanted, [*by, "p"], "left_semi"))
     return out
 
 
@@ -145,8 +145,8 @@ def _ar_solver(top: int, min_obs):
     return F.pandas_udf(solver, result)
 
 
-def ar_fit(df: DataFrame, orders=(1,), d: int = 0, by=BY, min_obs=GROUP_MIN, bounded: bool = False) -> DataFrame:
-    """AR(p) for every p in ``orders`` by exact conditional least squares.
+def ar_fit(df: DataFrame, orders=(1,), d: int = 0, by=BY, min_obs=GROUP_MIN, bounded: bool = False, constant: bool = True) -> DataFrame:
+    """AR(p) for every p in ``orders`` by exact conditional least squares; without ``constant`` from uncentred products.
 
     One pass of lag products at the largest order serves all orders: the equations smaller orders have
     in addition come from the first few values, which travel with the sums.
@@ -154,7 +154,8 @@ def ar_fit(df: DataFrame, orders=(1,), d: int = 0, by=BY, min_obs=GROUP_MIN, bou
     top = max(max(orders), 1)
     whole = layout.with_index(df, by, bounded=bounded)
     s = shaping.difference(whole, d, by) if d else whole
-    s = layout.with_totals(s, by, _n=F.count("*"), _m=F.avg(VALUE)).withColumn("_c", F.col(VALUE) - F.col("_m"))
+    centre = F.avg(VALUE) if constant else F.max(F.lit(0.0))
+    s = layout.with_totals(s, by, _n=F.count("*"), _m=centre).withColumn("_c", F.col(VALUE) - F.col("_m"))
     s = s.select(*layout.keys(s, by), IDX, "_n", "_m", "_c")
     rows = layout.with_lags(s, "_c", top, by)
     past = [F.coalesce(F.col(f"lag_{k}"), F.lit(0.0)) for k in range(1, top + 1)]
@@ -203,11 +204,11 @@ def without_values(df: DataFrame, least: int = 1, by=BY) -> DataFrame:
     return df.groupBy(*by).agg(usable.alias("_n")).filter(F.col("_n") < least).select(*by)
 
 
-def fit_one(df: DataFrame, order, by=BY, bounded: bool = False) -> DataFrame:
+def fit_one(df: DataFrame, order, by=BY, bounded: bool = False, constant: bool = True) -> DataFrame:
     """One order for every group of ``df``, missing values left out; a group without values gets a failure row."""
     s = layout.with_index(drop_missing(df), by, bounded=bounded)
     p, d, q = order
-    fits = ar_fit(s, [p], d, by) if q == 0 else fit_orders(s, [order], by)
+    fits = ar_fit(s, [p], d, by, constant=constant) if q == 0 else fit_orders(s, [order], by, constant=constant)
     # groups that differencing leaves empty have no rows in the closed form
     empty = without_values(df, d + 1 if q == 0 else 1, by)
     return fits.unionByName(failed(empty, "no values to fit", by, order))
@@ -215,16 +216,16 @@ def fit_one(df: DataFrame, order, by=BY, bounded: bool = False) -> DataFrame:
 
 # ---------------------------------------------------------------- named fits and order searches
 
-def ma_fit(df: DataFrame, q: int = 1, by=BY, bounded: bool = False) -> DataFrame:
-    return fit_orders(df, [(0, 0, q)], by, bounded=bounded)
+def ma_fit(df: DataFrame, q: int = 1, by=BY, bounded: bool = False, constant: bool = True) -> DataFrame:
+    return fit_orders(df, [(0, 0, q)], by, bounded=bounded, constant=constant)
 
 
-def arma_fit(df: DataFrame, p: int = 1, q: int = 1, by=BY, bounded: bool = False) -> DataFrame:
-    return fit_orders(df, [(p, 0, q)], by, bounded=bounded)
+def arma_fit(df: DataFrame, p: int = 1, q: int = 1, by=BY, bounded: bool = False, constant: bool = True) -> DataFrame:
+    return fit_orders(df, [(p, 0, q)], by, bounded=bounded, constant=constant)
 
 
-def arima_fit(df: DataFrame, p: int = 1, d: int = 1, q: int = 1, by=BY, bounded: bool = False) -> DataFrame:
-    return fit_orders(df, [(p, d, q)], by, bounded=bounded)
+def arima_fit(df: DataFrame, p: int = 1, d: int = 1, q: int = 1, by=BY, bounded: bool = False, constant: bool = True) -> DataFrame:
+    return fit_orders(df, [(p, d, q)], by, bounded=bounded, constant=constant)
 
 
 def grid_orders(max_p: int, max_q: int, ds=(0,)) -> list[tuple[int, int, int]]:
@@ -284,14 +285,17 @@ def model_explore(df: DataFrame, by=BY, bounded: bool = False) -> DataFrame:
 
 
 def model_fit(df: DataFrame, family: str = "ARIMA", order=None, auto: bool = False, by=BY,
-              bounded: bool = False) -> DataFrame:
-    """Explore, choose an order when asked, fit, and warn about a non-stationary series without differencing."""
+              bounded: bool = False, constant: bool = True) -> DataFrame:
+    """Explore, choose an order when asked, fit, and warn about a non-stationary series without differencing.
+
+    Order searches compare fits with a constant; ``constant`` holds for a given order.
+    """
     defaults = {"AR": (1, 0, 0), "MA": (0, 0, 1), "ARMA": (1, 0, 1), "ARIMA": (1, 1, 1)}
     if family not in defaults:
         raise ValueError("family is AR, MA, ARMA or ARIMA")
     s = layout.with_index(drop_missing(df), by, bounded=bounded)
     if not auto:
-        fits = fit_one(df, order or defaults[family], by, bounded)
+        fits = fit_one(df, order or defaults[family], by, bounded, constant)
     elif family == "AR":
         fits = best_fit(ar_fit(s, range(1, 6), by=by), "aic", by)
     elif family == "MA":
@@ -342,6 +346,19 @@ def model_metrics(fits: DataFrame, by=BY) -> DataFrame:
     return auto_family(fits).select(*by, "family", "p", "d", "q", "aic", "bic", "log_likelihood", "sigma2")
 
 
+def evaluate_model(fits: DataFrame, residual_rows: DataFrame, pairs: DataFrame, by=BY) -> DataFrame:
+    """One row a model: family and orders, criteria, errors of ``pairs`` (actual, predicted), every residual diagnostic.
+
+    Each part keeps one row a series, so they are joined as they come; a series without a fit has the row of its failure.
+    """
+    from tidemark.operators import accuracy, diagnostics
+    head = model_metrics(fits, by).join(fits.select(*by, "aicc", "n_obs", "success"), [*by])
+    head = head.withColumn("n_parameters", F.col("p") + F.col("q") + 1)
+    errors = accuracy.evaluate_forecast(pairs, by)
+    residuals = diagnostics.residual_report(residual_rows, by).drop("n").withColumnsRenamed({"mean": "residual_mean", "std": "residual_std"})
+    return head.join(errors, [*by], "left").join(residuals, [*by], "left")
+
+
 # ---------------------------------------------------------------- searches with given parameters
 
 def grid_search(df: DataFrame, grid: dict, objective, maximize: bool = False, by=BY) -> DataFrame:

@@ -305,8 +305,8 @@ def criteria(n: int, rss: float, k: int, n_aicc: int) -> dict:
             "aicc": aic + 2.0 * k * (k + 1) / spare if spare > 0 else math.inf}
 
 
-def fit_order(y: np.ndarray, p: int, d: int, q: int, min_obs: int) -> dict:
-    """One fit row.  Problems become ``success = False`` with a text, never an exception."""
+def fit_order(y: np.ndarray, p: int, d: int, q: int, min_obs: int, constant: bool = True) -> dict:
+    """One fit row, around the mean or (without ``constant``) around zero.  Problems become ``success = False`` with a text, never an exception."""
     row = {"p": p, "d": d, "q": q, "success": False, "phi": None, "theta": None, "c": None, "mean": None,
            "sigma2": None, "log_likelihood": None, "aic": None, "aicc": math.inf, "bic": None, "se": None,
            "n_obs": len(y), "y_tail": None, "e_tail": None, "levels": None, "error": None}
@@ -322,7 +322,7 @@ def fit_order(y: np.ndarray, p: int, d: int, q: int, min_obs: int) -> dict:
         if n <= p + q + 1:
             row["error"] = f"series too short after differencing: {n}"
             return row
-        mean = float(z.mean())
+        mean = float(z.mean()) if constant else 0.0
         w = z - mean
         if p + q == 0:
             phi = theta = se = np.zeros(0)

@@ -37,7 +37,7 @@ STRETCH = (2.5, 6.0)
 CAUTION = (64.0, 4096.0, 262144.0)
 
 
-def fit_long(s: DataFrame, orders, by, min_obs) -> DataFrame:
+def fit_long(s: DataFrame, orders, by, min_obs, constant: bool = True) -> DataFrame:
     """Fit rows for every order; ``s`` is in the chunked layout, ``orders`` a list of ``(p, d, q)`` or a table ``(by, p, d, q)``."""
     if isinstance(orders, DataFrame):
         tops = {r.d: (r.p, r.q) for r in orders.groupBy("d").agg(F.max("p").alias("p"), F.max("q").alias("q")).collect()}
@@ -51,12 +51,12 @@ def fit_long(s: DataFrame, orders, by, min_obs) -> DataFrame:
             mine = layout.join_series(s, specs.select(*by).distinct(), by)
         else:
             specs, mine = [o for o in orders if o[1] == d], s
-        out = out.unionByName(_fit_at(mine, specs, d, int(p), int(q), by, min_obs, schema))
+        out = out.unionByName(_fit_at(mine, specs, d, int(p), int(q), by, min_obs, schema, constant))
     return out
 
 
-def _fit_at(mine, specs, d, top_p, top_q, by, min_obs, schema):
-    packed = layout.durable(_pack(mine, d, max(LAGS, top_p), by))
+def _fit_at(mine, specs, d, top_p, top_q, by, min_obs, schema, constant):
+    packed = layout.durable(_pack(mine, d, max(LAGS, top_p), by, constant))
     state = layout.durable(_starts(packed, specs, top_p, top_q, by))
     context = packed.sparkSession.sparkContext
     for _ in range(ROUNDS):
@@ -67,9 +67,9 @@ def _fit_at(mine, specs, d, top_p, top_q, by, min_obs, schema):
     return _finish(state, _facts(packed, mine, d, max(top_p, 1), by), d, by, min_obs, schema)
 
 
-def _pack(mine, d, back, by):
-    """One row a chunk: the centred differences in order, after up to ``back`` of the values before them."""
-    z = layout.with_totals(shaping.difference(mine, d, by), by, _n=F.count("*"), _m=F.avg(VALUE))
+def _pack(mine, d, back, by, constant):
+    """One row a chunk: the centred (or, without a constant, plain) differences in order, after up to ``back`` of the values before them."""
+    z = layout.with_totals(shaping.difference(mine, d, by), by, _n=F.count("*"), _m=F.avg(VALUE) if constant else F.max(F.lit(0.0)))
     rows, _, _ = layout.neighbourhood(z.select(*by, CHUNK, IDX, "_n", "_m", (F.col(VALUE) - F.col("_m")).alias("_w")), back=back, by=by)
     ordered = F.array_sort(F.collect_list(F.struct(F.col(IDX).alias("i"), F.col("_w").alias("v"))))
     chunks = rows.groupBy(*by, CHUNK).agg(F.max("_n").alias("n"), F.max("_m").alias("m"), F.max("_home").alias("_home"), ordered.alias("s"))

@@ -198,6 +198,25 @@ def residual_report(t):
     return rep.select(SERIES, "n", "mean", "std", "skewness", "kurtosis", "jb_stat", "lb_stat", "lb_p", "acf_peaks", "acf_pass", "bp_stat")
 
 
+EVALUATION = RES + lag_corr_sql("res") + """, er AS (SELECT series_id, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae,
+ sqrt(avg(e * e)) / (sqrt(avg((fitted + e) * (fitted + e))) + sqrt(avg(fitted * fitted))) AS theil_u FROM res GROUP BY 1)
+"""
+
+
+@query("evaluate_model", EVALUATION + f"""SELECT f.series_id, 'AR' AS family, 1::BIGINT AS p, 0::BIGINT AS q, 2::BIGINT AS n_parameters, f.n AS n_obs, {r('4 - 2 * ll')} AS aic,
+{r('2 * ln(f.n) - 2 * ll')} AS bic, {r('4 - 2 * ll + 12.0 / (f.n - 3)')} AS aicc, {r('ll')} AS log_likelihood, {r('rmse')} AS rmse, {r('mae')} AS mae, {r('theil_u')} AS theil_u,
+{r('st.mean')} AS residual_mean, {r('std')} AS residual_std, {r('skewness')} AS skewness, {r('kurtosis')} AS kurtosis, {r('lb.stat')} AS lb_stat, peaks AS acf_peaks
+FROM f JOIN st USING (series_id) JOIN lb USING (series_id) JOIN er USING (series_id)""")
+def evaluate_model(t):
+    """In-sample evaluation of AR(1) fits: one row a model."""
+    fits, s = estimation.ar_fit(t.ev_user(), [1]), t.ev_user()
+    rows = recursion.model_residuals(s, fits)
+    pairs = rows.select(SERIES, IDX, F.col(VALUE).alias("actual"), F.col("fitted").alias("predicted"))
+    return estimation.evaluate_model(fits, rows, pairs).select(
+        SERIES, "family", "p", "q", "n_parameters", "n_obs", "aic", "bic", "aicc", "log_likelihood", "rmse", "mae", "theil_u",
+        "residual_mean", "residual_std", "skewness", "kurtosis", "lb_stat", "acf_peaks")
+
+
 # ------------------------------------------------------------ workflow
 
 @query("wf_prepare")

@@ -54,9 +54,56 @@ def _flat(fits):
                        F.get("theta", F.lit(0)).alias("theta_1"), "c", "sigma2", "log_likelihood", "aic", "bic", "error")
 
 
-@query("ma_fit")
+# AR(1) around zero: no mean is taken off
+AR1_NC = """, l AS (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY idx) AS l1 FROM c),
+f0 AS (SELECT series_id, any_value(n) AS n, sum(y * l1) / sum(l1 * l1) AS phi,
+ sum(y * y) FILTER (idx >= 1) - pow(sum(y * l1), 2) / sum(l1 * l1) AS rss, arg_max(y, idx) AS last_y FROM l GROUP BY 1),
+f AS (SELECT *, rss / n AS sigma2, -n / 2.0 * (ln(2 * pi() * rss / n) + 1) AS ll FROM f0)
+"""
+
+
+@query("ar_fit_no_constant", USER + AR1_NC + f"""SELECT series_id, n AS n_obs, {r('phi')} AS phi_1, 0.0::DOUBLE AS c, {r('sigma2')} AS sigma2,
+{r('ll')} AS log_likelihood, {r('4 - 2 * ll')} AS aic, {r('2 * ln(n) - 2 * ll')} AS bic FROM f""")
+def ar_fit_no_constant(t):
+    f = estimation.ar_fit(t.ev_user(), [1], constant=False)
+    return f.select(SERIES, "n_obs", F.col("phi")[0].alias("phi_1"), "c", "sigma2", "log_likelihood", "aic", "bic")
+
+
+@query("ar_forecast_no_constant", USER + AR1_NC + f"""SELECT series_id, step, {r('last_y * pow(phi, step)')} AS forecast
+FROM f, (SELECT unnest(range(1, {STEPS + 1})) AS step)""")
+def ar_forecast_no_constant(t):
+    f = estimation.ar_fit(t.ev_user(), [1], constant=False)
+    return forecasting.model_forecast(f, STEPS).select(SERIES, "step", "forecast")
+
+
+def ma1_search(base: str, centred: str = "w", levels: int = 6, points: int = 40) -> str:
+    """MA(1) by hand: the filter as a recursive query over nested grids of theta, each a tenth as wide as the one before.
+
+    The sum of squares is compared as it is; after the last level theta is known to about 1e-7.
+    """
+    out, step = base.replace("WITH base", "WITH RECURSIVE base", 1), 2 * 0.9999 / (2 * points)
+    out += f", sz AS (SELECT series_id, max(idx) AS last, any_value(n) AS n, any_value(mean) AS mean FROM c GROUP BY 1), b0 AS (SELECT series_id, 0.0::DOUBLE AS th FROM sz)"
+    for k in range(1, levels + 1):
+        around = points if k == 1 else 12
+        out += f""", g{k} AS (SELECT DISTINCT series_id, greatest(-0.9999, least(0.9999, th + i * {step!r})) AS th FROM b{k - 1}, (SELECT unnest(range({-around}, {around + 1})) AS i)),
+e{k} AS (SELECT series_id, 0::BIGINT AS idx, th, 0.0::DOUBLE AS e, 0.0::DOUBLE AS rss FROM g{k}
+ UNION ALL SELECT e.series_id, e.idx + 1, e.th, n.{centred} - e.th * e.e, e.rss + pow(n.{centred} - e.th * e.e, 2) FROM e{k} e JOIN c n ON n.series_id = e.series_id AND n.idx = e.idx + 1),
+b{k} AS (SELECT series_id, arg_min(th, rss) AS th, min(rss) AS rss FROM e{k} JOIN sz USING (series_id) WHERE idx = last GROUP BY 1)"""
+        step /= 10
+    return out + f", f AS (SELECT b{levels}.*, n, mean, rss / n AS sigma2, -n / 2.0 * (ln(2 * pi() * rss / n) + 1) AS ll FROM b{levels} JOIN sz USING (series_id))\n"
+
+
+@query("ma_fit", ma1_search(USER) + f"""SELECT series_id, n AS n_obs, {r('th', 3)} AS theta_1, {r('mean', 3)} AS c, {r('sigma2', 3)} AS sigma2, {r('ll', 3)} AS log_likelihood,
+{r('4 - 2 * ll', 3)} AS aic, {r('2 * ln(n) - 2 * ll', 3)} AS bic, true AS success FROM f""", 3)
 def ma_fit(t):
-    return _flat(estimation.ma_fit(t.ev_user(), 1))
+    f = estimation.ma_fit(t.ev_user(), 1)
+    return f.select(SERIES, "n_obs", F.col("theta")[0].alias("theta_1"), "c", "sigma2", "log_likelihood", "aic", "bic", "success")
+
+
+@query("ma_fit_no_constant", ma1_search(USER, "y") + f"SELECT series_id, n AS n_obs, {r('th', 3)} AS theta_1, 0.0::DOUBLE AS c, {r('ll', 3)} AS log_likelihood FROM f", 3)
+def ma_fit_no_constant(t):
+    f = estimation.ma_fit(t.ev_user(), 1, constant=False)
+    return f.select(SERIES, "n_obs", F.col("theta")[0].alias("theta_1"), "c", "log_likelihood")
 
 
 @query("arma_fit")
