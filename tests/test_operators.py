@@ -274,3 +274,14 @@ def test_prefix_scan_of_chunk_states(spark, monkeypatch):
         np.testing.assert_allclose(got["a", k], state)
         state = m @ state + s
     assert got["b", 0] == [] and len(got) == 14
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+    session = lambda **conf: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k.replace(".", "_"), d)))
+    local = dict(spark_master="local[2]", spark_sql_warehouse_dir="file:/tmp/w")
+    assert layout.scratch_path(session(**local), "x").startswith("file:/tmp/w/tidemark-x-")
+    with pytest.raises(ValueError, match="checkpoint"):
+        layout.scratch_path(session(**{**local, "spark_master": "spark://a:7077"}), "x")
+    assert layout.scratch_path(session(**local, spark_checkpoint_dir="hdfs://a/b/"), "x").startswith("hdfs://a/b/tidemark-x-")
+    assert layout.scratch_path(session(spark_master="yarn", spark_sql_warehouse_dir="s3a://w/h"), "x").startswith("s3a://w/h/tidemark-x-")

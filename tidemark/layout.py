@@ -16,6 +16,7 @@ The helpers below hide the difference, so operators are written once.
 from __future__ import annotations
 
 import uuid
+from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
@@ -41,9 +42,15 @@ def whole_rows(df: DataFrame) -> int:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the folder that driver and executors share.
 
-    That is ``spark.checkpoint.dir`` or, where it is unset, Spark's own ``spark.sql.warehouse.dir``.
+    That is ``spark.checkpoint.dir`` or, where it is unset, Spark's own ``spark.sql.warehouse.dir``.  On a cluster a plain
+    local path is refused as such a default: every executor would write to its own disk.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = spark.conf.get("spark.sql.warehouse.dir")
+        local = spark.conf.get("spark.master", "local").startswith("local")
+        if not local and urlparse(shared).scheme in ("", "file"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{shared.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
 
 

@@ -223,8 +223,9 @@ def number_rows(df: DataFrame, count: str, out: str) -> DataFrame:
 def resample(df: DataFrame, seconds: int, agg: str = "mean") -> DataFrame:
     """New frequency; bins start at midnight of the first day; empty bins are NULL (mean) or 0 (sum).
 
-    Rows collapse to a grid that every bin edge lies on (with map-side partial sums) before the first
-    day of the series is looked up, so raw rows are never joined or moved twice.
+    Rows collapse, with map-side partial sums, to a grid that every bin edge lies on; the cells also carry first and last
+    time.  They are written once, so the table is read once.  A series' range comes from one small row for each ``BLOCK`` cells, and
+    goes back to the cells by (series, block): no join has the series alone as its key.
     """
     if agg not in ("mean", "sum"):
         raise ValueError("agg is mean or sum")
@@ -232,17 +233,21 @@ def resample(df: DataFrame, seconds: int, agg: str = "mean") -> DataFrame:
     width = seconds * 1_000_000
     present = df.filter(F.col(VALUE).isNotNull() & F.col(TIME).isNotNull())
     wall = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(TIME).cast("timestamp_ntz"))
-    cells = (present.groupBy(SERIES, (F.floor(wall / grid) * grid).cast("long").alias("g"))
-             .agg(F.sum(VALUE).alias("s"), F.count(VALUE).alias("c")))
-    span = present.groupBy(SERIES).agg(F.min(wall).alias("lo"), F.max(wall).alias("hi"))
-    day = DAY * 1_000_000
-    span = span.withColumn("origin", (F.floor(F.col("lo") / day) * day).cast("long"))
-    bins = (cells.join(span.select(SERIES, "origin"), SERIES)
-            .groupBy(SERIES, F.floor((F.col("g") - F.col("origin")) / width).alias("bin"))
+    cell = F.floor(wall / grid).cast("long")
+    cells = layout.durable(
+        present.groupBy(SERIES, cell.alias("cell"))
+        .agg(F.sum(VALUE).alias("s"), F.count(VALUE).alias("c"), F.min(wall).alias("lo"), F.max(wall).alias("hi"))
+        .withColumn("block", F.floor(F.col("cell") / BLOCK)))
+    day, whole = DAY * 1_000_000, Window.partitionBy(SERIES)
+    reach = cells.groupBy(SERIES, "block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    reach = reach.withColumns({"lo": F.min("lo").over(whole), "hi": F.max("hi").over(whole), "_least": F.min("block").over(whole)})
+    reach = reach.withColumn("origin", (F.floor(F.col("lo") / day) * day).cast("long"))
+    bins = (cells.join(reach.select(SERIES, "block", "origin"), [SERIES, "block"])
+            .groupBy(SERIES, F.floor((F.col("cell") * grid - F.col("origin")) / width).alias("bin"))
             .agg(F.sum("s").alias("s"), F.sum("c").alias("c")))
     first = F.floor((F.col("lo") - F.col("origin")) / width)
     every = number_rows(
-        span.withColumn("_first", first)
+        reach.filter("block = _least").withColumn("_first", first)
         .withColumn("_n", (F.floor((F.col("hi") - F.col("origin")) / width) - first + 1)), "_n", "_k")
     every = every.select(SERIES, "origin", (F.col("_first") + F.col("_k")).alias("bin"))
     value = div(F.col("s"), F.col("c")) if agg == "mean" else F.coalesce(F.col("s"), F.lit(0.0))
