@@ -266,6 +266,23 @@ def _rss(w, beta, p):
     return (r if math.isfinite(r) else math.inf), e
 
 
+def _descend(w: np.ndarray, p: int, trial: np.ndarray):
+    """``best, rss, gram, bend, residuals, done`` of the descent from one point."""
+    best, rss, gram, damp, bend, kept, base = None, math.inf, None, 1e-6, no_bend(len(trial)), w, float(w @ w)
+    for _ in range(MAX_STEPS):
+        with np.errstate(all="ignore"):
+            beta = parameters(trial, p)[0]
+            e = residuals(w, beta[:p], beta[p:])
+            x = np.column_stack([_jacobian(w, e, beta[:p], beta[p:]), e])
+            trial, best, rss, gram, damp, bend, done, taken = advance(trial, best, rss, gram, damp, bend, base, x.T @ x, p)
+        kept = e if taken else kept
+        if done:
+            break
+    if best is None:  # nothing beat the mean within the steps
+        best = np.zeros(len(trial))
+    return best, rss, gram, bend, kept, done
+
+
 def css_fit(w: np.ndarray, p: int, q: int):
     """``(phi, theta, rss, residuals, standard errors, converged)`` of a centred series, variance concentrated out."""
     n, k = len(w), p + q
@@ -276,18 +293,14 @@ def css_fit(w: np.ndarray, p: int, q: int):
         rss, e = _rss(w, beta, p)
         inverse = np.linalg.pinv(x.T @ x, hermitian=True)
         return beta, beta[:0], rss, e, np.sqrt(np.maximum(np.diag(inverse), 0) * rss / n), True
-    trial, best, rss, gram, damp, bend, kept = coordinates(_start(w, p, q), p), None, math.inf, None, 1e-6, no_bend(k), w
-    base = float(w @ w)
-    for _ in range(MAX_STEPS):
-        with np.errstate(all="ignore"):
-            beta = parameters(trial, p)[0]
-            e = residuals(w, beta[:p], beta[p:])
-            x = np.column_stack([_jacobian(w, e, beta[:p], beta[p:]), e])
-            trial, best, rss, gram, damp, bend, done, taken = advance(trial, best, rss, gram, damp, bend, base, x.T @ x, p)
-        kept = e if taken else kept
-        if done:
-            break
-    done = done or close_enough(best, gram, bend, rss, p)
+    best, rss, gram, bend, kept, done = _descend(w, p, coordinates(_start(w, p, q), p))
+    if (np.abs(best) >= LIMIT).any():  # an end on a side of the box need not be the lowest: once more, from inside
+        other = _descend(w, p, 0.5 * best)
+        if other[-1] and other[1] < rss * (1.0 - 1e-9):
+            best, rss, gram, bend, kept, done = other
+    done = done or (gram is not None and close_enough(best, gram, bend, rss, p))
+    if gram is None:
+        return np.zeros(p), np.zeros(q), math.inf, kept, np.zeros(k), False
     inverse = np.linalg.pinv(gram[:k, :k], hermitian=True)
     beta = parameters(best, p)[0]
     return beta[:p], beta[p:], rss, kept, np.sqrt(np.maximum(np.diag(inverse), 0) * rss / n), done

@@ -88,7 +88,7 @@ def ma1_search(base: str, centred: str = "w", levels: int = 6, points: int = 40)
         out += f""", g{k} AS (SELECT DISTINCT series_id, greatest(-0.9999, least(0.9999, th + i * {step!r})) AS th FROM b{k - 1}, (SELECT unnest(range({-around}, {around + 1})) AS i)),
 e{k} AS (SELECT series_id, 0::BIGINT AS idx, th, 0.0::DOUBLE AS e, 0.0::DOUBLE AS rss FROM g{k}
  UNION ALL SELECT e.series_id, e.idx + 1, e.th, n.{centred} - e.th * e.e, e.rss + pow(n.{centred} - e.th * e.e, 2) FROM e{k} e JOIN c n ON n.series_id = e.series_id AND n.idx = e.idx + 1),
-b{k} AS (SELECT series_id, arg_min(th, rss) AS th, min(rss) AS rss FROM e{k} JOIN sz USING (series_id) WHERE idx = last GROUP BY 1)"""
+b{k} AS (SELECT series_id, arg_min(th, rss) AS th, min(rss) AS rss, arg_min(e, rss) AS shock FROM e{k} JOIN sz USING (series_id) WHERE idx = last GROUP BY 1)"""
         step /= 10
     return out + f", f AS (SELECT b{levels}.*, n, mean, rss / n AS sigma2, -n / 2.0 * (ln(2 * pi() * rss / n) + 1) AS ll FROM b{levels} JOIN sz USING (series_id))\n"
 
@@ -351,3 +351,88 @@ def predict_groups(t):
     p = forecasting.predict_groups(t.ev_user(), (1, 1, 1), STEPS)
     return p.select(SERIES, "success", F.posexplode_outer(F.arrays_zip("predictions", "lower_bound", "upper_bound")).alias("step", "z")) \
         .select(SERIES, "success", "step", "z.predictions", "z.lower_bound", "z.upper_bound")
+
+
+# ------------------------------------------------------------ the same functions on models that SQL can fit
+
+@query("ma1_forecast", ma1_search(USER, levels=8) + f"""SELECT series_id, step, {r('mean + CASE WHEN step = 1 THEN th * shock ELSE 0 END', 2)} AS forecast
+FROM f, (SELECT unnest(range(1, 4)) AS step)""", 2)
+def ma1_forecast(t):
+    """MA(1): fitted theta carries the last shock one step."""
+    return forecasting.ma_forecast(t.ev_user(), 1, 3).select(SERIES, "step", "forecast")
+
+
+@query("arima011_fit", ma1_search(D1) + f"""SELECT series_id, n AS n_obs, {r('th', 3)} AS theta_1, {r('ll', 3)} AS log_likelihood, {r('4 - 2 * ll', 3)} AS aic, true AS success FROM f""", 3)
+def arima011_fit(t):
+    """ARIMA(0, 1, 1): many of these series end at the edge, theta = -0.9999."""
+    f = estimation.arima_fit(t.ev_user(), 0, 1, 1)
+    return f.select(SERIES, "n_obs", F.col("theta")[0].alias("theta_1"), "log_likelihood", "aic", "success")
+
+
+@query("fit_groups_ima", ma1_search(D1) + f"SELECT series_id, 0::BIGINT AS p, 1::BIGINT AS d, 1::BIGINT AS q, {r('ll', 3)} AS log_likelihood, true AS success FROM f", 3)
+def fit_groups_ima(t):
+    return estimation.fit_groups(t.ev_user(), (0, 1, 1)).select(SERIES, "p", "d", "q", "log_likelihood", "success")
+
+
+IMA = ma1_search(D1, levels=8) + f""", lv AS (SELECT series_id, arg_max(level, idx) AS level FROM d GROUP BY 1),
+fc AS (SELECT series_id, step, level + mean * step + th * shock AS forecast, {Z} * sqrt(sigma2 * (1 + (step - 1) * (1 + th) * (1 + th))) AS half
+ FROM f JOIN lv USING (series_id), (SELECT unnest(range(1, 4)) AS step))
+"""
+
+
+@query("arima011_forecast", IMA + f"SELECT series_id, step, {r('forecast', 1)} AS forecast, {r('forecast - half', 1)} AS lower, {r('forecast + half', 1)} AS upper FROM fc", 1)
+def arima011_forecast(t):
+    return forecasting.arima_forecast(t.ev_user(), 0, 1, 1, 3).select(SERIES, "step", "forecast", "lower", "upper")
+
+
+@query("predict_groups_ima", IMA + f"SELECT series_id, step, {r('forecast', 1)} AS forecast, {r('forecast - half', 1)} AS lower FROM fc", 1)
+def predict_groups_ima(t):
+    p = forecasting.predict_groups(t.ev_user(), (0, 1, 1), 3)
+    z = F.posexplode_outer(F.arrays_zip("predictions", "lower_bound")).alias("at", "z")
+    return p.select(SERIES, z).select(SERIES, (F.col("at") + 1).cast("long").alias("step"), F.col("z.predictions").alias("forecast"),
+                                      F.col("z.lower_bound").alias("lower"))
+
+
+@query("predict_groups_ar", USER + AR1 + FORECAST)
+def predict_groups_ar(t):
+    p = forecasting.predict_groups(t.ev_user(), (1, 0, 0), STEPS)
+    z = F.posexplode_outer(F.arrays_zip("predictions", "lower_bound", "upper_bound")).alias("at", "z")
+    return p.select(SERIES, z).select(SERIES, (F.col("at") + 1).cast("long").alias("step"), F.col("z.predictions").alias("forecast"),
+                                      F.col("z.lower_bound").alias("lower"), F.col("z.upper_bound").alias("upper"))
+
+
+@query("fit_groups_ar", USER + AR1 + f"SELECT series_id, {r('phi')} AS phi_1, {r('ll')} AS log_likelihood, true AS success FROM f")
+def fit_groups_ar(t):
+    return estimation.fit_groups(t.ev_user(), (1, 0, 0)).select(SERIES, F.col("phi")[0].alias("phi_1"), "log_likelihood", "success")
+
+
+@query("model_fit_ar", USER + AR1 + f"SELECT series_id, {r('phi')} AS phi_1, {r('4 - 2 * ll')} AS aic FROM f")
+def model_fit_ar(t):
+    return estimation.model_fit(t.ev_user(), "AR", (1, 0, 0)).select(SERIES, F.col("phi")[0].alias("phi_1"), "aic")
+
+
+@query("model_fit_ma", ma1_search(USER) + f"SELECT series_id, {r('th', 3)} AS theta_1, {r('4 - 2 * ll', 3)} AS aic FROM f", 3)
+def model_fit_ma(t):
+    return estimation.model_fit(t.ev_user(), "MA", (0, 0, 1)).select(SERIES, F.col("theta")[0].alias("theta_1"), "aic")
+
+
+# AR orders 1 and 2 from the same sums, the first values of order 1 added
+AR_BOTH = AR1.replace("f0 AS", """l2 AS (SELECT *, lag(w, 2) OVER (PARTITION BY series_id ORDER BY idx) AS l2 FROM l),
+g2 AS (SELECT series_id, any_value(n) AS n, sum(l1 * l1) AS a, sum(l1 * l2) AS b, sum(l2 * l2) AS c, sum(w * l1) AS d, sum(w * l2) AS e, sum(w * w) AS s
+ FROM l2 WHERE idx >= 2 GROUP BY 1),
+h2 AS (SELECT series_id, n, (d * c - b * e) / (a * c - b * b) AS p1, (a * e - b * d) / (a * c - b * b) AS p2, s, d, e FROM g2),
+k2 AS (SELECT series_id, -n / 2.0 * (ln(2 * pi() * (s - p1 * d - p2 * e) / n) + 1) AS ll2 FROM h2),
+f0 AS""", 1)
+
+
+@query("parallel_model_selection_ar", USER + AR_BOTH + f"""SELECT series_id, CASE WHEN 4 - 2 * ll <= 6 - 2 * ll2 THEN 1 ELSE 2 END::BIGINT AS p,
+{r('least(4 - 2 * ll, 6 - 2 * ll2)')} AS aic FROM f JOIN k2 USING (series_id)""")
+def parallel_model_selection_ar(t):
+    """Orders (1, 0, 0) and (2, 0, 0): the best of all fits by AIC."""
+    return estimation.parallel_model_selection(t.ev_user(), 2, 0, 0)[1].select(SERIES, "p", "aic")
+
+
+@query("arma_order_grid_ar", USER + AR_BOTH + f"""SELECT series_id, CASE WHEN 2 * ln(n) - 2 * ll <= 3 * ln(n) - 2 * ll2 THEN 1 ELSE 2 END::BIGINT AS p,
+{r('least(2 * ln(n) - 2 * ll, 3 * ln(n) - 2 * ll2)')} AS bic FROM f JOIN k2 USING (series_id)""")
+def arma_order_grid_ar(t):
+    return estimation.arma_order_grid(t.ev_user(), 2, 0, "bic").select(SERIES, "p", "bic")
