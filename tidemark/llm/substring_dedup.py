@@ -187,11 +187,11 @@ def _windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         for part in common.slices(batches):
-            out = []
-            for doc, raw, spans, key in zip(part.column(0).to_pylist(), common.raw_texts(part), part.column(2).to_pylist(), part.column(3).to_pylist()):
-                words = words_of([raw])
+            out, (hashes, counts) = [], common.hash_words(common.raw_texts(part))
+            edges = np.cumsum(np.concatenate([[0], counts])).tolist()
+            for doc, a, b, spans, key in zip(part.column(0).to_pylist(), edges[:-1], edges[1:], part.column(2).to_pylist(), part.column(3).to_pylist()):
                 at = np.unique(np.concatenate([np.arange(s["first"], s["first"] + s["count"]) for s in spans]))
-                mixed = common.mix(words.hashes)
+                mixed = common.mix(hashes[a:b])
                 one, two = (r.digest(r.sums(mixed), at, at + window) for r in (_WIDE, _OTHER))
                 out.append((one, two, np.full(len(at), doc), np.full(len(at), key), at))
             one, two, doc, key, at = (np.concatenate(c) for c in zip(*out))
