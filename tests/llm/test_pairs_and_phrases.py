@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from tidemark.llm import common, hard_negatives, minhash, phrases, substring_dedup
+from tidemark.llm import common, exact_dedup, hard_negatives, minhash, phrases, substring_dedup
 
 PROSE = "the quick brown fox jumps over the lazy dog and runs far away from all that noise today".split()
 
@@ -317,3 +317,20 @@ def test_word_hashes():
     assert counts.tolist() == [len(r.split()) for r in raws]
     assert hashes.tolist() == [xxhash.xxh64_intdigest(w) for r in raws for w in r.split()]
     assert [len(x) for x in common.hash_words([])] == [0, 0]
+
+
+# ------------------------------------------------------------------ removal from the exact index
+
+def test_index_counts_what_it_removes(spark):
+    """Removing some rows of a class leaves the others; the last one takes the class along, and shards may end empty."""
+    rows = [(1, "a"), (2, "a"), (2, "a"), (3, "b"), (None, "c"), (4, "c"), (5, "d")]
+    found = lambda some: exact_dedup.digests(spark.createDataFrame(some, "doc_id long, text string"))
+    state = lambda index: {(r.keep_id, r.group_size) for r in exact_dedup.live(index).collect()}
+    index = common.durable(exact_dedup.build(found(rows), 3))
+    assert state(index) == {(1, 3), (3, 1), (4, 2), (5, 1)}
+    gone, left = rows[:1] + rows[3:4] + rows[5:6], rows[1:3] + rows[4:5] + rows[6:]
+    less = common.durable(exact_dedup.update(index, found(gone), 3, remove=True, left=found(left)))
+    assert state(less) == {(2, 2), (None, 1), (5, 1)}
+    none = common.durable(exact_dedup.update(less, found(left), 3, remove=True))
+    assert state(none) == set() and state(exact_dedup.update(none, found(rows), 3)) == state(index)
+    assert state(exact_dedup.update(index, found(gone), 3, remove=True)) == {(None, 2), (None, 1), (5, 1)}

@@ -99,6 +99,25 @@ class CuckooIndex:
         self.prints[slot], self.stored[slot] = 0, None
         return True
 
+    def take(self, digest: bytes, keep_id: int, size: int) -> bool:
+        """Take off ``size`` rows of a digest, the smallest of them ``keep_id``; at none left it goes.  True if it was live.
+
+        Where the row that stayed is among them, the digest has no row to name (``NO_ID``) until ``name`` gives it one.
+        """
+        slot = self.find(digest)
+        if slot < 0:
+            return False
+        _, old_id, old_size = self.stored[slot]
+        if old_size <= size:
+            return self.delete(digest)
+        self.stored[slot] = (digest, NO_ID if keep_id <= old_id else old_id, old_size - size)
+        return True
+
+    def name(self, digest: bytes, keep_id: int) -> None:
+        slot = self.find(digest)
+        if slot >= 0 and self.stored[slot][1] == NO_ID:
+            self.stored[slot] = (digest, keep_id, self.stored[slot][2])
+
     def live(self) -> list[tuple[bytes, int, int]]:
         return [x for x in self.stored if x]
 
@@ -163,24 +182,36 @@ def build(found: DataFrame, shards: int) -> DataFrame:
     return _to_shards(found, shards).groupBy("shard").applyInPandas(shard, INDEX_SCHEMA)
 
 
-def update(index: DataFrame, found: DataFrame, shards: int, remove: bool = False) -> DataFrame:
-    """The index after the digests of ``found`` were inserted, or deleted; ``shards`` as at ``build``."""
+def _changed(index: DataFrame, found: DataFrame, shards: int, change) -> DataFrame:
     def shard(key, held, rows):
         now = CuckooIndex.read(next(held.itertuples())) if len(held) else CuckooIndex()
         for digest, keep_id, size in zip(rows["digest"], rows["keep_id"].tolist(), rows["size"].tolist()):
-            now.delete(digest) if remove else now.insert(digest, keep_id, size)
+            change(now, digest, keep_id, size)
         return now.row(int(key[0]))
     return index.groupBy("shard").cogroup(_to_shards(found, shards).groupBy("shard")).applyInPandas(shard, INDEX_SCHEMA)
 
 
+def update(index: DataFrame, found: DataFrame, shards: int, remove: bool = False, left: DataFrame | None = None) -> DataFrame:
+    """The index after the rows of ``found(doc_id, text_sha256)`` were inserted, or removed; ``shards`` as at ``build``.
+
+    Removal takes rows off a digest's count, and the digest goes with its last row.  A digest that lost the row that stayed takes
+    the smallest doc_id of ``left``, the rows still there; without ``left`` it has none.
+    """
+    if not remove:
+        return _changed(index, found, shards, lambda now, digest, keep_id, size: now.insert(digest, keep_id, size))
+    out = _changed(index, found, shards, lambda now, digest, keep_id, size: now.take(digest, keep_id, size))
+    return out if left is None else _changed(out, left, shards, lambda now, digest, keep_id, size: now.name(digest, keep_id))
+
+
 def live(index: DataFrame) -> DataFrame:
     """``text_sha256, keep_id, group_size`` of every live digest."""
     def run(parts):
         for part in parts:
             for row in part.itertuples():
                 items = CuckooIndex.read(row).live()
-                yield pd.DataFrame({"text_sha256": [x[0].hex() for x in items], "keep_id": [x[1] for x in items],
-                                    "group_size": [x[2] for x in items]})
+                if items:
+                    yield pd.DataFrame({"text_sha256": [x[0].hex() for x in items], "keep_id": [x[1] for x in items],
+                                        "group_size": [x[2] for x in items]})
     out = index.mapInPandas(run, "text_sha256 string, keep_id long, group_size long")
     return out.withColumn("keep_id", F.nullif("keep_id", F.lit(NO_ID)))
 
