@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import layout
 from tidemark.functions.guards import div
-from tidemark.functions.probability import normal_quantile
+from tidemark.functions.probability import normal_quantile, z_value
 from tidemark.layout import BY, IDX, VALUE
 from tidemark.operators import correlation, forecasting
 from tidemark.operators.diagnostics import R, TINY
@@ -64,11 +64,11 @@ def forecast_comparison_table(pairs: DataFrame, by=BY) -> DataFrame:
 
 
 def fan_bands(fits: DataFrame, steps: int = 12, by=BY) -> DataFrame:
-    """Point forecast with 50 % and 80 % bands."""
-    wide = forecasting.model_forecast(fits, steps, 0.2, by)
-    narrow = forecasting.model_forecast(fits, steps, 0.5, by)
-    return (wide.withColumnsRenamed({"lower": "lower_80", "upper": "upper_80"})
-            .join(narrow.drop("forecast").withColumnsRenamed({"lower": "lower_50", "upper": "upper_50"}), [*by, "step"]))
+    """Point forecast with 50 % and 80 % bands: one forecast, its band narrowed."""
+    wide = forecasting.model_forecast(fits, steps, 0.2, by).withColumnsRenamed({"lower": "lower_80", "upper": "upper_80"})
+    share = z_value(0.5) / z_value(0.2)
+    inner = lambda c: F.col("forecast") + (F.col(c) - F.col("forecast")) * share
+    return wide.withColumns({"lower_50": inner("lower_80"), "upper_50": inner("upper_80")})
 
 
 def aicc_heatmap(fits: DataFrame, max_q: int, by=BY) -> DataFrame:

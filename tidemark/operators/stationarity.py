@@ -156,10 +156,10 @@ def stationarity(df: DataFrame, regression: str = "c", max_lags: int | None = No
     return both.withColumn("is_stationary", F.col("adf_stationary") & F.col("kpss_stationary"))
 
 
-def choose_d(df: DataFrame, d_max: int = 2, regression: str = "c", by=BY, bounded: bool = False) -> DataFrame:
+def choose_d(df: DataFrame, d_max: int = 2, regression: str = "c", by=BY, bounded: bool = False, max_lags: int | None = None) -> DataFrame:
     """Smallest d whose differenced series passes both tests, else ``d_max``: all d in one job."""
     ladder = difference_ladder(df, d_max, by, bounded)
-    tests = stationarity(ladder, regression, by=(*by, "d"))
+    tests = stationarity(ladder, regression, max_lags, by=(*by, "d"))
     return tests.groupBy(*by).agg(
         F.coalesce(F.min(F.when(F.col("is_stationary"), F.col("d"))), F.lit(d_max)).cast("long").alias("d"))
 

@@ -166,6 +166,18 @@ def choose_d(t):
     return stationarity.choose_d(t.ev_user())
 
 
+_ONCE = USER.replace("c AS (SELECT *, y - avg(y)", "d AS (SELECT series_id, t, y - lag(y) OVER (PARTITION BY series_id ORDER BY idx) AS y, idx - 1 AS idx, n - 1 AS n FROM s QUALIFY idx >= 0),\nc AS (SELECT *, y - avg(y)").replace("AS mean FROM s)", "AS mean FROM d)")
+_BOTH = KPSS + ADF0 + "SELECT series_id, stat < -2.86 AND k < 0.463 AS ok FROM adf JOIN kp USING (series_id)"
+
+
+@query("choose_d_without_lags", f"""SELECT series_id, CASE WHEN a.ok THEN 0 WHEN b.ok THEN 1 ELSE 2 END::BIGINT AS d
+FROM ({_BOTH}) a JOIN ({_BOTH.replace(USER, _ONCE)}) b USING (series_id)""")
+def choose_d_without_lags(t):
+    """ADF without lags, so that SQL can follow; walks of the values need a difference."""
+    walks = t.ev_user()
+    return stationarity.choose_d(walks, 2, max_lags=0)
+
+
 ROOTS = rho_sql(2, USER) + """, k AS (SELECT series_id, 3 * max(r) FILTER (lag = 1) AS a, 3 * max(r) FILTER (lag = 2) AS b FROM rho GROUP BY 1)
 """
 
