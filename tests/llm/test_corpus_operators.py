@@ -143,7 +143,10 @@ def test_index_update(spark, docs):
     index = common.durable(exact_dedup.build(found, 2))
     more = common.durable(exact_dedup.update(index, found, 2))
     assert {r["group_size"] for r in exact_dedup.live(more).collect()} == {2 * r["group_size"] for r in exact_dedup.live(index).collect()}
-    assert exact_dedup.live(exact_dedup.update(more, found.where("doc_id < 8"), 2, remove=True)).count() < exact_dedup.live(index).count()
+    # every row is in twice: taking some off once leaves their digests, taking them off twice does not
+    once = common.durable(exact_dedup.update(more, found.where("doc_id < 8"), 2, remove=True))
+    assert exact_dedup.live(once).count() == exact_dedup.live(index).count()
+    assert exact_dedup.live(exact_dedup.update(once, found.where("doc_id < 8"), 2, remove=True)).count() < exact_dedup.live(index).count()
 
 
 def test_near_groups(spark, docs, small):
