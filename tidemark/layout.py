@@ -84,12 +84,12 @@ HEADER = -1  # position of the row that carries a group's parameters
 
 
 def map_groups(rows: DataFrame, headers: DataFrame, by, each, schema: T.StructType) -> DataFrame:
-    """``each(key, header, frame)`` -> frame or list of rows, for every group, ordered by position.
+    """``each(groups)`` -> frame, for the groups that end in one batch: ``(key, header, columns)`` of each, ordered by position.
 
     ``headers`` has one row of parameters per group; it travels as a row before the first position.
     Partitions are sorted by group and read as a stream, so there is no per-group call between the JVM
-    and Python and no more than one group in memory.  ``header`` or ``frame`` is None where a side lacks
-    the group.
+    and Python, no frame per group, and no more than one batch and one group in memory.  ``columns`` are arrays by name; ``header``
+    or ``columns`` is None where a side lacks the group.
     """
     extra = [f for f in headers.schema.fields if f.name not in by]
     own = [f for f in rows.schema.fields if f.name not in by and f.name != IDX]
@@ -97,40 +97,40 @@ def map_groups(rows: DataFrame, headers: DataFrame, by, each, schema: T.StructTy
                           *[F.col(f.name).alias(f"_h_{f.name}") for f in extra])
     data = rows.select(*by, IDX, *[f.name for f in own], *[F.lit(None).cast(f.dataType).alias(f"_h_{f.name}") for f in extra])
     together = for_tasks(data.unionByName(head), by).sortWithinPartitions(*by, IDX)
-    by, names, params = list(by), schema.names, [f.name for f in extra]
+    by, names, params, held = list(by), schema.names, [f.name for f in extra], [IDX, *[f.name for f in own]]
 
-    def finish(key, parts):
-        frame = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-        header = None
-        if frame[IDX].iat[0] == HEADER:
-            header = {n: frame[f"_h_{n}"].iat[0] for n in params}
-            frame = frame.iloc[1:]
-        out = each(key, header, frame if len(frame) else None)
-        return out if isinstance(out, pd.DataFrame) else pd.DataFrame(out, columns=names)
+    def closed(key, header, parts):
+        if len(parts) > 1:
+            parts = [{c: np.concatenate([part[c] for part in parts]) for c in held}]
+        return key, header, parts[0] if parts else None
 
     def run(batches):
-        key, parts = None, []
+        key, header, parts = None, None, []
         for batch in batches:
             n = len(batch)
             if n == 0:
                 continue
-            new = np.zeros(n, dtype=bool)
-            for k in by:
-                column = batch[k].to_numpy()
+            ids, columns = [batch[k].to_numpy() for k in by], {c: batch[c].to_numpy() for c in held}
+            given = {c: batch[f"_h_{c}"].to_numpy() for c in params}
+            new, heads = np.zeros(n, dtype=bool), columns[IDX] == HEADER
+            for column in ids:
                 new[1:] |= column[1:] != column[:-1]
             edges = [0, *np.flatnonzero(new).tolist(), n]
             done = []
             for a, b in zip(edges[:-1], edges[1:]):
-                here = tuple(batch[k].iat[a] for k in by)
-                if parts and here != key:
-                    done.append(finish(key, parts))
-                    parts = []
+                here = tuple(column[a] for column in ids)
+                if here != key and key is not None:
+                    done.append(closed(key, header, parts))
+                    header, parts = None, []
                 key = here
-                parts.append(batch.iloc[a:b])
+                if heads[a]:
+                    header, a = {c: v[a] for c, v in given.items()}, a + 1
+                if a < b:
+                    parts.append({c: v[a:b] for c, v in columns.items()})
             if done:
-                yield pd.concat(done, ignore_index=True)[names]
-        if parts:
-            yield finish(key, parts)[names]
+                yield each(done)[names]
+        if key is not None:
+            yield each([closed(key, header, parts)])[names]
 
     return together.mapInPandas(run, schema)
 

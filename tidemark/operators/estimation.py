@@ -46,17 +46,20 @@ def minimum(p: int, d: int, q: int, min_obs) -> int:
     return max(p + d + q + 10, 30) if min_obs is None else min_obs
 
 
-def _fit_group(by, min_obs, constant):
-    def fit(key, header, frame):
+def _fit_groups(by, min_obs, constant):
+    names = [*by, *FIT_NAMES]
+
+    def fit(groups):
         rows = []
-        if header is None:
-            return rows
-        y = np.zeros(0) if frame is None else frame[VALUE].to_numpy(dtype=float)
-        flat = [int(v) for v in header["orders"]]
-        for p, d, q in zip(flat[::3], flat[1::3], flat[2::3]):
-            row = kernels.fit_order(y, p, d, q, minimum(p, d, q, min_obs), constant)
-            rows.append([*key, *[row[c] for c in FIT_NAMES]])
-        return rows
+        for key, header, columns in groups:
+            if header is None:
+                continue
+            y = np.zeros(0) if columns is None else columns[VALUE].astype(float)
+            flat = [int(v) for v in header["orders"]]
+            for p, d, q in zip(flat[::3], flat[1::3], flat[2::3]):
+                row = kernels.fit_order(y, p, d, q, minimum(p, d, q, min_obs), constant)
+                rows.append([*key, *[row[c] for c in FIT_NAMES]])
+        return pd.DataFrame(rows, columns=names)
 
     return fit
 
@@ -79,7 +82,7 @@ def fit_orders(df: DataFrame, orders, by=BY, min_obs=GROUP_MIN, bounded: bool =
 
     def grouped(rows, wanted):
         listed = wanted.groupBy(*by).agg(F.flatten(F.array_sort(F.collect_list(F.array("p", "d", "q")))).alias("orders"))
-        return layout.map_groups(rows.select(*by, IDX, VALUE), listed, by, _fit_group(by, min_obs, constant), fit_schema(s, by))
+        return layout.map_groups(rows.select(*by, IDX, VALUE), listed, by, _fit_groups(by, min_obs, constant), fit_schema(s, by))
 
     if not layout.has_chunks(s):
         return grouped(s, specs)

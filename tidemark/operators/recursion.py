@@ -4,7 +4,8 @@ The moving-average recursion runs through the whole series.  Short series are fi
 task each.  In a chunked layout every chunk is filtered alone from zero, which shows what it does to the state it
 starts from: an affine map, a small matrix and a vector.  Maps of neighbours compose, so a prefix scan gives every chunk its true
 start: blocks of ``FAN`` maps are composed level by level on the way up, and states are handed to the children on the way
-down.  No group holds more than ``FAN`` chunks or blocks of a series, up to FAN^3 chunks.  A second pass then filters each chunk from its true state.
+down.  No group holds more than ``FAN`` chunks or blocks of a series, up to FAN^3 chunks.  Series of one chunk start from zeros and are not
+scanned.  A second pass then filters each chunk from its true state.
 """
 
 from __future__ import annotations
@@ -33,21 +34,15 @@ def ar_residuals(df: DataFrame, fits: DataFrame, order: int, by=BY, bounded: boo
     return rows.select(*layout.keys(s, by), IDX, VALUE, e.alias("residual"), (F.col(VALUE) - e).alias("fitted"))
 
 
-def _inputs(pdf: pd.DataFrame, phi, theta, lags: int):
+def _inputs(columns: dict, phi, theta, lags: int):
     """The filter input of one ordered piece: y minus its autoregression, 0 at the series start."""
-    w = pdf["_w"].to_numpy(dtype=float)
-    past = pdf[[f"lag_{k}" for k in range(1, lags + 1)]].to_numpy(dtype=float) if lags else np.zeros((len(w), 0))
-    past = np.nan_to_num(past[:, :len(phi)])
-    u = w - past @ phi if len(phi) else w.copy()
-    u[pdf[IDX].to_numpy() < max(len(phi), len(theta))] = 0.0
+    u = columns["_w"].astype(float)
+    for k in range(1, min(lags, len(phi)) + 1):
+        u = u - np.nan_to_num(columns[f"lag_{k}"].astype(float)) * phi[k - 1]
+    u[columns[IDX] < max(len(phi), len(theta))] = 0.0
     return u
 
 
-def _params(prm: pd.DataFrame):
-    row = prm.iloc[0]
-    return np.asarray(row["phi"], dtype=float), np.asarray(row["theta"], dtype=float)
-
-
 FAN = 256
 LEVELS = 2
 _MAP = [T.StructField("move", T.ArrayType(T.DoubleType())), T.StructField("shift", T.ArrayType(T.DoubleType()))]
@@ -55,20 +50,20 @@ _MAP = [T.StructField("move", T.ArrayType(T.DoubleType())), T.StructField("shift
 
 def _chunk_map(keys, lags):
     """What a chunk does to the filter state (newest value first): ``state -> move @ state + shift``."""
-    names = [*keys, "move", "shift"]
-
-    def piece(pdf: pd.DataFrame, prm: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty or prm.empty:
-            return pd.DataFrame(columns=names)
-        pdf = pdf.sort_values(IDX)
-        phi, theta = _params(prm)
-        q = len(theta)
-        e = np.concatenate([np.zeros(q), kernels.ma_filter(_inputs(pdf, phi, theta, lags), theta)])
-        step = np.eye(q, k=-1)
-        step[:1] = -theta
-        move = np.linalg.matrix_power(step, len(pdf)) if q else step
-        return pd.DataFrame([[*[prm.iloc[0][k] for k in keys], move.ravel().tolist(), e[::-1][:q].tolist()]], columns=names)
-    return piece
+    def maps(groups):
+        out = []
+        for key, header, columns in groups:
+            if header is None or columns is None:
+                continue
+            phi, theta = [np.asarray(header[n], dtype=float) for n in ("phi", "theta")]
+            q = len(theta)
+            e = np.concatenate([np.zeros(q), kernels.ma_filter(_inputs(columns, phi, theta, lags), theta)])
+            step = np.eye(q, k=-1)
+            step[:1] = -theta
+            move = np.linalg.matrix_power(step, len(columns[IDX])) if q else step
+            out.append([*key, move.ravel().tolist(), e[::-1][:q].tolist()])
+        return pd.DataFrame(out, columns=[*keys, "move", "shift"])
+    return maps
 
 
 def _maps(pdf: pd.DataFrame):
@@ -120,25 +115,34 @@ def scan_states(maps: DataFrame, by) -> DataFrame:
 
 
 def _filtered(keys, lags):
-    names = [*keys, IDX, VALUE, "residual"]
-
-    def piece(key, header, frame):
-        if header is None or frame is None:
-            return []
-        phi, theta, start = [np.asarray(header[n], dtype=float) for n in ("phi", "theta", "start")]
-        e = kernels.ma_filter(_inputs(frame, phi, theta, lags), theta, start if len(start) else None)
-        return frame[names[:-1]].assign(residual=e)
-
-    return piece
+    def pieces(groups):
+        groups = [g for g in groups if g[1] is not None and g[2] is not None]
+        if not groups:
+            return pd.DataFrame(columns=[*keys, IDX, VALUE, "residual"])
+        found = []
+        for _, header, columns in groups:
+            phi, theta, start = [np.asarray(header[n], dtype=float) for n in ("phi", "theta", "start")]
+            found.append(kernels.ma_filter(_inputs(columns, phi, theta, lags), theta, start if len(start) else None))
+        sizes = [len(e) for e in found]
+        named = {k: pd.Series([key[i] for key, _, _ in groups]).repeat(sizes).to_numpy() for i, k in enumerate(keys)}
+        return pd.DataFrame({**named, **{c: np.concatenate([columns[c] for _, _, columns in groups]) for c in (IDX, VALUE)},
+                             "residual": np.concatenate(found)})
+
+    return pieces
 
 
 def start_states(rows: DataFrame, params: DataFrame, lags: int, by) -> DataFrame:
-    """Filter state each chunk has to start from: ``params`` per chunk plus ``start``."""
+    """Filter state each chunk has to start from: ``params`` per chunk plus ``start``.
+
+    A series of one chunk (``_end`` is 0) starts from zeros and takes no part in the scan, so the scan's work goes with the
+    number of full chunks, not with that of series.
+    """
     keys = [*by, CHUNK]
     schema = T.StructType([*[rows.schema[k] for k in keys], *_MAP])
     # written once: the scan reads the maps on its way up and on its way down
-    maps = layout.durable(rows.groupBy(*keys).cogroup(layout.fresh(params).groupBy(*keys)).applyInPandas(_chunk_map(keys, lags), schema))
-    return params.join(scan_states(maps, by), keys)
+    maps = layout.durable(layout.map_groups(rows.filter("_end > 0").drop("_end", VALUE), params.filter("_end > 0").select(*keys, "phi", "theta"),
+                                            keys, _chunk_map(keys, lags), schema))
+    return params.join(scan_states(maps, by), keys, "left").withColumn("start", F.coalesce("start", F.array().cast("array<double>")))
 
 
 def arma_residuals(df: DataFrame, fits: DataFrame, max_p: int = 5, by=BY, bounded: bool = False) -> DataFrame:
@@ -147,22 +151,22 @@ def arma_residuals(df: DataFrame, fits: DataFrame, max_p: int = 5, by=BY, bounde
     The series has to be on the scale of the fit (already differenced); ``max_p`` bounds the AR orders.
     """
     s = layout.with_index(df, by, bounded=bounded)
-    keys = layout.keys(s, by)
+    keys, end = layout.keys(s, by), []
     good = fits.filter(F.col("phi").isNotNull()).select(*by, "phi", "theta", "mean")
     if layout.has_chunks(s):
-        last = s.groupBy(*by).agg(F.max(IDX).alias("_last"))
-        params = (good.join(last, [*by]).withColumn(CHUNK, F.explode(F.sequence(
-            F.lit(0).cast("long"), F.expr(f"_last div {layout.chunk_rows(s)}")))).drop("_last"))
-        s = s.join(params.select(*keys, "mean"), keys)
+        last = s.groupBy(*by).agg(F.expr(f"max({IDX}) div {layout.chunk_rows(s)}").alias("_end"))
+        params = good.join(last, [*by]).withColumn(CHUNK, F.explode(F.sequence(F.lit(0).cast("long"), "_end")))
+        end = ["_end"]
+        s = s.join(params.select(*keys, "mean", *end), keys)
     else:
         params = good.withColumn("start", F.array().cast("array<double>"))
         s = s.join(good.select(*by, "mean"), [*by])
     rows = layout.with_lags(s.withColumn("_w", F.col(VALUE) - F.col("mean")).drop("mean"), "_w", max_p, by)
-    rows = rows.select(*keys, IDX, VALUE, "_w", *[f"lag_{k}" for k in range(1, max_p + 1)])
+    rows = rows.select(*keys, IDX, VALUE, "_w", *end, *[f"lag_{k}" for k in range(1, max_p + 1)])
     if layout.has_chunks(s):
         params = start_states(rows, params, max_p, by)
     schema = T.StructType([rows.schema[c] for c in (*keys, IDX, VALUE)] + [T.StructField("residual", T.DoubleType())])
-    out = layout.map_groups(rows, params.select(*keys, "phi", "theta", "start"), keys, _filtered(keys, max_p), schema)
+    out = layout.map_groups(rows.drop(*end), params.select(*keys, "phi", "theta", "start"), keys, _filtered(keys, max_p), schema)
     return out.withColumn("fitted", F.col(VALUE) - F.col("residual"))
 
 
