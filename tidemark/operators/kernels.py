@@ -38,6 +38,18 @@ def _impulse(theta, size: int) -> list:
     return h
 
 
+@lru_cache(maxsize=16)
+def _response(theta: tuple, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Toeplitz matrix of the impulse response, and what the last values before a block do to it."""
+    q = len(theta)
+    impulse = np.power(-theta[0], np.arange(size)) if q == 1 else _impulse(theta, size)
+    toeplitz = np.append(impulse, 0.0)[_lag_index(size)]
+    inflow = np.zeros((q, q))
+    for i in range(q):
+        inflow[i, :q - i] = [-v for v in theta[i:]]
+    return toeplitz, toeplitz[:, :q] @ inflow
+
+
 def ma_filter(u: np.ndarray, theta: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
     """x_t = u_t - sum_j theta_j x_{t-j} for every column of ``u``; ``state[k]`` is x_{-1-k}.
 
@@ -52,12 +64,7 @@ def ma_filter(u: np.ndarray, theta: np.ndarray, state: np.ndarray | None = None)
     if q == 0 or n == 0:
         return u[:, 0].copy() if flat else u.copy()
     size = max(q, min(BLOCK, n))
-    th = [float(v) for v in theta]
-    toeplitz = np.array(_impulse(th, size) + [0.0])[_lag_index(size)]
-    inflow = np.zeros((q, q))
-    for i in range(q):
-        inflow[i, :q - i] = [-v for v in th[i:]]
-    carry = toeplitz[:, :q] @ inflow
+    toeplitz, carry = _response(tuple(float(v) for v in theta), size)
     blocks = -(-n // size)
     padded = np.zeros((blocks * size, m))
     padded[:n] = u
@@ -127,6 +134,9 @@ def coordinates(beta: np.ndarray, p: int) -> np.ndarray:
 
 def parameters(r: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
     """``phi, theta`` in one array, and their derivatives by the coordinates."""
+    if p <= 1 and len(r) - p <= 1:  # one coefficient is its own partial autocorrelation
+        sign = np.where(np.arange(len(r)) < p, 1.0, -1.0)
+        return sign * r, np.diag(sign)
     (phi, by_phi), (theta, by_theta) = coefficients(r[:p]), coefficients(r[p:])
     slope = np.zeros((len(r), len(r)))
     slope[:p, :p], slope[p:, p:] = by_phi, -by_theta
@@ -148,9 +158,35 @@ def _start(w: np.ndarray, p: int, q: int) -> np.ndarray:
     return np.linalg.lstsq(x[skip:], w[skip:], rcond=None)[0]
 
 
+def _solved(system: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Solution of a symmetric system; the general solver is called for only where a closed form does not do."""
+    if len(target) == 1 and system[0, 0] > 0:
+        return target / system[0, 0]
+    if len(target) == 2:
+        (a, b), (_, d) = system.tolist()
+        x, y = target.tolist()
+        determinant = a * d - b * b
+        if a > 0 and determinant > 1e-10 * a * d:
+            return np.array([(d * x - b * y) / determinant, (a * y - b * x) / determinant])
+    return np.linalg.lstsq(system, target, rcond=None)[0]
+
+
+def _least_eigenvalue(m: np.ndarray) -> float:
+    if len(m) == 1:
+        return float(m[0, 0])
+    if len(m) == 2:
+        (a, b), (_, d) = m.tolist()
+        return (a + d) / 2.0 - math.hypot((a - d) / 2.0, b)
+    return float(np.linalg.eigvalsh(m)[0])
+
+
 def boxed_step(best: np.ndarray, normal: np.ndarray, slope: np.ndarray, damp: float) -> np.ndarray:
     """The damped Gauss-Newton step over the box of ``LIMIT``: coordinates that meet a side stay on it."""
     system = normal + damp * np.diag(np.maximum(np.diag(normal), 1e-12))
+    wished = _solved(system, -slope)
+    inside = best + wished
+    if (np.abs(inside) < LIMIT).all() and (np.abs(best) < LIMIT).all():
+        return wished
     fixed = ((best >= LIMIT) & (slope < 0)) | ((best <= -LIMIT) & (slope > 0))
     move = np.zeros(len(best))
     for _ in range(len(best)):
@@ -158,7 +194,7 @@ def boxed_step(best: np.ndarray, normal: np.ndarray, slope: np.ndarray, damp: fl
         if not len(free):
             break
         held = np.flatnonzero(fixed)
-        wished = np.linalg.lstsq(system[np.ix_(free, free)], -slope[free] - system[np.ix_(free, held)] @ move[held], rcond=None)[0]
+        wished = _solved(system[np.ix_(free, free)], -slope[free] - system[np.ix_(free, held)] @ move[held])
         move[free] = np.clip(wished, -LIMIT - best[free], LIMIT - best[free])
         out = free[move[free] != wished]
         if not len(out):
@@ -176,7 +212,7 @@ def free_gain(best: np.ndarray, normal: np.ndarray, slope: np.ndarray) -> float:
     """What the undamped step promises over the coordinates that no side of the box holds back: 0 at a minimum over the box."""
     free = ~(((best >= LIMIT) & (slope < 0)) | ((best <= -LIMIT) & (slope > 0)))
     g = slope[free]
-    return float(g @ np.linalg.lstsq(normal[np.ix_(free, free)], g, rcond=None)[0]) if len(g) else 0.0
+    return float(g @ _solved(normal[np.ix_(free, free)], g)) if len(g) else 0.0
 
 
 def local_model(best: np.ndarray, gram: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +237,7 @@ def _bent(bend: np.ndarray, move: np.ndarray, turn: np.ndarray, normal: np.ndarr
 def curvature(normal: np.ndarray, bend: np.ndarray) -> np.ndarray:
     """The normal matrix with its bend, where that is still a minimum's; else without."""
     whole = normal + bend
-    return whole if np.linalg.eigvalsh(whole)[0] > 1e-8 * np.trace(normal) / len(normal) else normal
+    return whole if _least_eigenvalue(whole) > 1e-8 * np.trace(normal) / len(normal) else normal
 
 
 def _model(best, gram, bend, p):
@@ -253,10 +289,12 @@ def advance(trial, best, rss, gram, damp, bend, base, new, p):
     else:
         damp = max(damp * 8.0, 1e-6)
     curve, slope = _model(best, gram, bend, p)
-    while damp <= MOST_DAMPING and gain(boxed_step(best, curve, slope, damp), curve, slope) <= 0:
+    step = boxed_step(best, curve, slope, damp)
+    while damp <= MOST_DAMPING and gain(step, curve, slope) <= 0:
         damp = max(damp * 8.0, 1e-6)  # the sides cut this step into a worse one
-    done = settled(best, gram, bend, rss, p) or damp > MOST_DAMPING
-    return proposal(best, gram, bend, damp, p), best, rss, gram, damp, bend, done, taken
+        step = boxed_step(best, curve, slope, damp)
+    done = free_gain(best, curve, slope) < TOLERANCE * rss or damp > MOST_DAMPING
+    return np.clip(best + step, -LIMIT, LIMIT), best, rss, gram, damp, bend, done, taken
 
 
 def _rss(w, beta, p):
