@@ -304,6 +304,40 @@ def _rss(w, beta, p):
     return (r if math.isfinite(r) else math.inf), e
 
 
+#: Moving-average coefficients from side to side of the box, closer together towards the sides, where sums of squares bend most.
+VALLEY_GRID = LIMIT * np.sin(np.linspace(-np.pi / 2, np.pi / 2, 97))
+
+
+def _ma1_sums(w: np.ndarray, thetas: np.ndarray) -> np.ndarray:
+    """Sum of squares of the MA(1) residuals for each of ``thetas``."""
+    e, rss = np.zeros(len(thetas)), np.zeros(len(thetas))
+    for value in w[1:].tolist():
+        e = value - thetas * e
+        rss += e * e
+    return rss
+
+
+def _ma1_descend(w: np.ndarray):
+    """The lowest end of the descents from all local minima of a grid: the sum of squares of an MA(1) can have several.
+
+    A descent that crawls (the curvature all but vanishes on its way) gives way to ever finer grids between the neighbours of its start.
+    """
+    rss, found = _ma1_sums(w, VALLEY_GRID), []
+    edged = np.concatenate([[np.inf], rss, [np.inf]])
+    for i in np.flatnonzero((rss <= edged[:-2]) & (rss <= edged[2:])):
+        end = _descend(w, 0, -VALLEY_GRID[i:i + 1])
+        if not end[-1]:
+            low, high = VALLEY_GRID[max(i - 1, 0)], VALLEY_GRID[min(i + 1, len(VALLEY_GRID) - 1)]
+            while high - low > 1e-9:
+                fine = np.linspace(low, high, 33)
+                at = int(np.argmin(_ma1_sums(w, fine)))
+                low, high = fine[max(at - 1, 0)], fine[min(at + 1, 32)]
+            other = _descend(w, 0, -fine[at:at + 1])
+            end = (*other[:-1], True) if other[1] <= end[1] else end
+        found.append(end)
+    return min(found, key=lambda f: f[1]) if found else _descend(w, 0, np.zeros(1))
+
+
 def _descend(w: np.ndarray, p: int, trial: np.ndarray):
     """``best, rss, gram, bend, residuals, done`` of the descent from one point."""
     best, rss, gram, damp, bend, kept, base = None, math.inf, None, 1e-6, no_bend(len(trial)), w, float(w @ w)
@@ -331,8 +365,11 @@ def css_fit(w: np.ndarray, p: int, q: int):
         rss, e = _rss(w, beta, p)
         inverse = np.linalg.pinv(x.T @ x, hermitian=True)
         return beta, beta[:0], rss, e, np.sqrt(np.maximum(np.diag(inverse), 0) * rss / n), True
-    best, rss, gram, bend, kept, done = _descend(w, p, coordinates(_start(w, p, q), p))
-    if (np.abs(best) >= LIMIT).any():  # an end on a side of the box need not be the lowest: once more, from inside
+    if k == 1:
+        best, rss, gram, bend, kept, done = _ma1_descend(w)
+    else:
+        best, rss, gram, bend, kept, done = _descend(w, p, coordinates(_start(w, p, q), p))
+    if k > 1 and (np.abs(best) >= LIMIT).any():  # an end on a side of the box need not be the lowest: once more, from inside
         other = _descend(w, p, 0.5 * best)
         if other[-1] and other[1] < rss * (1.0 - 1e-9):
             best, rss, gram, bend, kept, done = other
@@ -373,7 +410,7 @@ def fit_order(y: np.ndarray, p: int, d: int, q: int, min_obs: int, constant: boo
         if n <= p + q + 1:
             row["error"] = f"series too short after differencing: {n}"
             return row
-        mean = float(z.mean()) if constant else 0.0
+        mean = math.fsum(z) / n if constant else 0.0
         w = z - mean
         if p + q == 0:
             phi = theta = se = np.zeros(0)
