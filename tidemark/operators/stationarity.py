@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tidemark import layout
 from tidemark.functions.guards import div, let
 from tidemark.layout import BY, IDX, VALUE
-from tidemark.operators.regression import product_sums, solve, square
+from tidemark.operators.regression import grams, solve_many, squares
 from tidemark.operators.shaping import difference_ladder
 
 # Critical values at 1 %, 5 %, 10 %.
@@ -31,44 +31,53 @@ def _design(past, now, trend, base: str):
     return [*terms, past[0], *steps, now - past[0]]
 
 
+def _adf_stats(gram: np.ndarray, h: np.ndarray, known: np.ndarray, m: np.ndarray, base: str, limit: int, choose: bool):
+    """Statistics and lags of many groups; ``h``: first values of each (``known`` of them), ``m``: lengths (4 at least)."""
+    fixed, size = {"n": 0, "c": 1, "ct": 2}[base], gram.shape[1]
+    top = np.minimum(limit, m // 4)
+
+    def part(g, lags):
+        keep = [*range(fixed + 1 + lags), size - 1]
+        return g[:, keep][:, :, keep]
+
+    used, best = top.copy(), np.full(len(m), math.inf)
+    if choose:
+        for lags in range(int(top.max()) + 1):
+            asked = np.flatnonzero(lags <= top)
+            rows = m[asked] - 1 - top[asked]
+            score = rows * np.log(np.maximum(solve_many(part(gram[asked], lags), rows)[2] / rows, 1e-300)) + 2 * (fixed + 1 + lags)
+            better = score < best[asked] - 1e-12
+            best[asked[better]], used[asked[better]] = score[better], lags
+    stat = np.full(len(m), np.nan)
+    for lags in np.unique(used).tolist():
+        mine = np.flatnonzero(used == lags)
+        small, first, length = part(gram[mine], lags), h[mine], m[mine]
+        # the equations the common sample left out come from the first values of the series
+        for t in range(lags + 1, int(top[mine].max()) + 1):
+            row = _design([first[:, t - 1 - j] for j in range(lags + 1)], first[:, t], t / length, base)
+            row = np.stack([np.broadcast_to(x, len(mine)) for x in row], axis=1)
+            row = np.where(((t <= top[mine]) & (t < known[mine]))[:, None], row, 0.0)
+            small = small + row[:, :, None] * row[:, None, :]
+        beta, se, rss = solve_many(small, length - 1 - lags)
+        usable = (se[:, fixed] > 1e-300) & (rss > 0)
+        stat[mine] = np.where(usable, beta[:, fixed] / np.where(usable, se[:, fixed], 1.0), np.nan)
+    return stat, used
+
+
 def _adf_solver(base: str, limit: int, choose: bool):
-    fixed = {"n": 0, "c": 1, "ct": 2}[base]
-    size = fixed + 1 + limit + 1
+    size = {"n": 0, "c": 1, "ct": 2}[base] + 1 + limit + 1
 
     def solver(upper: pd.Series, head: pd.Series, n: pd.Series) -> pd.DataFrame:
-        out = []
-        for u, h, m in zip(upper, head, n):
-            m = int(m)
-            top = min(limit, m // 4)
-            if m < 4:
-                out.append((None, None))
-                continue
-            gram = square(u, size)
-
-            def part(g, lags):
-                keep = [*range(fixed + 1 + lags), size - 1]
-                return g[np.ix_(keep, keep)]
-
-            used = top
-            if choose:
-                rows = m - 1 - top
-                best = math.inf
-                for lags in range(top + 1):
-                    rss = solve(part(gram, lags), rows)[2]
-                    score = rows * math.log(max(rss / rows, 1e-300)) + 2 * (fixed + 1 + lags)
-                    if score < best - 1e-12:
-                        best, used = score, lags
-            # the equations the common sample left out come from the first values of the series
-            small = part(gram, used)
-            h = np.asarray(h, dtype=float)
-            for t in range(used + 1, min(top + 1, len(h))):
-                row = np.array(_design(h[t - 1::-1][:used + 1], h[t], t / m, base))
-                small = small + np.outer(row, row)
-            rows = m - 1 - used
-            beta, se, rss = solve(small, rows)
-            level_se = se[fixed]
-            out.append((float(beta[fixed] / level_se) if level_se > 1e-300 and rss > 0 else None, used))
-        return pd.DataFrame(out, columns=["stat", "lags"])
+        out = pd.DataFrame({"stat": pd.Series([None] * len(n), dtype=object), "lags": pd.Series([None] * len(n), dtype=object)})
+        long = np.flatnonzero(n.to_numpy() >= 4)
+        if len(long):
+            h, known = np.zeros((len(long), limit + 2)), head.iloc[long].map(len).to_numpy()
+            for i, values in enumerate(head.iloc[long]):
+                h[i, :len(values)] = values
+            stat, used = _adf_stats(squares(upper.iloc[long], size), h, known, n.to_numpy()[long].astype(np.int64), base, limit, choose)
+            out.loc[long, "stat"] = [None if math.isnan(v) else v for v in stat.tolist()]
+            out.loc[long, "lags"] = used.tolist()
+        return out
 
     return F.pandas_udf(solver, ADF_RESULT)
 
@@ -91,13 +100,9 @@ def adf_test(df: DataFrame, regression: str = "c", max_lags: int | None = None,
     inside = F.col(IDX) >= top + 1
     past = [F.coalesce(F.col(f"lag_{k}"), F.lit(0.0)) for k in range(1, limit + 2)]
     design = _design(past, F.col("_c"), F.col(IDX) / F.col("n"), regression)
-    terms = [F.when(inside, c if isinstance(c, Column) else F.lit(c)).otherwise(0.0) for c in design]
-    names = {f"_x{i}": c for i, c in enumerate(terms)}
-    g = rows.withColumns(names).groupBy(*by).agg(
-        F.max("n").alias("n"), product_sums(list(names)).alias("g"),
-        F.array_sort(F.collect_list(F.when(F.col(IDX) <= limit + 1, F.struct(F.col(IDX).alias("i"), F.col("_c").alias("v")))))
-        .alias("h"))
-    r = layout.for_tasks(g, by).withColumn("r", _adf_solver(regression, limit, max_lags is None)("g", F.col("h.v"), "n"))
+    names = {f"_x{i}": F.when(inside, F.coalesce(c if isinstance(c, Column) else F.lit(c), F.lit(0.0))).otherwise(0.0) for i, c in enumerate(design)}
+    g = grams(rows.withColumns(names), list(names), "_c", limit + 2, by)
+    r = g.withColumn("r", _adf_solver(regression, limit, max_lags is None)("g", "h", "n"))
     one, five, ten = ADF_CRITICAL[regression]
     stat = F.col("r.stat")
     return r.select(*by, stat.alias("adf_stat"), F.col("r.lags").alias("adf_lags"),
