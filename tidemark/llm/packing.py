@@ -3,7 +3,8 @@
 Pieces (whole documents, or 4096-token cuts of longer ones) are dealt by hash into shards of bounded size.
 Each shard is evolved on several islands, one Spark group each.  An individual is a list of bins.  A crossover
 injects whole well-filled bins of one parent into the other, removes the injected pieces from the other
-parent's bins, and puts the displaced pieces back by best fit, largest first.  After each epoch the elite
+parent's bins, and puts the displaced pieces back by best fit, largest first.  An island goes on until its packing meets the
+lower bound or crossings bring nothing any more.  After each epoch the elite
 of an island also goes to the next one (a shuffle of piece rows).  Of the islands of a shard the best packing stays.
 Bins that are still poorly filled are opened, and their pieces are dealt and packed again, across shards.
 
@@ -40,7 +41,8 @@ PIECES_PER_SHARD = 2_000
 ISLANDS = 2
 EPOCHS = 2
 POPULATION = 3
-GENERATIONS = 3
+#: Crossings in a row without a better packing after which an island stops; one that reaches the lower bound stops at once.
+GENERATIONS = 20
 WELL_FILLED = 0.995
 KEPT_WORDS = 400_000
 KEPT_LENGTH = 8
@@ -185,6 +187,31 @@ def best_fit(bins: list[list[int]], room: list[int], items: list[int], size: lis
             bisect.insort(free, (left, b))
 
 
+def fill_by_pairs(size: list[int], capacity: int) -> tuple[list[list[int]], list[int]]:
+    """Bin after bin: the largest piece left, then the pair (or piece) that fills the rest best.  Packs few large pieces a bin far better than best fit."""
+    ids = np.argsort(np.asarray(size), kind="stable")
+    left, bins, room = np.asarray(size, dtype=np.int64)[ids], [], []
+    while len(left):
+        bins.append([int(ids[-1])])
+        rest = capacity - int(left[-1])
+        left, ids = left[:-1], ids[:-1]
+        while len(left) and left[0] <= rest:
+            if left[-2:].sum() <= rest:
+                taken = [len(left) - 1]
+            else:
+                fits = left[:np.searchsorted(left, rest, side="right")]
+                other = np.searchsorted(left, rest - fits, side="right") - 1
+                other -= other == np.arange(len(fits))
+                total = np.where(other >= 0, fits + left[other], 0)
+                one = int(np.argmax(total))
+                taken = [one, int(other[one])] if total[one] > fits[-1] else [len(fits) - 1]
+            bins[-1] += ids[taken].tolist()
+            rest -= int(left[taken].sum())
+            left, ids = np.delete(left, taken), np.delete(ids, taken)
+        room.append(rest)
+    return bins, room
+
+
 def fitness(room: list[int], capacity: int) -> tuple[int, float]:
     """Fewer bins first; among equals, fuller and emptier bins rather than even ones."""
     return len(room), -sum((1 - r / capacity) ** 2 for r in room)
@@ -208,7 +235,10 @@ def cross(giver, taker, size: list[int], capacity: int, rng: random.Random):
 
 
 def evolve(size: list[int], capacity: int, seed: int, known: list, population: int = POPULATION, generations: int = GENERATIONS):
-    """The best packing after some generations; ``known``: packings (lists of bins) to start from."""
+    """The best packing once it meets the lower bound or ``generations`` crossings in a row brought none better.
+
+    ``known``: packings (lists of bins) to start from.
+    """
     rng = random.Random(seed)
     pool = [(bins, [capacity - sum(size[i] for i in b) for b in bins]) for bins in known]
     bound = -(-sum(size) // capacity)
@@ -216,6 +246,8 @@ def evolve(size: list[int], capacity: int, seed: int, known: list, population: i
         bins, room, order = [], [], list(range(len(size)))
         if not pool:
             best_fit(bins, room, order, size, capacity)
+        elif len(pool) == 1:
+            bins, room = fill_by_pairs(size, capacity)
         else:  # random groups first, so that individuals differ
             rng.shuffle(order)
             half = len(order) // 2
@@ -226,12 +258,14 @@ def evolve(size: list[int], capacity: int, seed: int, known: list, population: i
         if len(room) <= bound:
             break
     pool.sort(key=lambda x: fitness(x[1], capacity))
-    for _ in range(generations):
-        if len(pool[0][1]) <= bound or len(pool) < 2:
-            break
+    idle = 0
+    while idle < generations and len(pool) > 1 and len(pool[0][1]) > bound:
+        before = fitness(pool[0][1], capacity)
         a, b = rng.sample(range(len(pool)), 2)
         child = cross(pool[min(a, b)], pool[max(a, b)], size, capacity, rng)
         pool = sorted([*pool, child], key=lambda x: fitness(x[1], capacity))[:population]
+        now = fitness(pool[0][1], capacity)
+        idle = 0 if now[0] < before[0] or now[0] == before[0] and now[1] < before[1] - 1e-9 else idle + 1
     return pool[0]
 
 
