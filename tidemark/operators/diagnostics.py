@@ -36,8 +36,8 @@ def residual_stats(df: DataFrame, by=BY) -> DataFrame:
                     F.when(flat, 0.0).otherwise(F.col("_ku")).alias("kurtosis"))
 
 
-def jarque_bera(df: DataFrame, by=BY) -> DataFrame:
-    s = residual_stats(df, by)
+def jarque_bera(df: DataFrame, by=BY, stats: DataFrame | None = None) -> DataFrame:
+    s = residual_stats(df, by) if stats is None else stats
     stat = F.when((F.col("n") >= 2) & (F.col("std") >= TINY), F.col("n") / 6.0 * (
         F.col("skewness") * F.col("skewness") + F.col("kurtosis") * F.col("kurtosis") / 4.0))
     return s.select(*by, stat.alias("jb_stat"), F.exp(-stat / 2.0).alias("jb_p"))
@@ -162,7 +162,8 @@ def residual_report(df: DataFrame, by=BY, bounded: bool = False) -> DataFrame:
     """Every diagnostic of a series in one row."""
     s = layout.with_index(df, by, bounded=bounded)
     c = lag_correlations(s, LJUNG_LAGS, by)
-    out = residual_stats(s, by).join(jarque_bera(s, by), [*by]).join(ljung_box(s, by, correlations=c), [*by])
+    stats = residual_stats(s, by)
+    out = stats.join(jarque_bera(s, by, stats), [*by]).join(ljung_box(s, by, correlations=c), [*by])
     out = out.join(residual_acf_pass(s, by, correlations=c), [*by])
     out = out.join(ks_normal(s, by), [*by], "left").join(shapiro_wilk(s, by), [*by], "left")
     return out.join(breusch_pagan(s, by), [*by], "left") if "fitted" in df.columns else out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark import layout
 from tidemark.functions import probability as pr
 from tidemark.layout import IDX, SERIES, VALUE
 from tidemark.operators import (accuracy, correlation, diagnostics, estimation, forecasting, recursion, reports,
@@ -209,8 +210,9 @@ EVALUATION = RES + lag_corr_sql("res") + """, er AS (SELECT series_id, sqrt(avg(
 FROM f JOIN st USING (series_id) JOIN lb USING (series_id) JOIN er USING (series_id)""")
 def evaluate_model(t):
     """In-sample evaluation of AR(1) fits: one row a model."""
-    fits, s = estimation.ar_fit(t.ev_user(), [1]), t.ev_user()
-    rows = recursion.model_residuals(s, fits)
+    s = t.ev_user()
+    fits = layout.durable(estimation.ar_fit(s, [1]))
+    rows = layout.durable(recursion.model_residuals(s, fits))  # every measure and diagnostic reads them
     pairs = rows.select(SERIES, IDX, F.col(VALUE).alias("actual"), F.col("fitted").alias("predicted"))
     return estimation.evaluate_model(fits, rows, pairs).select(
         SERIES, "family", "p", "q", "n_parameters", "n_obs", "aic", "bic", "aicc", "log_likelihood", "rmse", "mae", "theil_u",
