@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.layout import BY, IDX
+from tidemark.layout import BY
+
+LEAST_PIVOT = 1e-8  # of a design scaled to a unit diagonal
 
 SOLUTION = T.StructType([T.StructField("beta", T.ArrayType(T.DoubleType())),
                          T.StructField("se", T.ArrayType(T.DoubleType())),
@@ -24,42 +26,6 @@ def product_sums(names) -> Column:
     return F.expr(f"array({', '.join(cells)})")
 
 
-def grams(rows: DataFrame, names, value: str, first: int, by=BY) -> DataFrame:
-    """``(by, n, g, h)``: the length, the upper triangle of X'X of the named columns, the first ``first`` of ``value``.
-
-    For many columns: a batch of rows is multiplied as one matrix a group, so that the sums of all cells see one row a batch and group
-    and not every row.  ``rows`` has the positions and the length ``n`` next to the columns.
-    """
-    by, cells = list(by), len(names) * (len(names) + 1) // 2
-    i, j = np.triu_indices(len(names))
-    doubles = T.ArrayType(T.DoubleType())
-    schema = T.StructType([*[rows.schema[k] for k in by], T.StructField("n", T.LongType()), T.StructField("g", doubles),
-                           T.StructField("at", T.ArrayType(T.LongType())), T.StructField("v", doubles)])
-
-    def run(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            new = np.zeros(len(batch), dtype=bool)
-            new[0] = True
-            for k in by:
-                column = batch[k].to_numpy()
-                new[1:] |= column[1:] != column[:-1]
-            starts = np.flatnonzero(new)
-            edges = list(zip(starts.tolist(), [*starts[1:].tolist(), len(batch)]))
-            x, at, v = batch[list(names)].to_numpy(dtype=float), batch[IDX].to_numpy(), batch[value].to_numpy(dtype=float)
-            out = batch[[*by, "n"]].iloc[starts].reset_index(drop=True)
-            out["g"] = [(x[a:b].T @ x[a:b])[i, j] for a, b in edges]
-            early = [a + np.flatnonzero(at[a:b] < first) for a, b in edges]
-            out["at"], out["v"] = [at[e] for e in early], [v[e] for e in early]
-            yield out
-
-    parts = rows.select(*by, IDX, "n", value, *names).mapInPandas(run, schema)
-    whole = parts.groupBy(*by).agg(F.max("n").alias("n"), F.expr(f"array({', '.join(f'sum(g[{c}])' for c in range(cells))})").alias("g"),
-                                   F.array_sort(F.flatten(F.collect_list(F.arrays_zip("at", "v")))).alias("h"))
-    return whole.withColumn("h", F.col("h.v"))
-
-
 def square(upper, k: int) -> np.ndarray:
     m = np.zeros((k, k))
     m[np.triu_indices(k)] = np.asarray(upper, dtype=float)
@@ -102,6 +68,25 @@ def solve_many(gram: np.ndarray, n: np.ndarray):
     return beta, np.sqrt(np.maximum(np.einsum("gii->gi", inverse), 0.0) * share[:, None]), rss
 
 
+def nested_rss(gram: np.ndarray):
+    """Residual sums of squares of the first 1, 2, .. regressors of many groups, from one elimination instead of a solve each.
+
+    ``sound`` tells where no pivot was lost to rounding; elsewhere the caller has to solve the design itself.
+    """
+    k = gram.shape[1] - 1
+    diagonal = np.einsum("gii->gi", gram)
+    scale = np.sqrt(np.where(diagonal > 0, diagonal, 1.0))
+    a = gram / (scale[:, :, None] * scale[:, None, :])
+    rss, sound, whole = np.empty((len(gram), k)), np.empty((len(gram), k), dtype=bool), np.ones(len(gram), dtype=bool)
+    for j in range(k):
+        pivot = a[:, 0, 0]
+        whole = whole & (pivot > LEAST_PIVOT)
+        step = a[:, 0, 1:] / np.where(pivot > LEAST_PIVOT, pivot, 1.0)[:, None]
+        a = a[:, 1:, 1:] - step[:, :, None] * a[:, 0, None, 1:]
+        rss[:, j], sound[:, j] = a[:, -1, -1] * scale[:, -1] ** 2, whole & (a[:, -1, -1] > LEAST_PIVOT)
+    return rss, sound
+
+
 @F.pandas_udf(SOLUTION)
 def solve_rows(upper: pd.Series, n: pd.Series) -> pd.DataFrame:
     out = []

@@ -71,6 +71,16 @@ def difference_ladder(df: DataFrame, d_max: int = 2, by=BY, bounded: bool = Fals
     return rebase(rows, F.col("d"))
 
 
+def difference_columns(s: DataFrame, d_max: int, by=BY):
+    """``(rows, names)``: the series and its 1..d_max-fold differences as columns, the d-th NULL in the first ``d`` rows."""
+    names = [VALUE, *[f"_d{d}" for d in range(1, d_max + 1)]]
+    if d_max == 0:
+        return s.select(*layout.keys(s, by), IDX, VALUE), names
+    lagged = layout.with_lags(s.select(*layout.keys(s, by), IDX, VALUE), VALUE, d_max, by)
+    columns = [_difference(d).alias(name) for d, name in enumerate(names)]
+    return lagged.select(*layout.keys(s, by), IDX, *columns), names
+
+
 def last_levels(df: DataFrame, order: int, by=BY, bounded: bool = False) -> DataFrame:
     """Last value of the series and of each lower difference: what ``undifference`` starts from."""
     s = layout.with_lags(layout.with_index(df, by, bounded=bounded), VALUE, max(order - 1, 1), by)
@@ -87,13 +97,28 @@ def undifference(diffs: DataFrame, levels: DataFrame, order: int, by=BY, bounded
     return s.drop("levels")
 
 
-def half_variance_ratio(df: DataFrame, by=BY, bounded: bool = False) -> DataFrame:
-    s = layout.with_totals(layout.with_index(df, by, bounded=bounded), by, _n=F.count("*"))
+def _half_variances(s: DataFrame, by):
+    """Rows with their length, and the two aggregates: variance of the first and of the second half."""
+    s = layout.with_totals(s, by, _n=F.count("*"))
     early = F.col(IDX) < F.floor(F.col("_n") / 2)
-    v = s.groupBy(*by).agg(F.var_pop(F.when(early, F.col(VALUE))).alias("first"),
-                           F.var_pop(F.when(~early, F.col(VALUE))).alias("second"))
-    ratio = F.when(F.coalesce(F.col("first"), F.lit(0.0)) < 1e-10, 1.0).otherwise(div(F.col("second"), F.col("first")))
-    return v.select(*by, ratio.alias("variance_ratio"), (ratio > 1.5).alias("needs_log"))
+    return s, {"first": F.var_pop(F.when(early, F.col(VALUE))), "second": F.var_pop(F.when(~early, F.col(VALUE)))}
+
+
+def _variance_ratio() -> Column:
+    return F.when(F.coalesce(F.col("first"), F.lit(0.0)) < 1e-10, 1.0).otherwise(div(F.col("second"), F.col("first")))
+
+
+def half_variance_ratio(df: DataFrame, by=BY, bounded: bool = False) -> DataFrame:
+    s, halves = _half_variances(layout.with_index(df, by, bounded=bounded), by)
+    v = s.groupBy(*by).agg(*[a.alias(n) for n, a in halves.items()])
+    return v.select(*by, _variance_ratio().alias("variance_ratio"), (_variance_ratio() > 1.5).alias("needs_log"))
+
+
+def with_variance_ratio(s: DataFrame, by=BY, **more: Column) -> DataFrame:
+    """``half_variance_ratio`` and any other aggregates next to every row: no second reading of the series."""
+    s, halves = _half_variances(s, by)
+    s = layout.with_totals(s, by, **halves, **more).withColumn("variance_ratio", _variance_ratio())
+    return s.withColumn("needs_log", F.col("variance_ratio") > 1.5).drop("first", "second").withColumnRenamed("_n", "n")
 
 
 def window_plan(n: Column) -> dict[str, Column]:

@@ -52,14 +52,15 @@ def wf_prepare(df: DataFrame, family: str = "ARIMA", d_max: int = 2, by=BY, boun
     """
     _check(family)
     s = layout.with_index(drop_missing(df), by, bounded=bounded)
-    ratio = shaping.half_variance_ratio(s, by)
-    low = s.groupBy(*by).agg(F.min(VALUE).alias("_lo"), F.count("*").alias("n"))
-    state = ratio.join(low, [*by]).withColumn(
-        "log_c", F.when(F.col("needs_log"), F.when(F.col("_lo") <= 0, -F.col("_lo") + 1e-6).otherwise(0.0))).drop("_lo")
-    logged = layout.join_series(s, state.select(*by, "log_c"), by)
-    logged = logged.withColumn(VALUE, F.when(F.col("log_c").isNull(), F.col(VALUE)).otherwise(
-        F.ln(F.col(VALUE) + F.col("log_c")))).select(*layout.keys(s, by), IDX, VALUE)
-    chosen = stationarity.choose_d(logged, d_max, by=by)
+    s = shaping.with_variance_ratio(s, by, _lo=F.min(VALUE))
+    s = s.withColumn("log_c", F.when(F.col("needs_log"), F.when(F.col("_lo") <= 0, -F.col("_lo") + 1e-6).otherwise(0.0)))
+    s = s.withColumn(VALUE, F.when(F.col("log_c").isNull(), F.col(VALUE)).otherwise(F.ln(F.col(VALUE) + F.col("log_c"))))
+    # every later step reads these rows again; the facts of a series stand in its first row
+    facts = ("variance_ratio", "needs_log", "n", "log_c")
+    s = layout.durable(s.select(*layout.keys(s, by), IDX, VALUE, *[F.when(F.col(IDX) == 0, F.col(c)).alias(c) for c in facts]))
+    logged = s.select(*layout.keys(s, by), IDX, VALUE)
+    state = s.filter(F.col(IDX) == 0).select(*by, *facts)
+    chosen = layout.durable(stationarity.choose_d(logged, d_max, by=by))
     state = state.join(chosen, [*by])
     if family == "ARIMA":
         return logged, state.withColumn("levels", F.array().cast("array<double>"))
@@ -71,9 +72,11 @@ def wf_prepare(df: DataFrame, family: str = "ARIMA", d_max: int = 2, by=BY, boun
 
 def at_d(rows: DataFrame, chosen: DataFrame, d_max: int = 2, by=BY) -> DataFrame:
     """Each series differenced as often as its own ``d`` says."""
-    ladder = layout.join_series(
-        shaping.difference_ladder(rows, d_max, by), chosen.select(*by, F.col("d").alias("_want")), by)
-    return ladder.filter(F.col("d") == F.col("_want")).drop("d", "_want")
+    s, values = shaping.difference_columns(rows, d_max, by)
+    s = layout.join_series(s, chosen.select(*by, F.col("d").alias("_want")), by)
+    value = F.coalesce(*[F.when(F.col("_want") == d, F.col(v)) for d, v in enumerate(values)])
+    out = s.withColumn("_v", value).filter((F.col("_want") <= d_max) & (F.col(IDX) >= F.col("_want")))
+    return shaping.rebase(out, F.col("_want")).select(*layout.keys(s, by), IDX, F.col("_v").alias(VALUE))
 
 
 def wf_grid_mode(rows: DataFrame, state: DataFrame, mode: str = "auto_n", max_p: int | None = None,
