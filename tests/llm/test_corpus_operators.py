@@ -163,6 +163,18 @@ def test_near_groups(spark, docs, small):
     assert len(rows_of(near_dedup.near_groups(docs))) == len(AWKWARD)
 
 
+def test_near_groups_broadcast_nothing_that_grows(spark, monkeypatch):
+    """Spark takes the 25 keys of a fingerprint for less than the fingerprint, so under its threshold it would broadcast them all."""
+    joined = []
+    real = near_dedup.components
+    monkeypatch.setattr(near_dedup, "components", lambda links: joined.append(links) or real(links))
+    source = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a b c"), F.col("id") % 200).alias("text"))
+    joined.append(near_dedup.near_groups(source))
+    for df, joins in zip(joined, (3, 2), strict=True):  # keys and fingerprints with their links, then fingerprints and documents
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == joins and "Broadcast" not in plan
+
+
 def test_golay_keys_lose_no_link():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

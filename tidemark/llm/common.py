@@ -42,6 +42,15 @@ def keep_only(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"] == gone["gone_doc_id"], "left_anti")
 
 
+def unsized(side: DataFrame) -> DataFrame:
+    """One side of a join that Spark is to sort and merge, never to broadcast.
+
+    Spark takes Python functions and explodes to return no more bytes than they read, and files for as many bytes as they have when
+    compressed, so it would send tables through the driver that are many times what it broadcasts knowingly.
+    """
+    return side.hint("merge")
+
+
 def spread_count(rows: int, per_task: int) -> int:
     return max(1, -(-int(rows) // per_task))
 

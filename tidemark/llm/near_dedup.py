@@ -12,6 +12,8 @@ Equal fingerprints are one node, represented by the smallest doc_id.  A key shar
 fingerprints is cut into blocks, and every pair of blocks is one bounded task group; from each group only
 a spanning forest of its links leaves, which keeps the components exact without listing all pairs.
 
+Keys, fingerprints and documents are joined by sorting: no table that grows with the documents passes the driver.
+
 Defined cases: null or empty text has fingerprint zero and links like any other; one or two words are one shingle; repeated
 rows and equal doc_ids share their component; a null doc_id stays a row and takes the component of its
 fingerprint; an empty table gives an empty result; other columns are ignored.
@@ -205,7 +207,7 @@ def near_links(prints: DataFrame) -> DataFrame:
     keyed = prints.select("print").mapInPandas(_keyed, "key long, print long")
     shared = (keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
               .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    rows = keyed.join(shared, "key")
+    rows = keyed.join(common.unsized(shared), "key")
     own = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = (F.least("own", "other").cast("long") * (1 << 32)) + F.greatest("own", "other")
@@ -222,11 +224,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     nodes = common.durable(marked.groupBy("print").agg(F.min("doc_id").alias("rep")))
     links = near_links(nodes)
     a, b = nodes.select(F.col("print").alias("a"), F.col("rep").alias("ra")), nodes.select(F.col("print").alias("b"), F.col("rep").alias("rb"))
-    named = links.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    named = links.join(common.unsized(a), "a").join(common.unsized(b), "b").select(
+        F.col("ra").alias("a"), F.col("rb").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     found = components(named)
-    classes = nodes.join(found, nodes["rep"] == found["node"], "left").select(
+    classes = nodes.join(common.unsized(found), nodes["rep"] == found["node"], "left").select(
         F.col("print").alias("class_print"), F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(classes, marked["print"] == classes["class_print"]).select(
+    return marked.join(common.unsized(classes), marked["print"] == classes["class_print"]).select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
